@@ -29,7 +29,7 @@ def split_row_number(
     offsets = sizes.select(
         *slice_keys, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
     )
-    # Null-safe for keys; a join on plain equality keeps the co-partitioning.
+    # The window leaves the rows partitioned by the slice keys, as the join needs them.
     ranked = sliced.withColumn(
         name, F.row_number().over(W.partitionBy(*slice_keys).orderBy(order))
     )
@@ -78,3 +78,24 @@ def split_lag(
     for name, column in values.items():
         rows = rows.withColumn(name, F.lag(column).over(within))
     return rows.where("_real").drop("_slice", "_real")
+
+
+def split_running_max(
+    df: DataFrame, keys: list[str], order: list[str], value: str, name: str, width: int = 1 << 16
+) -> DataFrame:
+    """Add the largest ``value`` so far per key, along ``order``, as ``name``.
+
+    The first order column is a whole number; it is cut into slices of ``width``.
+    """
+    slice_keys = [*keys, "_slice"]
+    sliced = df.withColumn("_slice", F.floor(F.col(order[0]) / F.lit(width)))
+    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    entering = (
+        sliced.groupBy(*slice_keys)
+        .agg(F.max(value).alias("_max"))
+        .select(*slice_keys, F.max("_max").over(before).alias(value), F.lit(False).alias("_real"))
+        .where(F.col(value).isNotNull())
+    )
+    rows = sliced.withColumn("_real", F.lit(True)).unionByName(entering, allowMissingColumns=True)
+    so_far = W.partitionBy(*slice_keys).orderBy("_real", *order).rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn(name, F.max(value).over(so_far)).where("_real").drop("_slice", "_real")
