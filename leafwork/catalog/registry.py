@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from leafwork.catalog import reading, trees
+from leafwork.catalog import configs, reading, trees
 
-REGISTRY = {**reading.QUERIES, **trees.QUERIES}
+REGISTRY = {**reading.QUERIES, **trees.QUERIES, **configs.QUERIES}
