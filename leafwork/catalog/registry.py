@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from leafwork.catalog import configs, reading, trees
+from leafwork.catalog import configs, editing, reading, trees, writing
 
-REGISTRY = {**reading.QUERIES, **trees.QUERIES, **configs.QUERIES}
+REGISTRY = {**reading.QUERIES, **trees.QUERIES, **configs.QUERIES, **writing.QUERIES, **editing.QUERIES}
