@@ -17,17 +17,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a DataFrame in the reliable checkpoint folder.
+def scratch_folder(spark: SparkSession) -> str:
+    """The reliable folder for checkpoints and intermediate tables.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (tests, a laptop) is a temporary folder used. The
-    written blocks outlive the executors that wrote them.
+    It is the one the cluster names in ``spark.checkpoint.dir``; only where that
+    is unset (tests, a laptop) is a temporary folder used.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(
             spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafwork-")
         )
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise a DataFrame in the reliable folder: it outlives its executors."""
+    scratch_folder(df.sparkSession)
     return df.checkpoint(eager=True)

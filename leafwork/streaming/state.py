@@ -1,0 +1,52 @@
+"""Keyed state of a stream as a table: one folder of changed keys per batch.
+
+A batch reads the state before it and writes the keys it changed under its own
+number, so that running it again after a failure gives the same result. Every so
+often the state is also written as a whole, which bounds what later batches read.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+class KeyedState:
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str], schema: str, whole_every: int = 20):
+        self.spark, self.folder, self.keys = spark, folder.rstrip("/"), keys
+        self.schema, self.whole_every = schema, whole_every
+
+    def _ids(self, kind: str) -> list[int]:
+        """Numbers of the complete folders of a kind (a short list of names)."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}")
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        found = [s.getPath() for s in fs.listStatus(root)]
+        done = [p for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(p.getName()) for p in done)
+
+    def before(self, batch_id: int) -> DataFrame:
+        """Latest row of each key before a batch, with the batch that wrote it."""
+        whole = [i for i in self._ids("whole") if i < batch_id][-1:]
+        start = whole[0] if whole else -1
+        folders = [f"{self.folder}/whole/{i}" for i in whole]
+        folders += [f"{self.folder}/changed/{i}" for i in self._ids("changed") if start < i < batch_id]
+        if not folders:
+            return self.spark.createDataFrame([], self.schema).withColumn("batch", F.lit(0).cast("bigint"))
+        rows = self.spark.read.schema(f"{self.schema}, batch bigint").parquet(*folders)
+        values = [c for c in rows.columns if c not in self.keys]
+        return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select(
+            *self.keys, "_v.*"
+        )
+
+    def record(self, changed: DataFrame, batch_id: int) -> None:
+        """Write the keys a batch changed; from time to time the whole state."""
+        stamped = changed.withColumn("batch", F.lit(batch_id).cast("bigint"))
+        stamped.write.mode("overwrite").parquet(f"{self.folder}/changed/{batch_id}")
+        if batch_id and batch_id % self.whole_every == 0:
+            self.before(batch_id + 1).write.mode("overwrite").parquet(f"{self.folder}/whole/{batch_id}")
+
+    def current(self) -> DataFrame:
+        return self.before(1 << 62)
