@@ -9,7 +9,7 @@ projects of up to 400 nodes, two instances each.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from leafwork.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for queries that work hard on every text."""
+    return spread(documents(spark, sf_dir))
+
+
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic files; documents whose id is a multiple of 11 have none."""
     return (

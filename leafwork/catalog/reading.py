@@ -10,6 +10,7 @@ from leafwork.functions import images as M
 from leafwork.functions import paths as P
 from leafwork.functions import text as X
 from leafwork.operators import lookup
+from leafwork.session import spread
 
 
 def topic_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +98,7 @@ from t
 
 def instance_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Default ids for conversation texts used as titles (their initials)."""
-    return I.table(spark, sf_dir, "conversations").select(
+    return spread(I.table(spark, sf_dir, "conversations")).select(
         "conv_id", "turn", X.default_instance_id(F.col("text")).alias("instance_id")
     )
 
@@ -161,7 +162,7 @@ def html_image_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image tags of whole pages pointed at the images folder."""
     html = F.replace(F.col("html"), F.lit("<a href="), F.lit("<img src="))
     return (
-        I.table(spark, sf_dir, "pages")
+        spread(I.table(spark, sf_dir, "pages"))
         .withColumn("rewritten", M.rewrite_html_images(html, F.lit("images")))
         .select("page_id", F.length("rewritten").alias("n_chars"), F.md5("rewritten").alias("digest"))
     )
@@ -184,7 +185,7 @@ def md_image_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     inserted = " ![a](./img/p.png) ![w](https://h/x.png) ![r](../images/r.png \"t\") `![c](c.png)`\n"
     text = F.replace(F.col("text"), F.lit("\n"), F.lit(inserted))
     return (
-        I.documents(spark, sf_dir)
+        I.texts(spark, sf_dir)
         .withColumn("rewritten", M.rewrite_markdown_images(text, F.lit("images")))
         .select("doc_id", F.length("rewritten").alias("n_chars"), F.md5("rewritten").alias("digest"))
     )

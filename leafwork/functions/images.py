@@ -17,13 +17,17 @@ from leafwork.functions.paths import posix_join
 IMG_TAG = r"""(?i)<img\s+([^>]*src\s*=\s*["'])([^"']+)(["'][^>]*)>"""
 
 # Markdown constructs in the order they take precedence: fenced blocks, code
-# spans, then inline images with a bracketed or bare destination.
-_FENCE = r"(?:(?<=\n)|(?<![\s\S])) {0,3}(?:```[^`\n]*|~~~[^\n]*)(?:\n[\s\S]*?)??(?:\n {0,3}(?:`{3,}|~{3,})[ \t]*(?=\n|\z)|\z)"
-_CODE_SPAN = r"(?<!`)``(?!`)[\s\S]*?[^`]``(?!`)|(?<!`)`(?!`)[^`]+`(?!`)"
+# spans, then inline images with a bracketed or bare destination. Each begins with
+# a plain character, so that most positions of a text are passed at once.
+_FENCE = r"(?m:^) {0,3}(?:```[^`\n]*|~~~[^\n]*)(?:\n[\s\S]*?)??(?:\n {0,3}(?:`{3,}|~{3,})[ \t]*(?=\n|\z)|\z)"
+_CODE_SPAN = r"``(?<!```)(?!`)[\s\S]*?[^`]``(?!`)|`(?<!``)(?!`)[^`]+`(?!`)"
 _ALT = r"!\[[^\]\\]*+(?:\\.[^\]\\]*+)*+\]"
-_IMAGE = _ALT + r"\([ \t]*(?:<[^>\n]*>|[^\s()<>]+)(?:[ \t]+(?:\"[^\"]*\"|'[^']*'))?[ \t]*\)"
+_END = r"(?:[ \t]+(?:\"[^\"]*\"|'[^']*'))?[ \t]*\)"
+_IMAGE = _ALT + r"\([ \t]*(?:<[^>\n]*>|[^\s()<>]+)" + _END
 MD_TOKEN = f"{_FENCE}|{_CODE_SPAN}|{_IMAGE}"
 _MD_PARTS = f"({_ALT}" + r"\([ \t]*<?)([^\s()<>]+|(?<=<)[^>\n]+)([\s\S]*)"
+# A path that joining leaves as it is.
+_PLAIN_PATH = r"\A[^/.][^/]*(?:/[^/.][^/]*)*\z"
 
 
 def _rewrite(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
@@ -35,23 +39,37 @@ def _rewrite(text: Column, pattern: str, change: Callable[[Column], Column]) ->
     return F.array_join(joined, "")
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _below_images(folder: Column, src: Column) -> Column:
+    """``../folder/src``, normalised; plain paths take the short way."""
+    return F.when(F.regexp_like(src, F.lit(_PLAIN_PATH)), F.concat(posix_join(F.lit(".."), folder), F.lit("/"), src)).otherwise(
+        posix_join(F.lit(".."), folder, src)
+    )
+
+
 def rewrite_html_images(html: Column, images_folder: Column) -> Column:
     """Point relative ``<img src>`` values at the images folder next to the topics folder."""
     prefix = posix_join(F.lit(".."), images_folder)
 
     def change(tag: Column) -> Column:
-        src = F.regexp_extract(tag, IMG_TAG, 2)
-        keep = src.startswith(prefix) | F.regexp_like(src, F.lit(r"(?i)\Ahttps?://"))
-        moved = F.concat(
-            F.lit("<img "),
-            F.regexp_extract(tag, IMG_TAG, 1),
-            posix_join(F.lit(".."), images_folder, src),
-            F.regexp_extract(tag, IMG_TAG, 3),
-            F.lit(">"),
-        )
-        return F.when(keep, tag).otherwise(moved)
+        def with_src(src: Column) -> Column:
+            keep = src.startswith(prefix) | F.regexp_like(src, F.lit(r"(?i)\Ahttps?://"))
+            moved = F.concat(
+                F.lit("<img "),
+                F.regexp_extract(tag, IMG_TAG, 1),
+                _below_images(images_folder, src),
+                F.regexp_extract(tag, IMG_TAG, 3),
+                F.lit(">"),
+            )
+            return F.when(keep, tag).otherwise(moved)
+
+        return _bind(F.regexp_extract(tag, IMG_TAG, 2), with_src)
 
-    return _rewrite(html, IMG_TAG, change)
+    return F.when(F.regexp_like(html, F.lit("(?i)<img")), _rewrite(html, IMG_TAG, change)).otherwise(html)
 
 
 def rewrite_markdown_images(text: Column, images_folder: Column) -> Column:
@@ -63,18 +81,20 @@ def rewrite_markdown_images(text: Column, images_folder: Column) -> Column:
     prefix = posix_join(F.lit(".."), images_folder)
 
     def change(token: Column) -> Column:
-        src = F.regexp_extract(token, _MD_PARTS, 2)
-        keep = (
-            ~token.startswith("![") | (src == "") | src.startswith(prefix) | src.startswith("http")
-        )
-        moved = F.concat(
-            F.regexp_extract(token, _MD_PARTS, 1),
-            posix_join(F.lit(".."), images_folder, src),
-            F.regexp_extract(token, _MD_PARTS, 3),
-        )
-        return F.when(keep, token).otherwise(moved)
-
-    return _rewrite(text, MD_TOKEN, change)
+        def with_src(src: Column) -> Column:
+            keep = (src == "") | src.startswith(prefix) | src.startswith("http")
+            moved = F.concat(
+                F.regexp_extract(token, _MD_PARTS, 1),
+                _below_images(images_folder, src),
+                F.regexp_extract(token, _MD_PARTS, 3),
+            )
+            return F.when(keep, token).otherwise(moved)
+
+        return F.when(
+            token.startswith("!["), _bind(F.regexp_extract(token, _MD_PARTS, 2), with_src)
+        ).otherwise(token)
+
+    return F.when(F.contains(text, F.lit("![")), _rewrite(text, MD_TOKEN, change)).otherwise(text)
 
 
 def in_topics_folder(path: Column, topics_folder: Column) -> Column:

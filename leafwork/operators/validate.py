@@ -1,16 +1,16 @@
 """Validation of configurations: every violation is a row.
 
-The configuration is walked level by level; each value gets the place it holds in
-the schema, and the rules are a table of places. A key outside the table is a
-violation and is not followed further.
+Every object and list of a configuration gets the place it holds in the schema; the
+rules are a table of places. A key outside the table is a violation and is not
+followed further. All of it happens inside the scan stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.session import prepare
+from leafwork.sources import forest
 
 # The places of the configuration schema. Each place has a type, and
 # an object place lists its keys with the places they lead to.
@@ -34,84 +34,135 @@ PLACES = {
 ORDERS = ("ascending", "descending", "none")
 
 
-def _next_place() -> str:
-    cases = []
-    for place, (kind, inner) in PLACES.items():
-        if kind == "array":
-            cases.append(f"when w.place = '{place}' then '{inner}'")
-        elif kind == "object":
-            cases += [f"when w.place = '{place}' and e.key = '{k}' then '{p}'" for k, p in inner.items()]
-    return f"case {' '.join(cases)} else 'unknown' end"
+def _get(value: Column, key: str) -> Column:
+    """The value under a key, NULL where the key is absent."""
+    return F.try_variant_get(value, f"$['{key}']", "variant")
 
 
-def _expected(column: str) -> str:
-    cases = " ".join(f"when '{place}' then '{kind}'" for place, (kind, _) in PLACES.items())
-    return f"case {column} {cases} end"
+def _items(value: Column) -> Column:
+    """The values of a list; none for anything else."""
+    return F.coalesce(value.try_cast("array<variant>"), F.array().cast("array<variant>"))
 
 
-def _kind(value: str) -> str:
-    name = f"split(schema_of_variant({value}), '<')[0]"
-    return f"lower(case when {name} in ('OBJECT', 'ARRAY', 'STRING') then {name} when {name} = 'VOID' then 'null' else 'scalar' end)"
+def _part(at: Column, place: str, value: Column, level: int = -1) -> Column:
+    return F.struct(
+        at.alias("at"), F.lit(place).alias("place"), F.lit(level).alias("level"), value.alias("value")
+    )
 
 
-def walk(configs: DataFrame, max_levels: int = 10_000) -> DataFrame:
-    """All values of the configurations with their place in the schema.
+def _present(part: Column) -> Column:
+    return F.filter(F.array(part), lambda p: p["value"].isNotNull())
 
-    ``configs``: project_id, content. Unparseable configurations give no rows.
+
+def _slash(at: Column, step: Column | str) -> Column:
+    return F.concat(at, F.lit("/"), F.lit(step) if isinstance(step, str) else step.cast("string"))
+
+
+def _toc_parts(tocs: Column, at: Column, level: int, max_depth: int) -> Column:
+    """All nodes below one list of nodes."""
+
+    def node(x: Column, i: Column) -> Column:
+        here, below = _slash(at, i), _get(x, "children")
+        if level == max_depth:
+            # Nothing may be left below the last declared level.
+            last = F.when(F.size(_items(below)) == 0, x).otherwise(
+                F.raise_error(F.lit(f"tree deeper than {max_depth + 1} levels: raise max_depth"))
+            )
+            return F.array(_part(here, "toc", last, level))
+        deeper = _toc_parts(_items(below), _slash(here, "children"), level + 1, max_depth)
+        return F.concat(F.array(_part(here, "toc", x, level)), deeper)
+
+    return F.flatten(F.transform(tocs, node))
+
+
+def parts(config: Column, max_depth: int) -> Column:
+    """Every object of a configuration, with its place in the schema.
+
+    One expression over one value: nothing is shuffled.
     """
-    spark = prepare(configs.sparkSession)
-    parsed = configs.select("project_id", F.try_parse_json("content").alias("value")).where("value is not null")
-    return spark.sql(
-        f"""
-        with recursive walk(project_id, parent, step, place, kind, value) max recursion level {max_levels} as (
-          select project_id, cast(null as string), '', 'root', {_kind('value')}, value from {{parsed}}
-          union all
-          select w.project_id,
-            case when w.parent is null then '' else concat(w.parent, '/', w.step) end,
-            coalesce(e.key, cast(e.pos as string)),
-            {_next_place()}, {_kind('e.value')}, e.value
-          from walk w, lateral variant_explode(w.value) e
-          where w.kind = {_expected('w.place')})
-        select project_id, parent, step, place, kind,
-          case when kind in ('string', 'scalar') then cast(value as string) end as scalar
-        from walk
-        """,
-        parsed=parsed,
+    listed = _get(config, "instances")
+
+    def instance(x: Column, i: Column) -> Column:
+        here = _slash(F.lit("/instances"), i)
+        tocs = _toc_parts(
+            _items(_get(x, "toc-elements")), _slash(here, "toc-elements"), 0, max_depth
+        )
+        return F.concat(F.array(_part(here, "instance", x)), tocs)
+
+    return F.concat(
+        F.array(_part(F.lit(""), "root", config)),
+        *[_present(_part(F.lit(f"/{key}"), key, _get(config, key))) for key in ("topics", "images")],
+        F.flatten(F.transform(_items(listed), instance)),
     )
 
 
-def violations(configs: DataFrame, dialect: str = "J") -> DataFrame:
-    """(project_id, instance_path, keyword, detail), all violations of all configurations."""
-    at = F.when(F.col("parent").isNull(), F.lit("")).otherwise(F.concat_ws("/", "parent", "step"))
-    values = walk(configs).withColumn("at", at).withColumn("expected", F.expr(_expected("place")))
-    # Titles of top-level nodes that have a topic are replaced before validation.
-    masked = F.col("parent").rlike(r"\A/instances/[0-9]+/toc-elements/[0-9]+\z") & (F.col("step") == "title")
-    wrong_type = (F.col("place") != "unknown") & (F.col("kind") != F.col("expected"))
-    wrong_order = (F.col("place") == "order") & ~F.coalesce(F.col("scalar").isin(*ORDERS) & (F.col("kind") == "string"), F.lit(False))
-    found = F.filter(
-        F.array(
-            F.when(F.col("place") == "unknown", F.struct(F.col("parent").alias("p"), F.lit("additionalProperties").alias("k"), F.col("step").alias("d"))),
-            F.when(wrong_type, F.struct(F.col("at").alias("p"), F.lit("type").alias("k"), F.col("expected").alias("d"))),
-            F.when(wrong_order, F.struct(F.col("at").alias("p"), F.lit("enum").alias("k"), F.coalesce("scalar", "kind").alias("d"))),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    rows = values.where((F.col("place") == "unknown") | wrong_type | wrong_order).select(
-        "project_id", F.explode(found).alias("v"), (masked & wrong_type).alias("maybe_masked"), "parent"
-    ).select(
-        "project_id",
-        F.col("v.p").alias("instance_path"),
-        F.col("v.k").alias("keyword"),
-        F.col("v.d").alias("detail"),
-        F.when(F.col("maybe_masked"), F.col("parent")).alias("node"),
-    )
-    with_topic = values.where("step = 'topic' and place = 'text' and scalar != ''").select(
-        "project_id", F.col("parent").alias("node")
+def _keys_to(*places: str) -> list[str]:
+    """``place key`` of every allowed key that leads to one of the places."""
+    return [
+        f"{place} {key}"
+        for place, (kind, inner) in PLACES.items()
+        if kind == "object"
+        for key, to in inner.items()
+        if to in places
+    ]
+
+
+def violations(configs: DataFrame, dialect: str = "J", max_depth: int = forest.DEFAULT_DEPTH) -> DataFrame:
+    """(project_id, instance_path, keyword, detail), all violations of all configurations.
+
+    ``configs``: project_id, content. Unparseable configurations give no rows.
+    """
+    found = configs.select("project_id", F.try_parse_json("content").alias("c")).where("c is not null")
+    part = found.select("project_id", F.explode(parts(F.col("c"), max_depth)).alias("p")).select("project_id", "p.*")
+    at, place, value = F.col("at"), F.col("place"), F.col("value")
+    def row(path: Column, keyword: str, detail: Column) -> Column:
+        return F.struct(
+            path.alias("instance_path"), F.lit(keyword).alias("keyword"), detail.alias("detail")
+        )
+
+    def name(e: Column) -> Column:
+        return F.concat(place, F.lit(" "), e["key"])
+
+    def is_text(e: Column) -> Column:
+        return F.schema_of_variant(e["value"]) == "STRING"
+
+    def is_order(e: Column) -> Column:
+        return is_text(e) & F.try_variant_get(e["value"], "$", "string").isin(*ORDERS)
+
+    def masked(e: Column) -> Column:
+        """Titles of top-level nodes that have a topic are replaced before validation."""
+        topic = F.coalesce(F.try_variant_get(value, "$.topic", "string"), F.lit(""))
+        return (F.col("level") == 0) & (e["key"] == "title") & (topic != "")
+
+    text_keys, order_keys = _keys_to("text"), _keys_to("order")
+    list_keys, object_keys = _keys_to("instances", "tocs"), _keys_to("topics", "images")
+
+    def is_bad(e: Column) -> Column:
+        return (
+            F.when(name(e).isin(*text_keys), ~is_text(e) & ~masked(e))
+            .when(name(e).isin(*list_keys), e["value"].try_cast("array<variant>").isNull())
+            .when(name(e).isin(*order_keys), ~is_order(e))
+            .otherwise(~name(e).isin(*object_keys))
+        )
+
+    def rows_of(e: Column) -> Column:
+        here, text = _slash(at, e["key"]), F.try_variant_get(e["value"], "$", "string")
+        bad_order = row(here, "enum", F.coalesce(text, F.lit("null")))
+        return (
+            F.when(name(e).isin(*text_keys), F.array(row(here, "type", F.lit("string"))))
+            .when(name(e).isin(*list_keys), F.array(row(here, "type", F.lit("array"))))
+            .when(name(e).isin(*order_keys) & is_text(e), F.array(bad_order))
+            .when(name(e).isin(*order_keys), F.array(row(here, "type", F.lit("string")), bad_order))
+            .otherwise(F.array(row(at, "additionalProperties", e["key"])))
+        )
+
+    # What is no object has no entries.
+    bad = F.filter(F.map_entries(value.try_cast("map<string,variant>")), is_bad)
+    inside = F.flatten(F.transform(bad, rows_of))
+    found = F.coalesce(inside, F.array(row(at, "type", F.lit("object"))))
+    return part.select("project_id", F.explode(found).alias("v")).select(
+        "project_id", "v.*", F.lit(dialect).alias("dialect")
     )
-    plain = rows.where("node is null")
-    kept = rows.where("node is not null").join(with_topic, ["project_id", "node"], "left_anti")
-    # 'null' is a configuration, but there is nothing to validate in it.
-    return plain.unionByName(kept).drop("node").withColumn("dialect", F.lit(dialect))
 
 
 def normalised_xml(projects: DataFrame) -> DataFrame:

@@ -17,6 +17,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a costly per-row expression all cores, when the input has fewer splits.
+
+    A small file, or one with a single row group, is read by one task. Inputs with
+    at least as many splits as cores are left as they are, so nothing large moves.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """The reliable folder for checkpoints and intermediate tables.
 
