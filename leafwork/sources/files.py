@@ -12,16 +12,10 @@ from pyspark.sql import functions as F
 from leafwork.functions import text as X
 from leafwork.functions.paths import posix_join
 
-# Documentation files are small: pack many into one task instead of paying the
-# default cost per file.
-SMALL_FILE_OPTIONS = {"wholetext": "true"}
-
-
 def read_files(spark: SparkSession, glob: str) -> DataFrame:
     """(path, content) of every file; nothing matches gives no rows."""
     return (
-        spark.read.options(**SMALL_FILE_OPTIONS)
-        .text(glob)
+        spark.read.text(glob, wholetext=True)
         .select(
             F.url_decode(F.regexp_replace("_metadata.file_path", r"\Afile:/*", "/")).alias("path"),
             F.col("value").alias("content"),

@@ -99,7 +99,7 @@ def load_instances(reg: DataFrame, trees: DataFrame) -> DataFrame:
 
 def nodes(trees: DataFrame, max_depth: int = forest.DEFAULT_DEPTH) -> DataFrame:
     """Nodes of tree files: path, instance_id, node_path, topic. ``trees``: path, content."""
-    flat = forest.flatten(F.col("p.`toc-element`"), {"topic": "_topic"}, "toc-element", max_depth)
+    flat = forest.flatten(F.col("p.`toc-element`"), {"topic": "_topic"}, "toc-element", max_depth, lambda below: F.size(below) == 0)
     return (
         _profiles(trees, max_depth)
         .select("path", F.col("p._id").alias("instance_id"), F.explode(flat).alias("n"))
