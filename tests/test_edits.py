@@ -166,7 +166,7 @@ def test_batches_equal_the_sequential_model(spark, seed, weights, n_names):
         topics += [(p, f, c) for f, c in m.files.items()]
     choices = list(weights) if weights else OPS
     expected = []
-    for seq in range(6 * len(models)):
+    for seq in range(4 * len(models)):
         p = rng.choice(list(models))
         op = rng.choices(choices, weights and list(weights.values()))[0]
         if op.endswith("_instance") and rng.random() < 0.5:
