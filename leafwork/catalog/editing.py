@@ -102,6 +102,26 @@ with recursive {I.sql_toc()},
 """
 
 
+def toc_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees after taking out nodes but not their files; the files stay as they were."""
+    edits = _edits(spark, sf_dir, "doc_id % 8 = 5", "remove", topic=I.TOPIC)
+    result = E.apply_edits(_corpus(spark, sf_dir), edits).corpus
+    files = result.files.select(
+        "project_id", F.lit("").alias("instance_id"), F.lit("file").alias("path"), F.col("file").alias("topic"),
+        F.lit(None).cast("string").alias("title"),
+    )
+    return _tree_rows(result.nodes).unionByName(files)
+
+
+TOC_REMOVE = f"""
+with recursive {I.sql_toc()}, {I.sql_topics()},
+  moved as (select project_id, instance_id, node as id, parent, topic, 'old ' || doc_id as title, 0 as late, ordinal as sort
+            from toc where doc_id % 8 <> 5), {_RENUMBER}
+union all
+select project_id, '', 'file', file, null from topics
+"""
+
+
 def toc_move(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees after moving every seventh node below the first root."""
     first_root = "concat('doc-', case doc_id % 3 when 0 then 0 else 600 * (doc_id div 600) + doc_id % 3 end, '.md')"
@@ -192,6 +212,7 @@ from base b left join pages p using (project_id, instance_id) left join names n
 QUERIES = {
     "toc_delete": (toc_delete, TOC_DELETE),
     "toc_delete_outcomes": (toc_delete_outcomes, TOC_DELETE_OUTCOMES),
+    "toc_remove": (toc_remove, TOC_REMOVE),
     "toc_add": (toc_add, TOC_ADD),
     "toc_move": (toc_move, TOC_MOVE),
     "toc_rename": (toc_rename, TOC_RENAME),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafwork.catalog import inputs as I
 from leafwork.functions import paths as P
 from leafwork.operators import instances as N
-from leafwork.operators import naming
+from leafwork.operators import lookup, naming
 from leafwork.sinks import documents as D
 from leafwork.sinks import topics as T
 
@@ -325,7 +325,45 @@ select 'n' || c_nationkey as project_id, 'c' || c_custkey as instance_id, coales
 from customer left join l on o_custkey = c_custkey where c_custkey % 2 = 0
 """
 
+def instance_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First instance of each wanted id, where orders repeat a customer's id."""
+    entries = I.table(spark, sf_dir, "orders").where("o_totalprice > 400000").selectExpr(
+        "o_orderpriority as project_id", "concat('c', o_custkey) as instance_id",
+        "concat('order ', o_orderkey) as name", "o_orderkey as ordinal",
+    )
+    wanted = I.table(spark, sf_dir, "customer").selectExpr(
+        "'2-HIGH' as project_id", "concat('c', c_custkey) as instance_id"
+    )
+    return lookup.find_instances(wanted, entries)
+
+
+INSTANCE_LOOKUP = """
+with f as (select 'c' || o_custkey as i, min(o_orderkey) as k from orders
+           where o_totalprice > 400000 and o_orderpriority = '2-HIGH' group by 1)
+select '2-HIGH' as project_id, 'c' || c_custkey as instance_id, 'order ' || f.k as name, f.k as ordinal, f.k is not null as found
+from customer left join f on f.i = 'c' || c_custkey
+"""
+
+
+def free_instance_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose id no order of their priority class has taken."""
+    taken = I.table(spark, sf_dir, "orders").where("o_totalprice > 400000").selectExpr(
+        "o_orderpriority as project_id", "concat('c', o_custkey) as instance_id"
+    )
+    wanted = I.table(spark, sf_dir, "customer").selectExpr(
+        "'1-URGENT' as project_id", "concat('c', c_custkey) as instance_id"
+    )
+    return lookup.unique_ids(wanted, taken)
+
+
+FREE_INSTANCE_IDS = """
+select '1-URGENT' as project_id, 'c' || c_custkey as instance_id from customer
+where c_custkey not in (select o_custkey from orders where o_totalprice > 400000 and o_orderpriority = '1-URGENT')
+"""
+
 QUERIES = {
+    "instance_lookup": (instance_lookup, INSTANCE_LOOKUP),
+    "free_instance_ids": (free_instance_ids, FREE_INSTANCE_IDS),
     "tree_xml_pieces": (tree_xml_pieces, TREE_XML_PIECES),
     "tree_xml_text": (tree_xml_text, TREE_XML_TEXT),
     "json_config_pieces": (json_config_pieces, JSON_CONFIG_PIECES),

@@ -9,7 +9,7 @@ from leafwork.catalog.registry import REGISTRY
 SMALL = "/root/testdata/sf0.001"
 # The edit batches, the opened projects and the streams run many short jobs; they
 # have tests of their own and are compared by ``tests/compare.py``.
-LONG = {"toc_delete_outcomes", "toc_move", "edit_batch", "opened_projects", "change_latest_stream", "current_topics_stream"}
+LONG = {"toc_delete_outcomes", "toc_remove", "toc_move", "edit_batch", "opened_projects", "change_latest_stream", "current_topics_stream"}
 
 
 @pytest.fixture(scope="module")
