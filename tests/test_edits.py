@@ -157,7 +157,7 @@ OPS = ["delete", "remove", "add_root", "add_child", "add_sibling", "move", "move
 def test_batches_equal_the_sequential_model(spark, seed, weights, n_names):
     rng = random.Random(seed)
     names = [f"f{i}.md" for i in range(n_names)]
-    models = {f"p{i}": random_project(rng, i, names) for i in range(10)}
+    models = {f"p{i}": random_project(rng, i, names) for i in range(8)}
     nodes, instances, topics, edits = [], [], [], []
     for p, m in models.items():
         for inst, tree in m.trees.items():
