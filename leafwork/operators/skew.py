@@ -18,7 +18,7 @@ def split_row_number(
 ) -> DataFrame:
     """Add ``row_number() over (partition by keys order by order)`` as ``name``.
 
-    ``order`` is a whole number, unique within a key; ``width`` is the number of
+    ``order`` is a whole number, unique within a key; keys are not NULL; ``width`` is the number of
     order values per slice. A sliding row count inside the slice is added to the
     total size of the slices before it.
     """

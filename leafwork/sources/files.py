@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 from leafwork.functions import text as X
 from leafwork.functions.paths import posix_join
 
+
 def read_files(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, content) of every file; nothing matches gives no rows."""
-    return (
-        spark.read.text(glob, wholetext=True)
-        .select(
-            F.url_decode(F.regexp_replace("_metadata.file_path", r"\Afile:/*", "/")).alias("path"),
-            F.col("value").alias("content"),
-        )
+    """(path, content) of every file.
+
+    Paths are plain: ``scheme://store/dir/x`` is ``/store/dir/x``, so that joining
+    and comparing them works the same on every file system.
+    """
+    # Escapes are undone; a plus sign is no escape in a file's address.
+    address = F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))
+    return spark.read.text(glob, wholetext=True).select(
+        F.regexp_replace(F.url_decode(address), r"\A[A-Za-z][A-Za-z0-9+.-]*:/*", "/").alias("path"),
+        F.col("value").alias("content"),
     )
 
 
