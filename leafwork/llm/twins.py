@@ -43,11 +43,11 @@ SQL = {
         split as (
           select doc_id, list_filter(string_split_regex(
             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-            '[\x20\x09-\x0D]+'), x -> x <> '') as words
+            '[\x20\x09-\x0D]+'), lambda x: x <> '') as words
           from documents),
         shingles as (
           select distinct doc_id, unnest(case when len(words) < 5 then [array_to_string(words, ' ')]
-            else list_transform(range(1, len(words) - 3), i -> array_to_string(words[i : i + 4], ' ')) end) as shingle
+            else list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' ')) end) as shingle
           from split where len(words) > 0),
         sizes as (select doc_id, count(*) as n from shingles group by doc_id),
         common as (
