@@ -9,7 +9,7 @@ candidates. They are compared in two steps, both estimated by counting equal low
 1. every text with the text of its bucket that is best connected, and components are
    formed from the confirmed links;
 2. all texts of a bucket that are still in different components, in blocks of bounded
-   size inside tasks, so that only likely pairs are ever passed on.
+   size inside tasks, so that only confirmed links are ever passed on.
 
 Within a family of copies the first step leaves few components, so the second one
 compares what is not linked yet, and no pair that could join two components is left
@@ -181,7 +181,8 @@ def near_duplicates(
     some = signed.where("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("words").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # Only texts with copies take part in the join; each class is dealt out in salted copies.
-    salted = classes.select("words", "rep", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt"))
+    # (Spark would judge the copies by the size before the explode: it must not broadcast them.)
+    salted = classes.select("words", "rep", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt")).hint("merge")
     owned = stored(
         signed.withColumn("_salt", _salt("doc_id"))
         .join(salted, ["words", "_salt"], "left")
@@ -202,15 +203,14 @@ def near_duplicates(
     least = percent / 100 - margin
     star = likely(_star(members), heads, least)
     first = components(confirmed(star, texts, percent, shingle))
-    rest = _rest(members, heads, first, least)
-    found = confirmed(rest, texts, percent, shingle)
+    found = stored(_rest(members, heads, texts, first, least, percent, shingle), "rest")
     of = lambda side: first.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
     joined = found.join(of("a"), "a", "left").join(of("b"), "b", "left")
     second = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     again = second.select(F.col("node").alias("component"), F.col("component").alias("_last"))
     grown = first.join(again, "component", "left").select("node", F.coalesce("_last", "component").alias("component"))
     alone = second.join(first.select("node"), "node", "left_anti").select("node", "component")
-    labels = grown.unionByName(alone).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    labels = grown.unionByName(alone).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))).hint("merge")
     out = owned.select("doc_id", "n_shingles", F.col("rep").alias("node"), _salt("doc_id").alias("_salt"))
     component = F.coalesce("component", "node")
     return out.join(labels, ["node", "_salt"], "left").select(
@@ -239,16 +239,22 @@ def likely(pairs: DataFrame, heads: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInPandas(check, "a long, b long")
 
 
-def _rest(members: DataFrame, heads: DataFrame, first: DataFrame, least: float) -> DataFrame:
-    """Likely pairs of texts that share a bucket but, so far, no component.
+_MEET = ["key", "_low", "_high"]
+
+
+def _rest(members: DataFrame, heads: DataFrame, texts: DataFrame, first: DataFrame, least: float, percent: int, shingle: int) -> DataFrame:
+    """Links ``a, b`` between texts that share a bucket but, so far, no component.
 
     A bucket's texts are cut into blocks by a hash; every two blocks of a bucket meet in
-    one group of bounded size. A pair is passed on by the first bucket it shares.
+    one group of bounded size. First the texts with a likely partner in their group are
+    found, then they meet again with their shingles, and confirmed links are passed on
+    unless the group has joined the two components already. So neither step passes on
+    more rows than it gets. A pair is looked at in the first bucket it shares.
     """
     placed = members.join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id")
     )
-    mixed = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low != _high")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("_least"), F.max("component").alias("_most")).where("_least != _most")
     open_ = placed.join(mixed.select("key"), "key", "left_semi")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = (
@@ -256,41 +262,82 @@ def _rest(members: DataFrame, heads: DataFrame, first: DataFrame, least: float)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("doc_id", "key", "component", "_own", F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"))
         .join(heads, "doc_id")
-        .repartition("key", "_low", "_high")
-        .sortWithinPartitions("key", "_low", "_high")
     )
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            groups = [g for _, g in batch.groupby(["key", "_low", "_high"], sort=False)]
-            for group in groups:
-                same = held and (held[0].iloc[0][["key", "_low", "_high"]] == group.iloc[0][["key", "_low", "_high"]]).all()
-                if held and not same:
-                    yield _likely_in(pd.concat(held), least)
-                    held = []
-                held.append(group)
-        if held:
-            yield _likely_in(pd.concat(held), least)
-
-    return dealt.mapInPandas(compare, "a long, b long").distinct()
-
-
-def _likely_in(group: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Pairs between a group's two blocks (or within its only one) that are likely links."""
-    key = group["key"].iloc[0]
+    def suspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(batches):
+            found = np.zeros(len(group), bool)
+            for i, others in _likely(group, least):
+                found[i] = found[others] = True
+            if found.any():
+                yield group[found]
+
+    met = _met(dealt).mapInPandas(suspect, dealt.schema)
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(batches):
+            ids, parts = group["doc_id"].tolist(), group["component"].tolist()
+            sets = [frozenset(shingle_set(text_words(t), shingle).tolist()) for t in group["text"]]
+            root = {c: c for c in parts}
+            out = []
+            for i, others in _likely(group, least):
+                for j in others:
+                    one, other = _root(root, parts[i]), _root(root, parts[j])
+                    if one != other:
+                        shared = len(sets[i] & sets[j])
+                        if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
+                            root[one] = other
+                            out.append((ids[i], ids[j]))
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
+
+    return _met(met.join(texts, "doc_id")).mapInPandas(link, "a long, b long")
+
+
+def _met(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition(*_MEET).sortWithinPartitions(*_MEET)
+
+
+def _root(root: dict, node: int) -> int:
+    while root[node] != node:
+        root[node] = root[root[node]]
+        node = root[node]
+    return node
+
+
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each group, in turn; groups of one row are passed over."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pd.concat([held, batch], ignore_index=True)
+        if not len(batch):
+            continue
+        keys = batch[_MEET].to_numpy()
+        edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        starts, ends = np.r_[0, edges], np.r_[edges, len(batch)]
+        for a, z in zip(starts[:-1], ends[:-1], strict=True):
+            if z - a > 1:
+                yield batch.iloc[a:z]
+        held = batch.iloc[starts[-1] :]
+    if held is not None and len(held) > 1:
+        yield held
+
+
+def _likely(group: pd.DataFrame, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a group, the rows in its other block (or, within one block, the
+    later ones) that are likely links to another component, first met in this bucket."""
+    key, low, high = (group[c].iloc[0] for c in _MEET)
     ids, parts, own = (group[c].to_numpy() for c in ("doc_id", "component", "_own"))
+    if (parts == parts[0]).all():
+        return
     signs = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(len(group), -1)
     bands = np.array(group["bands"].tolist(), np.int64)
-    within = group["_low"].iloc[0] == group["_high"].iloc[0]
-    left, right = [], []
     for i in range(len(group)):
-        others = (parts != parts[i]) & (ids > ids[i] if within else own > own[i])
-        at = np.flatnonzero(others)
+        at = np.flatnonzero((parts != parts[i]) & (ids > ids[i] if low == high else own > own[i]))
         if len(at):
             at = at[estimates(signs[i], signs[at]) >= least]
         if len(at):
             at = at[bands[at, (bands[at] == bands[i]).argmax(axis=1)] == key]
-            left.extend([ids[i]] * len(at))
-            right.extend(ids[at])
-    return pd.DataFrame({"a": np.array(left, np.int64), "b": np.array(right, np.int64)})
+        if len(at):
+            yield i, at
