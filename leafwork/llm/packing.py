@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.llm.common import stored
-from leafwork.llm.token_ids import PieceEncoder
+from leafwork.llm.token_ids import TextEncoder
 
 
 def token_pieces(
@@ -34,7 +34,7 @@ def token_pieces(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = PieceEncoder(tokenizer, keep_white=True)
+        encoder = TextEncoder(tokenizer)
         end, row = np.array([end_id], "<u4"), 0
         for batch in batches:
             out: list[tuple] = []

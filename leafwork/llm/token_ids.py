@@ -1,74 +1,73 @@
-"""Token ids of whole texts, with the pieces between white space encoded once each.
+"""Token ids of whole texts, by the fastest library that gives the tokenizer's own ids.
 
-Both tokenizers used here never join a character before white space with what
-follows, so a text's ids are those of its pieces in a row. Words repeat, and a table
-of pieces already seen, bounded in size, saves most of the work.
+A byte-pair tokenizer's file lists its tokens in the order of their merges, so the same
+table serves ``tiktoken``, which encodes several times faster. That way is taken for
+texts whose characters all belong to Latin scripts and common punctuation, where the
+libraries agree on every class of characters; all other texts, and those that may hold
+a special token, go to the tokenizer itself.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 
 import numpy as np
 
-# The white space of the tokenizers' own patterns (Unicode White_Space).
-_WHITE = "\t-\r \x85\xa0  -     　"
-_PIECES = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
-_WORDS = re.compile(f"[^{_WHITE}]+")
+# Characters outside of this go to the tokenizer itself; so does the end mark.
+_OTHER = re.compile("[^\x01-ſ‐-‧€]|<\\|")
+# Fixed value: how byte-level tokenizers split a text.
+_BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_WHITE = "\t-\r \x85\xa0"
+_END = "\x00"
 
 
-class PieceEncoder:
-    """``encode`` gives the same ids as the tokenizer on the whole text.
+def _bytes_of() -> dict[str, int]:
+    """The byte each character of a byte-level vocabulary stands for."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
-    ``keep_white`` says whether white space belongs to tokens (byte-level) or is
-    dropped. ``capacity`` bounds the number of pieces remembered.
-    """
 
-    def __init__(self, path: str, keep_white: bool, capacity: int = 200_000) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+def _class(kind: str) -> str:
+    """Characters of a general category, as the inside of a character class."""
+    return "".join(c for c in map(chr, range(1, 0x180)) if unicodedata.category(c)[0] == kind)
+
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._pieces = (_PIECES if keep_white else _WORDS).findall
-        self._capacity = capacity
-        self._forget()
+class TextEncoder:
+    """``encode`` gives the same ids as the tokenizer does for the whole text."""
 
-    def _forget(self) -> None:
-        self._slots: dict[str, int] = {}
-        self._flat = np.empty(1 << 16, np.uint32)
-        self._used = 0
-        self._starts = np.empty(self._capacity * 2 + 1, np.int64)
-        self._lengths = np.empty(self._capacity * 2 + 1, np.int64)
+    def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
+        from tokenizers import Tokenizer
 
-    def _learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 4096):
-            part = pieces[at : at + 4096]
-            for piece, one in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids, slot = one.ids, len(self._slots)
-                if self._used + len(ids) > len(self._flat):
-                    self._flat = np.resize(self._flat, 2 * (self._used + len(ids)))
-                self._flat[self._used : self._used + len(ids)] = ids
-                self._starts[slot], self._lengths[slot] = self._used, len(ids)
-                self._used += len(ids)
-                self._slots[piece] = slot
+        self._whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            given = json.load(file)
+        special = {t["content"] for t in given["added_tokens"]}
+        suffix = given["model"]["end_of_word_suffix"]
+        back = _bytes_of()
+        ranks = {}
+        for token, rank in given["model"]["vocab"].items():
+            if token not in special:
+                ended = bool(suffix) and token.endswith(suffix)
+                inner = bytes(back[c] for c in (token[: -len(suffix)] if ended else token))
+                ranks[inner + _END.encode() if ended else inner] = rank
+        if suffix:
+            letters, numbers = _class("L"), _class("N")
+            self._words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{_WHITE}{letters}{numbers}]+").findall
+        self._suffix = bool(suffix)
+        split = f"[^{_END}]*{_END}" if suffix else _BYTE_SPLIT
+        self._fast = tiktoken.Encoding("table", pat_str=split, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        out = []
-        pieces = self._pieces(text)
-        # Very long texts are taken in runs, so that their new pieces always fit.
-        for at in range(0, len(pieces), self._capacity):
-            run = pieces[at : at + self._capacity]
-            slots = self._slots
-            new = [p for p in dict.fromkeys(run) if p not in slots]
-            if new:
-                if len(slots) + len(new) > 2 * self._capacity:
-                    self._forget()
-                    new, slots = list(dict.fromkeys(run)), self._slots
-                self._learn(new)
-            found = np.fromiter(map(slots.__getitem__, run), np.int64, len(run))
-            lengths = self._lengths[found]
-            ends = np.cumsum(lengths)
-            places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self._starts[found] - (ends - lengths), lengths)
-            out.append(self._flat[places])
-        return np.concatenate(out) if out else np.empty(0, np.uint32)
+        if _OTHER.search(text):
+            return np.array(self._whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        if self._suffix:
+            # The end mark stands for the end-of-word suffix; it merges before anything else.
+            words = self._words(unicodedata.normalize("NFC", text).lower())
+            text = _END.join([*words, ""])
+        return self._fast.encode_to_numpy(text, disallowed_special=())
