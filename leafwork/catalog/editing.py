@@ -129,31 +129,30 @@ def toc_move(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree_rows(E.apply_edits(_corpus(spark, sf_dir), edits).corpus.nodes)
 
 
-# Node 5 is a child of the first root already.
+# Children of the first root stay where they are.
 TOC_MOVE = f"""
 with recursive {I.sql_toc()},
   moved as (select project_id, instance_id, node as id, case when node % 7 = 5 then 0 else parent end as parent, topic,
-              'old ' || doc_id as title, case when node % 7 = 5 and node <> 5 then 1 else 0 end as late,
-              case when node % 7 = 5 and node <> 5 then doc_id else ordinal end as sort from toc), {_RENUMBER}
+              'old ' || doc_id as title, case when node % 7 = 5 and parent <> 0 then 1 else 0 end as late,
+              case when node % 7 = 5 and parent <> 0 then doc_id else ordinal end as sort from toc), {_RENUMBER}
 """
 
 
 def toc_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles, files and start pages after renaming every fourth document."""
     edits = _edits(spark, sf_dir, "doc_id % 4 = 1", "rename", topic=I.TOPIC, title="concat('Re named ', doc_id)")
-    # Instance 'b' keeps one root, so that its start page follows the renames.
-    nodes = I.toc(spark, sf_dir).where("instance_id != 'b' or node_path[0] = 0")
-    corpus = E.corpus_of(nodes, I.instances(spark, sf_dir), I.topics(spark, sf_dir))
+    # Instance 'b' has one root, so its start page follows the renames.
+    corpus = E.corpus_of(I.toc(spark, sf_dir), I.instances(spark, sf_dir), I.topics(spark, sf_dir))
     result = E.apply_edits(corpus, edits).corpus
     pages = result.instances.select(*KEY, F.lit("start page").alias("path"), F.col("start_page").alias("topic"), F.col("name").alias("title"))
     return _tree_rows(result.nodes).unionByName(pages)
 
 
 TOC_RENAME = f"""
-with recursive {I.sql_toc()}, kept as (select * from toc where instance_id <> 'b' or starts_with(path, '0000000000')),
-last as (select project_id, instance_id, max(doc_id) as d from kept where doc_id % 4 = 1 and instance_id = 'b' group by all)
+with recursive {I.sql_toc()},
+last as (select project_id, instance_id, max(doc_id) as d from toc where doc_id % 4 = 1 and instance_id = 'b' group by all)
 select project_id, instance_id, path, case when doc_id % 4 = 1 then 're-named-' || doc_id || '.md' else topic end as topic,
-  case when doc_id % 4 = 1 then 'Re named ' else 'old ' end || doc_id as title from kept
+  case when doc_id % 4 = 1 then 'Re named ' else 'old ' end || doc_id as title from toc
 union all
 select b.project_id, b.instance_id, 'start page', coalesce('re-named-' || l.d || '.md', topic), 'Guide ' || b.instance_id
 from base b left join last l on l.project_id = b.project_id and l.instance_id = b.instance_id where node = 1

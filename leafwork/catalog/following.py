@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leafwork.catalog import configs as C
 from leafwork.catalog import inputs as I
 from leafwork.functions import paths as P
-from leafwork.plans.open_projects import open_projects
+from leafwork.plans.open_projects import Opened, open_projects
 from leafwork.session import scratch_folder
 from leafwork.streaming import changes as S
 
@@ -59,7 +59,7 @@ def change_latest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, followed as a stream."""
     folder = f"{scratch_folder(spark)}/{uuid.uuid4()}"
     S.follow_changes(_as_changes(_event_stream(spark, sf_dir)), folder).awaitTermination()
-    return S.latest_state(spark, folder).current().drop("batch")
+    return S.latest_state(spark, folder)
 
 
 CHANGE_LATEST = """
@@ -79,7 +79,7 @@ def title_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def title_changes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, followed as a stream."""
     folder = f"{scratch_folder(spark)}/{uuid.uuid4()}"
-    S.follow_titles(_as_saves(_event_stream(spark, sf_dir)), folder).awaitTermination()
+    S.follow_titles(_as_saves(_event_stream(spark, sf_dir)), folder, delay="0 seconds").awaitTermination()
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
@@ -95,7 +95,7 @@ from l where before is null or before <> title
 def title_rename_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rename edits for the changed titles of files that a tree holds."""
     changed = S.title_changes(_as_saves(_events(spark, sf_dir)))
-    nodes = I.documents(spark, sf_dir).where("doc_id % 2 = 0").selectExpr(
+    nodes = I.documents(spark, sf_dir).selectExpr(
         "concat('u', doc_id % 7) as project_id", "source as instance_id", "concat('f', doc_id, '.md') as topic"
     )
     return S.rename_edits(changed, nodes).select("project_id", "instance_id", "seq", "op", "topic", "title")
@@ -104,7 +104,7 @@ def title_rename_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 TITLE_RENAME_EDITS = f"""
 with c as ({TITLE_CHANGES})
 select c.project_id, d.source as instance_id, c.seq, 'rename' as op, c.file as topic, c.title
-from c join documents d on d.doc_id % 2 = 0 and 'f' || d.doc_id || '.md' = c.file and 'u' || (d.doc_id % 7) = c.project_id
+from c join documents d on 'f' || d.doc_id || '.md' = c.file and 'u' || (d.doc_id % 7) = c.project_id
 where c.title <> ''
 """
 
@@ -117,7 +117,7 @@ def current_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def current_topics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, followed as a stream."""
     folder = f"{scratch_folder(spark)}/{uuid.uuid4()}"
-    S.follow_sessions(_as_opened(_event_stream(spark, sf_dir)), folder).awaitTermination()
+    S.follow_sessions(_as_opened(_event_stream(spark, sf_dir)), folder, delay="0 seconds").awaitTermination()
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
@@ -131,16 +131,21 @@ select session, file, ts, event_id as seq, event_type as title from l where befo
 
 def opened_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every project opened from its files: detection, validation, trees and titles."""
-    documents = I.documents(spark, sf_dir)
     json_side = C.json_configs(spark, sf_dir).where("doc_id % 2 = 0").selectExpr(
         "concat('/w/', project_id) as project_id", "content"
     )
     xml_side = C.module_configs(spark, sf_dir).where("doc_id % 3 != 0").select("project_id", "content")
-    topics = documents.selectExpr(
+    return _opened_rows(open_projects(json_side, xml_side, C.tree_files(spark, sf_dir), _opened_topics(spark, sf_dir)))
+
+
+def _opened_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.documents(spark, sf_dir).selectExpr(
         "concat('/w/d', doc_id) as project_id", "explode(array('l0.md', 'l1.md', 'l0-0.md')) as file",
         f"{I.CONTENT} as content",
     )
-    opened = open_projects(json_side, xml_side, C.tree_files(spark, sf_dir), topics)
+
+
+def _opened_rows(opened: Opened) -> DataFrame:
     return opened.nodes.select(
         "project_id", "instance_id", "dialect", P.path_key(F.col("node_path")).alias("path"), "topic", "title"
     )
@@ -173,7 +178,36 @@ select '/w/d' || doc_id as project_id, instance_id, dialect, path, topic,
 from n
 """
 
+def reload_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects opened again as their JSON configuration is saved, and only those."""
+    folder = f"{scratch_folder(spark)}/{uuid.uuid4()}"
+    schema = I.documents(spark, sf_dir).schema
+    saved = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    stream = C.as_json_configs(saved.where("doc_id % 2 = 0")).selectExpr(
+        "concat('/w/', project_id) as project_id", "'project.json' as path", "'change' as kind",
+        "timestamp_seconds(doc_id) as ts", "doc_id as seq", "content",
+    )
+    modules = C.module_configs(spark, sf_dir).where("doc_id % 3 != 0").select("project_id", "content")
+    trees = C.tree_files(spark, sf_dir)
+    topics = _opened_topics(spark, sf_dir)
+
+    def reload(latest: DataFrame, touched: DataFrame) -> DataFrame:
+        opened = open_projects(
+            latest.where("exists").select("project_id", "content"),
+            modules.join(touched, "project_id", "left_semi"),
+            trees.join(touched, F.expr("substring_index(path, '/', 3) = project_id"), "left_semi"),
+            topics.join(touched, "project_id", "left_semi"),
+        )
+        return _opened_rows(opened)
+
+    S.follow_reloads(stream, folder, reload).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+RELOAD_STREAM = f"select * from ({OPENED_PROJECTS}) where cast(substr(project_id, 5) as bigint) % 2 = 0"
+
 QUERIES = {
+    "reload_stream": (reload_stream, RELOAD_STREAM),
     "change_latest": (change_latest, CHANGE_LATEST),
     "change_latest_stream": (change_latest_stream, CHANGE_LATEST),
     "title_changes": (title_changes, TITLE_CHANGES),

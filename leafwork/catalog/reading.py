@@ -10,7 +10,6 @@ from leafwork.functions import images as M
 from leafwork.functions import paths as P
 from leafwork.functions import text as X
 from leafwork.operators import lookup
-from leafwork.session import spread
 
 
 def topic_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,14 +34,14 @@ def set_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every topic with its heading replaced, as length and digest of the new text."""
     new = X.set_title(F.col("content"), F.concat(F.lit("New "), "file"))
     return (
-        I.topics(spark, sf_dir)
+        I.all_topics(spark, sf_dir)
         .withColumn("changed", new)
         .select("file", F.length("changed").alias("n_chars"), F.md5("changed").alias("digest"))
     )
 
 
 SET_TITLE = rf"""
-with {I.sql_topics()}, split_up as (
+with {I.sql_all_topics()}, split_up as (
   select *, regexp_extract(content, '\A\s*# [^\n]*', 0) as head from topics),
 changed as (
   select file, case when regexp_extract(content, '\A\s*# [ \t]*[^\s]', 0) <> ''
@@ -54,7 +53,7 @@ select file, length(changed) as n_chars, md5(changed) as digest from changed
 
 def live_saved_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles as shown while a topic is open and as compared on save."""
-    return I.topics(spark, sf_dir).select(
+    return I.all_topics(spark, sf_dir).select(
         "file",
         X.live_title(F.col("content"), F.col("file")).alias("live_title"),
         X.saved_title(F.col("content")).alias("saved_title"),
@@ -62,7 +61,7 @@ def live_saved_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LIVE_SAVED_TITLES = rf"""
-with {I.sql_topics()}, lines as (
+with {I.sql_all_topics()}, lines as (
   select *, trim(regexp_extract(content, '\A\s*([^\s][^\n]*)', 1), ' ' || chr(9) || chr(13)) as line from topics)
 select file,
   case when starts_with(line, '#') and not starts_with(line, '##')
@@ -98,7 +97,7 @@ from t
 
 def instance_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Default ids for conversation texts used as titles (their initials)."""
-    return spread(I.table(spark, sf_dir, "conversations")).select(
+    return I.table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", X.default_instance_id(F.col("text")).alias("instance_id")
     )
 
@@ -158,42 +157,67 @@ from customer
 """
 
 
+# Tags of every kind in front of each page, and what becomes of them in a topics folder.
+_TAGS = (
+    "<img src='s.png'><IMG SRC=\"u.png\"><img data-src=\"l.png\" src=\"m.png\"><img alt=\"x\" src=\"../images/r.png\">"
+    "<img src=\"HTTPS://h/x.png\"><img src=\"httpfoo.png\"><img src=\"../up.png\">"
+)
+_TAGS_MOVED = (
+    "<img src='../images/s.png'><img SRC=\"../images/u.png\"><img data-src=\"l.png\" src=\"../images/m.png\"><img alt=\"x\" src=\"../images/r.png\">"
+    "<img src=\"HTTPS://h/x.png\"><img src=\"../images/httpfoo.png\"><img src=\"../up.png\">"
+)
+
+
 def html_image_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Image tags of whole pages pointed at the images folder."""
-    html = F.replace(F.col("html"), F.lit("<a href="), F.lit("<img src="))
+    """Image tags of whole pages in a topics folder pointed at the images folder."""
+    html = F.concat(F.lit(_TAGS), F.replace(F.col("html"), F.lit("<a href="), F.lit("<img src=")))
+    path = F.expr("concat(if(page_id % 3 = 0, '/w/media/', '/w/topics/'), page_id, '.html')")
+    rewritten = F.when(M.in_topics_folder(path, F.lit("topics")), M.rewrite_html_images(html, F.lit("images"))).otherwise(html)
     return (
-        spread(I.table(spark, sf_dir, "pages"))
-        .withColumn("rewritten", M.rewrite_html_images(html, F.lit("images")))
+        I.table(spark, sf_dir, "pages")
+        .withColumn("rewritten", rewritten)
         .select("page_id", F.length("rewritten").alias("n_chars"), F.md5("rewritten").alias("digest"))
     )
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
 # Link targets in the pages start with a slash or a scheme, which RE2 can tell apart.
-HTML_IMAGE_REWRITE = r"""
+HTML_IMAGE_REWRITE = rf"""
 with p as (select page_id, replace(html, '<a href=', '<img src=') as html from pages),
-r as (select page_id, regexp_replace(html, '<img src="/([^"]*)"', '<img src="../images/\1"', 'g') as rewritten from p)
+r as (select page_id, case when page_id % 3 = 0 then {_quoted(_TAGS)} || html
+  else {_quoted(_TAGS_MOVED)} || regexp_replace(html, '<img src="/([^"]*)"', '<img src="../images/\1"', 'g') end as rewritten from p)
 select page_id, length(rewritten) as n_chars, md5(rewritten) as digest from r
 """
 
+# What takes the place of each line end of a document, and what becomes of it: images
+# that must change, images on the web or in place, and images in code or escaped.
+_MARKS = (
+    " ![a](./img/p.png) ![w](https://h/x.png) ![r](../images/r.png \"t\") `![c](c.png)` \\![e](e.png) ![p](p(1).png \"t\")"
+    " ![g][R] ![k]\n\n    ![i](i.png)\n\n~~~\n```\n![f](f.png)\n~~~\n\n[r]: d.png\n[k]: ./k.png\n[link]: l.png\n\n"
+)
+_MARKS_MOVED = (
+    " ![a](../images/img/p.png) ![w](https://h/x.png) ![r](../images/r.png \"t\") `![c](c.png)` \\![e](e.png) ![p](../images/p(1).png \"t\")"
+    " ![g][R] ![k]\n\n    ![i](i.png)\n\n~~~\n```\n![f](f.png)\n~~~\n\n[r]: ../images/d.png\n[k]: ../images/k.png\n[link]: l.png\n\n"
+)
 
-def md_image_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markdown images of whole documents pointed at the images folder.
 
-    Each line end of a document gets an image that must change, one on the web,
-    one already in place, and one inside a code span.
-    """
-    inserted = " ![a](./img/p.png) ![w](https://h/x.png) ![r](../images/r.png \"t\") `![c](c.png)`\n"
-    text = F.replace(F.col("text"), F.lit("\n"), F.lit(inserted))
+def md_image_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown images of whole documents in a topics folder pointed at the images folder."""
+    text = F.replace(F.col("text"), F.lit("\n"), F.lit(_MARKS))
+    path = F.expr("concat(if(doc_id % 4 = 0, '/w/media/', '/w/topics/'), doc_id, '.md')")
+    rewritten = F.when(M.in_topics_folder(path, F.lit("topics")), M.rewrite_markdown_images(text, F.lit("images"))).otherwise(text)
     return (
-        I.texts(spark, sf_dir)
-        .withColumn("rewritten", M.rewrite_markdown_images(text, F.lit("images")))
+        I.documents(spark, sf_dir)
+        .withColumn("rewritten", rewritten)
         .select("doc_id", F.length("rewritten").alias("n_chars"), F.md5("rewritten").alias("digest"))
     )
 
 
-MD_IMAGE_REWRITE = """
-with r as (select doc_id, replace(text, chr(10), ' ![a](../images/img/p.png) ![w](https://h/x.png)'
-    || ' ![r](../images/r.png "t") `![c](c.png)`' || chr(10)) as rewritten from documents)
+MD_IMAGE_REWRITE = f"""
+with r as (select doc_id, replace(text, chr(10), case when doc_id % 4 = 0 then {_quoted(_MARKS)} else {_quoted(_MARKS_MOVED)} end) as rewritten from documents)
 select doc_id, length(rewritten) as n_chars, md5(rewritten) as digest from r
 """
 

@@ -91,10 +91,7 @@ left join toc r on t.depth > 0 and r.project_id = t.project_id and r.instance_id
 
 def toc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roots per instance, the only root's topic, and nodes that have children."""
-    # One root is kept in every third instance, so that both cases occur.
-    nodes = I.toc(spark, sf_dir).where(
-        "instance_id != 'b' or node_path[0] = 0"
-    )
+    nodes = I.toc(spark, sf_dir)
     inner = tree.child_counts(nodes).groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("n_inner"), F.sum("n_children").alias("n_below_roots")
     )
@@ -102,13 +99,12 @@ def toc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOC_COUNTS = f"""
-with recursive {I.sql_toc()}, kept as (
-  select * from toc where instance_id <> 'b' or starts_with(path, '0000000000')),
+with recursive {I.sql_toc()},
 r as (select project_id, instance_id, count(*) as n_roots,
         case when count(*) = 1 then min(topic) end as only_root_topic
-      from kept where depth = 0 group by all),
+      from toc where depth = 0 group by all),
 i as (select project_id, instance_id, count(distinct parent_path) as n_inner, count(*)::bigint as n_below_roots
-      from kept where depth > 0 group by all)
+      from toc where depth > 0 group by all)
 select r.project_id, r.instance_id, n_roots, only_root_topic, n_inner, n_below_roots from r left join i using (project_id, instance_id)
 """
 

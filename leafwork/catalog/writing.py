@@ -27,15 +27,12 @@ def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tree_xml_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tree files of all instances, in pieces."""
-    # Instance 'b' keeps one root, so that its start page follows the root.
-    nodes = I.toc(spark, sf_dir).where("instance_id != 'b' or node_path[0] = 0")
-    pieces = D.tree_pieces(I.instances(spark, sf_dir), nodes)
+    pieces = D.tree_pieces(I.instances(spark, sf_dir), I.toc(spark, sf_dir))
     return pieces.select(*KEY, P.path_key(F.col("key")).alias("key"), "text")
 
 
 _DOCTYPE = "<!DOCTYPE instance-profile SYSTEM \"https://resources.jetbrains.com/writerside/1.0/product-profile.dtd\">"
 _TREE_TEXT = f"""
-  kept as (select * from toc where instance_id <> 'b' or starts_with(path, '0000000000')),
   pieced as (
     select project_id, instance_id, '0000000000' as key,
       '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '{_DOCTYPE}' || chr(10) || chr(10) ||
@@ -56,7 +53,7 @@ _FLAGGED = """
       and c.parent_path = t.path) as inner_node,
       t.ordinal = max(t.ordinal) over (partition by t.project_id, t.instance_id, t.parent_path) as is_last from {source} t)
 """
-_TREE_CTES = _TREE_TEXT.replace("pieced as (", _FLAGGED.format(source="kept").strip() + ",\n  pieced as (")
+_TREE_CTES = _TREE_TEXT.replace("pieced as (", _FLAGGED.format(source="toc").strip() + ",\n  pieced as (")
 TREE_XML_PIECES = f"""
 with recursive {I.sql_toc()}, {_TREE_CTES}
 select project_id, instance_id, key, text from pieced
@@ -64,17 +61,16 @@ select project_id, instance_id, key, text from pieced
 
 
 def tree_xml_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tree files of bounded size as whole texts (length and digest)."""
-    nodes = I.toc(spark, sf_dir).where("instance_id != 'b' or node_path[0] = 0")
-    text = D.assemble(D.tree_pieces(I.instances(spark, sf_dir), nodes), KEY, max_pieces=500)
-    return text.select(*KEY, F.length("content").alias("n_chars"), F.md5("content").alias("digest"))
+    """All tree files as texts, in blocks of 500 pieces (length and digest of each)."""
+    text = D.assemble(D.tree_pieces(I.instances(spark, sf_dir), I.toc(spark, sf_dir)), KEY, block=500)
+    return text.select(*KEY, "block", F.length("content").alias("n_chars"), F.md5("content").alias("digest"))
 
 
 TREE_XML_TEXT = f"""
 with recursive {I.sql_toc()}, {_TREE_CTES},
-  whole as (select project_id, instance_id, string_agg(text, '' order by key) as content from pieced
-            group by all having count(*) <= 500)
-select project_id, instance_id, length(content) as n_chars, md5(content) as digest from whole
+  placed as (select *, (row_number() over (partition by project_id, instance_id order by key) - 1) // 500 as block from pieced),
+  whole as (select project_id, instance_id, block, string_agg(text, '' order by key) as content from placed group by all)
+select project_id, instance_id, block, length(content) as n_chars, md5(content) as digest from whole
 """
 
 
@@ -200,7 +196,7 @@ from asked a join free f using (p_brand, p_name, r)
 
 def unique_instance_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free instance ids for customers, whose default ids repeat within a nation."""
-    wanted = I.table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").selectExpr(
+    wanted = I.table(spark, sf_dir, "customer").selectExpr(
         "concat('n', c_nationkey) as project_id", "c_custkey as seq", "lower(left(c_mktsegment, 2)) as wanted_id"
     )
     taken = I.table(spark, sf_dir, "supplier").selectExpr(
@@ -214,7 +210,7 @@ UNIQUE_INSTANCE_IDS = """
 with asked as (
   select c_nationkey as nk, c_custkey, lower(left(c_mktsegment, 2)) as id,
     row_number() over (partition by c_nationkey, left(c_mktsegment, 2) order by c_custkey) as r
-  from customer where c_custkey % 2 = 0),
+  from customer),
 used as (select distinct s_nationkey as nk, case s_suppkey % 3 when 0 then 'bu' when 1 then 'au' else 'ho' end as id,
            case s_suppkey % 4 when 1 then 1 when 2 then 2 else 0 end as n from supplier),
 free as (
@@ -228,7 +224,7 @@ from asked a join free f on f.nk = a.nk and f.id = a.id and f.r = a.r
 
 
 def _customer_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").selectExpr(
+    return I.table(spark, sf_dir, "customer").selectExpr(
         "concat('n', c_nationkey) as project_id", "concat('c', c_custkey) as instance_id", "c_name as name",
         "concat(c_mktsegment, '.md') as start_page", "c_custkey as ordinal",
     )
@@ -249,7 +245,7 @@ def instance_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INSTANCE_UPSERT = """
 with old as (select 'n' || c_nationkey as p, 'c' || c_custkey as i, c_name as name, c_mktsegment || '.md' as sp, c_custkey as ordinal
-             from customer where c_custkey % 2 = 0),
+             from customer),
 ch as (select 'n' || c_nationkey as p, 'c' || o_custkey as i, arg_max('order ' || o_orderkey, o_orderkey) as name,
          arg_max(o_orderstatus || '.md', o_orderkey) as sp, min(o_orderkey) as seq
        from orders join customer on o_custkey = c_custkey group by 1, 2),
@@ -322,12 +318,12 @@ def instance_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
 INSTANCE_RENAMES = """
 with l as (select o_custkey, arg_max(o_orderpriority, o_orderkey) as name from orders group by 1)
 select 'n' || c_nationkey as project_id, 'c' || c_custkey as instance_id, coalesce(l.name, c_name) as name, c_custkey as ordinal
-from customer left join l on o_custkey = c_custkey where c_custkey % 2 = 0
+from customer left join l on o_custkey = c_custkey
 """
 
 def instance_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First instance of each wanted id, where orders repeat a customer's id."""
-    entries = I.table(spark, sf_dir, "orders").where("o_totalprice > 400000").selectExpr(
+    entries = I.table(spark, sf_dir, "orders").selectExpr(
         "o_orderpriority as project_id", "concat('c', o_custkey) as instance_id",
         "concat('order ', o_orderkey) as name", "o_orderkey as ordinal",
     )
@@ -339,7 +335,7 @@ def instance_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INSTANCE_LOOKUP = """
 with f as (select 'c' || o_custkey as i, min(o_orderkey) as k from orders
-           where o_totalprice > 400000 and o_orderpriority = '2-HIGH' group by 1)
+           where o_orderpriority = '2-HIGH' group by 1)
 select '2-HIGH' as project_id, 'c' || c_custkey as instance_id, 'order ' || f.k as name, f.k as ordinal, f.k is not null as found
 from customer left join f on f.i = 'c' || c_custkey
 """
@@ -347,7 +343,7 @@ from customer left join f on f.i = 'c' || c_custkey
 
 def free_instance_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers whose id no order of their priority class has taken."""
-    taken = I.table(spark, sf_dir, "orders").where("o_totalprice > 400000").selectExpr(
+    taken = I.table(spark, sf_dir, "orders").selectExpr(
         "o_orderpriority as project_id", "concat('c', o_custkey) as instance_id"
     )
     wanted = I.table(spark, sf_dir, "customer").selectExpr(
@@ -358,7 +354,7 @@ def free_instance_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FREE_INSTANCE_IDS = """
 select '1-URGENT' as project_id, 'c' || c_custkey as instance_id from customer
-where c_custkey not in (select o_custkey from orders where o_totalprice > 400000 and o_orderpriority = '1-URGENT')
+where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')
 """
 
 QUERIES = {

@@ -16,21 +16,33 @@ from leafwork.functions.paths import posix_join
 # Fixed value: an <img> tag with a quoted src attribute.
 IMG_TAG = r"""(?i)<img\s+([^>]*src\s*=\s*["'])([^"']+)(["'][^>]*)>"""
 
-# Markdown constructs in the order they take precedence: fenced blocks, code
-# spans, then inline images with a bracketed or bare destination. Each begins with
-# a plain character, so that most positions of a text are passed at once.
-_FENCE = r"(?m:^) {0,3}(?:```[^`\n]*|~~~[^\n]*)(?:\n[\s\S]*?)??(?:\n {0,3}(?:`{3,}|~{3,})[ \t]*(?=\n|\z)|\z)"
+# Markdown constructs in the order they take precedence: fenced blocks (closed by the
+# same character, at least as often), indented blocks after a blank line, code spans,
+# then inline images with a bracketed or bare destination, and link definitions. What
+# is matched and is no image or definition stays as it is.
+_FENCE = (
+    r"(?m:^) {0,3}(?:(?<tick>`{3,})[^`\n]*|(?<wave>~{3,})[^\n]*)"
+    r"(?:\n[\s\S]*?)??(?:\n {0,3}(?:\k<tick>`*|\k<wave>~*)[ \t]*(?=\n|\z)|\z)"
+)
+_INDENTED = r"(?:\A|(?m:^)[ \t]*\n)(?:(?: {4}|\t)[^\n]*(?:\n|\z))+"
 _CODE_SPAN = r"``(?<!```)(?!`)[\s\S]*?[^`]``(?!`)|`(?<!``)(?!`)[^`]+`(?!`)"
 _ALT = r"!\[[^\]\\]*+(?:\\.[^\]\\]*+)*+\]"
 _END = r"(?:[ \t]+(?:\"[^\"]*\"|'[^']*'))?[ \t]*\)"
-_IMAGE = _ALT + r"\([ \t]*(?:<[^>\n]*>|[^\s()<>]+)" + _END
-MD_TOKEN = f"{_FENCE}|{_CODE_SPAN}|{_IMAGE}"
-_MD_PARTS = f"({_ALT}" + r"\([ \t]*<?)([^\s()<>]+|(?<=<)[^>\n]+)([\s\S]*)"
+# A bare destination may hold pairs of parentheses, one level deep.
+_BARE = r"(?:[^\s()<>]|\([^\s()<>]*\))+"
+_IMAGE = r"(?<!(?<!\\)\\)" + _ALT + r"\([ \t]*(?:<[^>\n]*>|" + _BARE + ")" + _END
+_DEFINITION = r"(?m:^) {0,3}\[[^\]\n]+\]:[ \t]*[^\s<>]+"
+MD_TOKEN = f"{_FENCE}|{_INDENTED}|{_CODE_SPAN}|{_IMAGE}|{_DEFINITION}"
+_MD_PARTS = f"({_ALT}" + r"\([ \t]*<?)(" + _BARE + r"|(?<=<)[^>\n]+)([\s\S]*)"
+_DEF_PARTS = r"( {0,3}\[([^\]\n]+)\]:[ \t]*)([^\s<>]+)"
+# Images that name a definition: its label, or the text if the label is left out.
+_LABELLED = r"(?<!(?<!\\)\\)!\[([^\]\n]*)\](?!\()(?:\[([^\]\n]*)\])?"
 # A path that joining leaves as it is.
 _PLAIN_PATH = r"\A[^/.][^/]*(?:/[^/.][^/]*)*\z"
 
 
-def _rewrite(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+def rewrite_matches(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+    """A text with every match of a pattern changed."""
     pieces = F.split(text, pattern, -1)
     matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), change)
     joined = F.zip_with(
@@ -69,32 +81,37 @@ def rewrite_html_images(html: Column, images_folder: Column) -> Column:
 
         return _bind(F.regexp_extract(tag, IMG_TAG, 2), with_src)
 
-    return F.when(F.regexp_like(html, F.lit("(?i)<img")), _rewrite(html, IMG_TAG, change)).otherwise(html)
+    return F.when(F.regexp_like(html, F.lit("(?i)<img")), rewrite_matches(html, IMG_TAG, change)).otherwise(html)
 
 
 def rewrite_markdown_images(text: Column, images_folder: Column) -> Column:
-    """The same for inline Markdown images outside fenced blocks and code spans.
+    """The same for Markdown images outside fenced and indented blocks and code spans.
 
-    Covered: ``![alt](src)``, ``![alt](<src>)``, each with an optional title.
-    Reference-style images are left alone.
+    Covered: ``![alt](src)``, ``![alt](<src>)``, each with an optional title, and the
+    definitions ``[label]: src`` that images name (links that name them follow).
     """
     prefix = posix_join(F.lit(".."), images_folder)
+    label = lambda m: F.lower(F.coalesce(F.nullif(F.regexp_extract(m, _LABELLED, 2), F.lit("")), F.regexp_extract(m, _LABELLED, 1)))
+    named = F.transform(F.regexp_extract_all(text, F.lit(_LABELLED), F.lit(0)), label)
 
-    def change(token: Column) -> Column:
+    def moved(token: Column, parts: str, before: int, at: int, after: int | None) -> Column:
         def with_src(src: Column) -> Column:
             keep = (src == "") | src.startswith(prefix) | src.startswith("http")
-            moved = F.concat(
-                F.regexp_extract(token, _MD_PARTS, 1),
-                _below_images(images_folder, src),
-                F.regexp_extract(token, _MD_PARTS, 3),
-            )
-            return F.when(keep, token).otherwise(moved)
+            rest = [] if after is None else [F.regexp_extract(token, parts, after)]
+            new = F.concat(F.regexp_extract(token, parts, before), _below_images(images_folder, src), *rest)
+            return F.when(keep, token).otherwise(new)
 
-        return F.when(
-            token.startswith("!["), _bind(F.regexp_extract(token, _MD_PARTS, 2), with_src)
-        ).otherwise(token)
+        return _bind(F.regexp_extract(token, parts, at), with_src)
 
-    return F.when(F.contains(text, F.lit("![")), _rewrite(text, MD_TOKEN, change)).otherwise(text)
+    def change(token: Column) -> Column:
+        defined = F.regexp_like(token, F.lit(r"\A {0,3}\[")) & F.array_contains(named, F.lower(F.regexp_extract(token, _DEF_PARTS, 2)))
+        return (
+            F.when(token.startswith("!["), moved(token, _MD_PARTS, 1, 2, 3))
+            .when(defined, moved(token, _DEF_PARTS, 1, 3, None))
+            .otherwise(token)
+        )
+
+    return F.when(F.contains(text, F.lit("![")), rewrite_matches(text, MD_TOKEN, change)).otherwise(text)
 
 
 def in_topics_folder(path: Column, topics_folder: Column) -> Column:

@@ -2,16 +2,17 @@
 
 Edits of one project are ordered by ``seq``, but most of them do not depend on
 each other. Each round finds, for all projects together, the pending edits that
-commute with every earlier pending edit of their project, and applies these
-set-wise; so the number of rounds is the length of the longest chain of edits
-that really depend on each other, and no task ever holds a whole tree or a whole
-project's edits.
-
-Why rounds may run ahead: an edit is held back when a node it takes away lies on
-the way from a root to a node that an earlier pending edit uses, or the other way
-round, or when one of the two brings in a name that the other looks up. Whatever
-an earlier edit may later be moved below is part of some earlier pending edit's
-own way to the root, so the test on the current trees is enough.
+commute with every earlier pending edit, whatever their kinds, and applies these
+set-wise; so the number of rounds is the length of the longest chain of edits that
+depend on each other, and no task ever holds a whole tree or a whole project's edits.
+A round writes the trees and projects that still have edits pending, no others.
+
+Two edits depend on each other when they meet in one of these, see ``_uses``: a node
+that one takes away and the other has on its way to the root; a name that one brings
+into a tree and the other looks up there; a file of the project that one creates,
+renames or deletes and the other too; a tree's start page or last root; the existence
+of an instance. Whatever an earlier edit may later be moved below is part of some
+earlier pending edit's own way to the root, so the test on the current trees is enough.
 
 New and moved nodes go last in their sibling list. Their position is taken from
 ``seq``, beyond every stored position, so that the order is right whichever round
@@ -81,6 +82,7 @@ class Result(NamedTuple):
     corpus: Corpus
     outcomes: DataFrame
     """Each edit with ``status``: ``applied`` or the reason why it was refused."""
+    rounds: int
 
 
 def corpus_of(nodes: DataFrame, instances: DataFrame, topics: DataFrame) -> Corpus:
@@ -113,23 +115,36 @@ def apply_edits(corpus: Corpus, edits: DataFrame, sibling_parent: str = "correct
     work = Corpus(nodes, cut_lineage(active[1]), cut_lineage(active[2]))
     pending = cut_lineage(edits.select(*EDIT_COLUMNS))
     done: list[DataFrame] = []
+    finished: list[Corpus] = []
+    rounds = 0
     while not pending.isEmpty():
         ready = cut_lineage(_ready(work, pending, sibling_parent))
+        rounds += 1
         work = _apply(work, ready)
         done.append(ready.select(*EDIT_COLUMNS, "status"))
         if len(done) == 16:
             done = [cut_lineage(_union(done))]
         pending = cut_lineage(pending.join(ready, ["project_id", "seq"], "left_anti"))
-    numbered = tree.renumber(work.nodes).withColumn(
+        # Trees without pending edits are through; they are not written again.
+        trees, projects = pending.select(*TREE).distinct(), pending.select("project_id").distinct()
+        through = Corpus(*(df.join(keys, on, "left_anti") for df, keys, on in _by_scope(work, trees, projects)))
+        finished.append(through)
+        work = Corpus(*(df.join(keys, on, "left_semi") for df, keys, on in _by_scope(work, trees, projects)))
+    ended = Corpus(*map(_union, zip(*finished))) if finished else work
+    numbered = tree.renumber(ended.nodes).withColumn(
         "node_path", F.col("node_path").cast(P.PATH_TYPE)
     )
     merged = Corpus(
         idle[0].unionByName(numbered),
-        idle[1].unionByName(work.instances),
-        idle[2].unionByName(work.files),
+        idle[1].unionByName(ended.instances),
+        idle[2].unionByName(ended.files),
     )
     outcomes = _union(done) if done else edits.select(*EDIT_COLUMNS, F.lit("").alias("status"))
-    return Result(merged, outcomes)
+    return Result(merged, outcomes, rounds)
+
+
+def _by_scope(work: Corpus, trees: DataFrame, projects: DataFrame) -> list[tuple[DataFrame, DataFrame, list[str]]]:
+    return [(work.nodes, trees, TREE), (work.instances, trees, TREE), (work.files, projects, ["project_id"])]
 
 
 def materialise(files: DataFrame, topics: DataFrame) -> DataFrame:
@@ -160,28 +175,13 @@ def _kind(op: Column) -> Column:
     )
 
 
-def _same_kind_run(pending: DataFrame) -> DataFrame:
-    """The leading edits of each project that are of one kind."""
-    kinds = pending.withColumn("kind", _kind(F.col("op")))
-    head = kinds.groupBy("project_id").agg(
-        F.min_by("kind", "seq").alias("head_kind"), F.min("seq").alias("head_seq")
-    )
-    headed = kinds.join(head, "project_id")
-    stop = headed.where("kind != head_kind").groupBy("project_id").agg(F.min("seq").alias("stop"))
-    return (
-        headed.join(stop, "project_id", "left")
-        .where("stop is null or seq < stop")
-        .where("kind != 'instance' or seq = head_seq")
-        .drop("stop", "head_kind")
-    )
-
-
-def _located(work: Corpus, run: DataFrame, sibling_parent: str) -> DataFrame:
+def _located(work: Corpus, pending: DataFrame, sibling_parent: str) -> DataFrame:
     """Add the nodes that each edit refers to, and its status.
 
     ``source``: node taken away or relabelled; ``parent``: path of the node that
     receives a child (empty for a new root).
     """
+    run = pending.withColumn("kind", _kind(F.col("op")))
     wanted = (
         run.select(*TREE, F.explode(F.array("topic", "target")).alias("topic"))
         .where("topic is not null")
@@ -244,105 +244,153 @@ def _located(work: Corpus, run: DataFrame, sibling_parent: str) -> DataFrame:
 
 
 def _ready(work: Corpus, pending: DataFrame, sibling_parent: str) -> DataFrame:
-    """Edits that commute with every earlier pending edit of their project."""
+    """Edits that commute with every earlier pending edit."""
     # Used by several tests below, so it is written once.
-    located = cut_lineage(_located(work, _same_kind_run(pending), sibling_parent))
-    seq = F.col("seq")
-    structure = located.where("kind = 'structure'")
-
-    # Ways to the root, against nodes that are taken away.
-    ways = structure.select(
-        *TREE,
-        "seq",
-        "source",
-        F.explode(
-            F.array_union(
-                F.coalesce(P.prefixes(F.col("source")), F.array().cast("array<array<bigint>>")),
-                F.coalesce(
-                    F.when(F.size("parent") > 0, P.prefixes(F.col("parent"))),
-                    F.array().cast("array<array<bigint>>"),
-                ),
-            )
-        ).alias("node"),
-    ).withColumn("taken", F.coalesce(F.col("node") == F.col("source"), F.lit(False)))
-    first_use = ways.groupBy(*TREE, "node").agg(
-        F.min(F.when(F.col("taken"), seq)).alias("taken_at"), F.min("seq").alias("used_at")
+    located = cut_lineage(_located(work, pending, sibling_parent))
+    held = _later_of_pairs(cut_lineage(_uses(work, located)))
+    # A lookup of a repeated name depends on the whole tree: it waits for all
+    # earlier edits of the tree, and all later ones wait for it.
+    repeated = F.coalesce((F.col("t_copies") > 1) | (F.col("g_copies") > 1), F.lit(False)) & F.col("kind").isin("structure", "label")
+    barriers = located.groupBy(*TREE).agg(
+        F.min(F.when(repeated, F.col("seq"))).alias("barrier"), F.min("seq").alias("head_seq")
     )
-    by_way = ways.join(first_use, [*TREE, "node"]).where(
-        "taken_at < seq or (taken and used_at < seq)"
+    return (
+        located.join(held, ["project_id", "seq"], "left_anti")
+        .join(barriers, TREE)
+        .where("barrier is null or seq < barrier or (seq = barrier and seq = head_seq)")
+        .drop("barrier", "head_seq")
     )
 
-    # Names that one edit brings in and another looks up. Trees are apart for
-    # structural edits; renames also meet on the project's files.
-    is_label = F.col("kind") == "label"
-    scope = F.when(is_label, F.lit("")).otherwise(F.col("instance_id"))
-    found = F.col("source").isNotNull()
-    named = (
-        located.where("kind in ('structure', 'label')")
-        .select(
-            "project_id",
-            scope.alias("scope"),
-            "seq",
-            F.explode(
-                F.array(
-                    F.struct(F.col("topic").alias("name"), (is_label & found).alias("brings"), F.lit(True).alias("looks")),
-                    F.struct(F.col("target").alias("name"), F.lit(False).alias("brings"), F.lit(True).alias("looks")),
-                    F.struct(F.col("new_file").alias("name"), F.lit(True).alias("brings"), F.lit(False).alias("looks")),
-                )
-            ).alias("n"),
-        )
-        .select("project_id", "scope", "seq", "n.*")
-        .where("name is not null")
-    )
-    by_name = _earlier_pair(named, ["project_id", "scope", "name"], "brings", "looks")
 
-    # Files that one edit creates and another deletes.
-    created = structure.where("new_file is not null").select(
-        "project_id", F.col("new_file").alias("topic"), "seq"
-    )
-    holders = work.nodes.join(created.select("project_id", "topic").distinct(), ["project_id", "topic"]).select(
-        *TREE, "topic", F.explode(P.prefixes(F.col("node_path"))).alias("source")
-    )
-    deleted = structure.where("op = 'delete'").select(*TREE, "source", "seq")
-    file_uses = created.select("project_id", "topic", "seq", F.lit(True).alias("creates"), F.lit(False).alias("drops")).unionByName(
-        holders.join(deleted, [*TREE, "source"]).select(
-            "project_id", "topic", "seq", F.lit(False).alias("creates"), F.lit(True).alias("drops")
+def _uses(work: Corpus, located: DataFrame) -> DataFrame:
+    """What each edit does to what: scope (project_id, what, instance_id, name or node),
+    seq, and in which of two roles. Edits in different roles depend on each other."""
+    kind, op = F.col("kind"), F.col("op")
+    is_label, adds = kind == "label", op.isin(*_ADD) & (op != "create_instance")
+    found = F.col("source").isNotNull()
+    takes = op.isin("delete", "remove", "move")
+    drops = op.isin("delete", "remove")
+    no_node = F.lit(None).cast("array<bigint>")
+    yes, no = F.lit(True), F.lit(False)
+
+    def use(what: str, when: Column, name: Column, one: Column, other: Column, tree: bool = True) -> Column:
+        return F.when(
+            when & name.isNotNull(),
+            F.struct(
+                F.lit(what).alias("what"),
+                (F.col("instance_id") if tree else F.lit("")).alias("scope"),
+                name.cast("string").alias("name"),
+                no_node.alias("node"),
+                one.alias("one"),
+                other.alias("other"),
+            ),
         )
-    )
-    by_file = _earlier_pair(file_uses, ["project_id", "topic"], "creates", "drops")
 
-    # A lookup of a repeated name depends on the whole tree: it waits for all
-    # earlier edits, and all later ones wait for it.
-    repeated = (
-        located.where("kind in ('structure', 'label')")
-        .where("t_copies > 1 or g_copies > 1")
-        .groupBy("project_id")
-        .agg(F.min("seq").alias("barrier"))
-    )
-    held = (
-        by_way.select("project_id", "seq")
-        .unionByName(by_name)
-        .unionByName(by_file)
-        .distinct()
+    family = lambda name: F.regexp_replace(name, r"[0-9]*\.md$", "")
+    topic, target, new = F.col("topic"), F.col("target"), F.col("new_file")
+    page_set = (op == "set_start") | (is_label & (F.col("n_roots") == 1))
+    # Renaming moves the start page of a tree with one root only: adding and taking roots
+    # matters to it while the tree has one, or may be left with one.
+    unsure = (F.col("n_roots") <= 1) | (F.col("n_roots") - F.col("root_takers") < 2)
+    root_change = (F.size("parent") == 0) & adds | takes & (F.size("source") == 1)
+    roots = tree.root_counts(work.nodes).select(*TREE, "n_roots")
+    takers = located.where(takes & (F.size("source") == 1)).groupBy(*TREE).agg(F.count(F.lit(1)).alias("root_takers"))
+    known = (
+        located.join(roots, TREE, "left")
+        .join(takers, TREE, "left")
+        .withColumns({"n_roots": F.coalesce("n_roots", F.lit(0)), "root_takers": F.coalesce("root_takers", F.lit(0))})
     )
-    return (
-        located.join(held, ["project_id", "seq"], "left_anti")
-        .join(repeated, "project_id", "left")
-        .where("barrier is null or seq < barrier or (seq = barrier and seq = head_seq)")
-        .drop("barrier")
+    plain = known.select(
+        "project_id",
+        "seq",
+        F.explode(
+            F.array(
+                # Names in a tree: brought in, looked up.
+                use("name", is_label | (kind == "structure"), topic, is_label & found, yes),
+                use("name", kind == "structure", target, no, yes),
+                use("name", is_label | adds, new, yes, no),
+                # Files of the project: renamed from or to, by two renames; created and renamed.
+                use("rename", is_label, topic, found, yes, tree=False),
+                use("rename", is_label, new, yes, no, tree=False),
+                use("create", is_label, topic, yes, no, tree=False),
+                use("create", is_label, new, yes, no, tree=False),
+                use("create", adds, new, no, yes, tree=False),
+                # Files dropped (the other role is below) against files created or renamed.
+                use("drop", is_label, topic, no, yes, tree=False),
+                use("drop", is_label | adds, new, no, yes, tree=False),
+                # A new instance looks for a free file name.
+                use("free", op == "create_instance", family(new), yes, no, tree=False),
+                use("free", is_label, family(topic), no, yes, tree=False),
+                use("free", is_label | adds, family(new), no, yes, tree=False),
+                # Start pages are set, and not deleted.
+                use("page", page_set, F.coalesce("start_page", F.lit("")), yes, no),
+                use("page", op == "set_start", topic, yes, no),
+                use("page", is_label & (F.col("n_roots") == 1), new, yes, no),
+                use("page", op == "delete", topic, no, yes),
+                use("root", unsure & root_change, F.lit(""), yes, no),
+                use("root", unsure & is_label, F.lit(""), no, yes),
+                use("tree", op.isNotNull(), F.lit(""), op.isin("create_instance", "delete_instance"), yes),
+            )
+        ).alias("u"),
     )
 
-
-def _earlier_pair(rows: DataFrame, keys: list[str], one: str, other: str) -> DataFrame:
-    """(project_id, seq) of rows whose key has an earlier row of the other role."""
-    firsts = rows.groupBy(*keys).agg(
-        F.min(F.when(F.col(one), F.col("seq"))).alias("_one"),
-        F.min(F.when(F.col(other), F.col("seq"))).alias("_other"),
+    # Ways to the root, against nodes that are taken away; a label only minds nodes that go.
+    empty = F.array().cast("array<array<bigint>>")
+    way = F.array_union(
+        F.coalesce(P.prefixes(F.col("source")), empty),
+        F.coalesce(F.when(F.size("parent") > 0, P.prefixes(F.col("parent"))), empty),
     )
+    on_way = located.where("kind in ('structure', 'label')").withColumn("node", F.explode(way))
+    here = F.coalesce(F.col("node") == F.col("source"), no)
+
+    def ways(what: str, rows: DataFrame, one: Column, other: Column) -> DataFrame:
+        return rows.select(
+            "project_id", "seq", F.lit(what).alias("what"), F.col("instance_id").alias("scope"),
+            F.lit(None).cast("string").alias("name"), "node", one.alias("one"), other.alias("other"),
+        )
+
+    moving = ways("way", on_way.where("kind = 'structure'"), takes & here, yes)
+    going = ways("gone", on_way, drops & here, is_label)
+
+    # Files that a delete drops: those of the subtree, or of the whole instance. Only names
+    # that another edit of the batch touches matter.
+    touched = plain.where("u.what = 'drop' or u.what = 'free'")
+    names = touched.where("u.what = 'drop'").select("project_id", F.col("u.name").alias("topic")).distinct()
+    families = touched.where("u.what = 'free' and u.one").select("project_id", F.col("u.name").alias("family")).distinct()
+    holders = work.nodes.select(*NODE, "topic", family(F.col("topic")).alias("family"))
+    deleted = located.where("op = 'delete' and source is not null").select(*TREE, "source", "seq")
+    ended = located.where("op = 'delete_instance'").select(*TREE, "seq")
+
+    def dropped(what: str, rows: DataFrame, name: str, one: Column, other: Column) -> DataFrame:
+        below = rows.withColumn("source", F.explode(P.prefixes(F.col("node_path")))).join(deleted, [*TREE, "source"])
+        lost = below.select("project_id", "seq", name).unionByName(rows.join(ended, TREE).select("project_id", "seq", name))
+        return lost.distinct().select(
+            "project_id", "seq", F.lit(what).alias("what"), F.lit("").alias("scope"), F.col(name).alias("name"),
+            no_node.alias("node"), one.alias("one"), other.alias("other"),
+        )
+
+    return _union([
+        plain.where("u is not null").select("project_id", "seq", "u.*"),
+        moving,
+        going,
+        dropped("drop", holders.join(names, ["project_id", "topic"]), "topic", yes, no),
+        dropped("free", holders.join(families, ["project_id", "family"]), "family", no, yes),
+    ])
+
+
+def _later_of_pairs(uses: DataFrame) -> DataFrame:
+    """(project_id, seq) of edits that meet an earlier one in the other role."""
+    keys = ["project_id", "what", "scope", "name", "node"]
+    firsts = uses.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
+        F.min(F.when(F.col("one"), F.col("seq"))).alias("_one"),
+        F.min(F.when(F.col("other"), F.col("seq"))).alias("_other"),
+    ).where("_one is not null and _other is not null")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     return (
-        rows.join(firsts, keys)
-        .where((F.col(other) & (F.col("_one") < F.col("seq"))) | (F.col(one) & (F.col("_other") < F.col("seq"))))
+        uses.join(firsts, same)
+        .where("(other and _one < seq) or (one and _other < seq)")
         .select("project_id", "seq")
+        .distinct()
     )
 
 
@@ -458,7 +506,7 @@ def _apply_settings(work: Corpus, ok: DataFrame, ops: set[str]) -> DataFrame:
             "ordinal",
         )
     if "create_instance" in ops:
-        # At most one instance is created per project and round, so seq orders them.
+        # seq orders the instances created in one round.
         rows = rows.unionByName(
             ok.where("op = 'create_instance'").select(
                 *TREE,

@@ -1,29 +1,34 @@
 """Window-like operators that stay parallel when one key holds most of the rows.
 
 A plain ``Window.partitionBy(key)`` sorts a whole key in one task. Each operator
-here first cuts every key into slices that follow the order column, works slice
-by slice, and passes only one summary row per slice between them. Slices are a
-pure function of the order column, so a recomputed task gives the same result.
+here first deals the rows out by ranges of (keys, order), so that a slice is what
+one range holds of a key: slices have even numbers of rows, however the order values
+are spread. It works slice by slice and passes one summary row per slice between
+them. The slices are written once, so a recomputed task sees the same ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leafwork.session import cut_lineage
 
-def split_row_number(
-    df: DataFrame, keys: list[str], order: str, name: str, width: int = 1 << 16
-) -> DataFrame:
+
+def _sliced(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Add ``_slice``: it does not decrease along ``order``, and holds a bounded share of the rows."""
+    return cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()))
+
+
+def split_row_number(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
     """Add ``row_number() over (partition by keys order by order)`` as ``name``.
 
-    ``order`` is a whole number, unique within a key; keys are not NULL; ``width`` is the number of
-    order values per slice. A sliding row count inside the slice is added to the
-    total size of the slices before it.
+    ``order`` is unique within a key; keys are not NULL. The rank inside the slice is
+    added to the total size of the slices before it.
     """
     slice_keys = [*keys, "_slice"]
-    sliced = df.withColumn("_slice", F.floor(F.col(order) / F.lit(width)))
+    sliced = _sliced(df, keys, [order])
     sizes = sliced.groupBy(*slice_keys).agg(F.count(F.lit(1)).alias("_size"))
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -44,21 +49,19 @@ def split_lag(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    slice_of: Column,
     values: dict[str, str],
     carried: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``lag(column)`` per key under new names (``values``: name -> column).
 
-    ``slice_of`` must not decrease along ``order``. The last row of each slice is
-    found by a partially aggregated ``max_by``; it enters the next non-empty
-    slice as one extra row, so no task ever holds more than a slice. ``carried``
+    The last row of each slice is found by a partially aggregated ``max_by``; it
+    enters the key's next slice as one extra row. ``carried``
     gives the values before a key's first row (columns: keys and the value
     columns), for instance the state left by an earlier batch.
     """
     slice_keys = [*keys, "_slice"]
     columns = sorted(set(values.values()))
-    sliced = df.withColumn("_slice", slice_of)
+    sliced = _sliced(df, keys, order)
     rank = F.struct(*order)
     last = F.max_by(F.struct(*columns), rank)
     ends = sliced.groupBy(*slice_keys).agg(last.alias("_last"))
@@ -81,14 +84,14 @@ def split_lag(
 
 
 def split_running_max(
-    df: DataFrame, keys: list[str], order: list[str], value: str, name: str, width: int = 1 << 16
+    df: DataFrame, keys: list[str], order: list[str], value: str, name: str
 ) -> DataFrame:
     """Add the largest ``value`` so far per key, along ``order``, as ``name``.
 
-    The first order column is a whole number; it is cut into slices of ``width``.
+    Rows that are equal in keys and order should be merged before; ties stay together.
     """
     slice_keys = [*keys, "_slice"]
-    sliced = df.withColumn("_slice", F.floor(F.col(order[0]) / F.lit(width)))
+    sliced = _sliced(df, keys, order)
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     entering = (
         sliced.groupBy(*slice_keys)

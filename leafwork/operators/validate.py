@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafwork.session import cut_lineage
 from leafwork.sources import forest
 
 # The places of the configuration schema. Each place has a type, and
@@ -44,9 +45,10 @@ def _items(value: Column) -> Column:
     return F.coalesce(value.try_cast("array<variant>"), F.array().cast("array<variant>"))
 
 
-def _part(at: Column, place: str, value: Column, level: int = -1) -> Column:
+def _part(at: Column, place: str, value: Column, level: int = -1, rest: Column | None = None) -> Column:
     return F.struct(
-        at.alias("at"), F.lit(place).alias("place"), F.lit(level).alias("level"), value.alias("value")
+        at.alias("at"), F.lit(place).alias("place"), F.lit(level).alias("level"), value.alias("value"),
+        (F.lit(None).cast("string") if rest is None else rest).alias("rest"),
     )
 
 
@@ -58,34 +60,30 @@ def _slash(at: Column, step: Column | str) -> Column:
     return F.concat(at, F.lit("/"), F.lit(step) if isinstance(step, str) else step.cast("string"))
 
 
-def _toc_parts(tocs: Column, at: Column, level: int, max_depth: int) -> Column:
-    """All nodes below one list of nodes."""
+def _toc_parts(tocs: Column, at: Column, level: int, left: int) -> Column:
+    """All nodes of the next levels below one list of nodes; the last ones carry the rest."""
 
     def node(x: Column, i: Column) -> Column:
-        here, below = _slash(at, i), _get(x, "children")
-        if level == max_depth:
-            # Nothing may be left below the last declared level.
-            last = F.when(F.size(_items(below)) == 0, x).otherwise(
-                F.raise_error(F.lit(f"tree deeper than {max_depth + 1} levels: raise max_depth"))
-            )
-            return F.array(_part(here, "toc", last, level))
-        deeper = _toc_parts(_items(below), _slash(here, "children"), level + 1, max_depth)
-        return F.concat(F.array(_part(here, "toc", x, level)), deeper)
+        here, below = _slash(at, i), _items(_get(x, "children"))
+        if left == 0:
+            return F.array(_part(here, "toc", x, level, F.when(F.size(below) > 0, F.to_json(below))))
+        return F.concat(F.array(_part(here, "toc", x, level)), _toc_parts(below, _slash(here, "children"), level + 1, left - 1))
 
     return F.flatten(F.transform(tocs, node))
 
 
-def parts(config: Column, max_depth: int) -> Column:
+def parts(config: Column) -> Column:
     """Every object of a configuration, with its place in the schema.
 
-    One expression over one value: nothing is shuffled.
+    One expression over one value: nothing is shuffled. Nodes deeper than a block of
+    levels are left as text with the last node above them.
     """
     listed = _get(config, "instances")
 
     def instance(x: Column, i: Column) -> Column:
         here = _slash(F.lit("/instances"), i)
         tocs = _toc_parts(
-            _items(_get(x, "toc-elements")), _slash(here, "toc-elements"), 0, max_depth
+            _items(_get(x, "toc-elements")), _slash(here, "toc-elements"), 0, forest.LEVELS
         )
         return F.concat(F.array(_part(here, "instance", x)), tocs)
 
@@ -107,14 +105,32 @@ def _keys_to(*places: str) -> list[str]:
     ]
 
 
-def violations(configs: DataFrame, dialect: str = "J", max_depth: int = forest.DEFAULT_DEPTH) -> DataFrame:
+def violations(configs: DataFrame, dialect: str = "J") -> DataFrame:
     """(project_id, instance_path, keyword, detail), all violations of all configurations.
 
-    ``configs``: project_id, content. Unparseable configurations give no rows.
+    ``configs``: project_id, content. Text that cannot be parsed, or none at all, is one
+    violation (``parse``). Trees deeper than a block of levels are checked in further
+    rounds, over what is left of them.
     """
-    found = configs.select("project_id", F.try_parse_json("content").alias("c")).where("c is not null")
-    part = found.select("project_id", F.explode(parts(F.col("c"), max_depth)).alias("p")).select("project_id", "p.*")
+    parsed = configs.select("project_id", F.try_parse_json("content").alias("c"))
+    broken = parsed.where("c is null").select(
+        "project_id", F.lit("").alias("instance_path"), F.lit("parse").alias("keyword"), F.lit("unreadable").alias("detail")
+    )
+    part = parsed.where("c is not null").select("project_id", F.explode(parts(F.col("c"))).alias("p"))
+    rows = last = cut_lineage(_checked(part.select("project_id", "p.*")))
+    while not (open_ := last.where("rest is not null")).isEmpty():
+        deeper = _toc_parts(_items(F.try_parse_json("rest")), F.col("instance_path"), 1, forest.LEVELS)
+        last = cut_lineage(_checked(open_.select("project_id", F.explode(deeper).alias("p")).select("project_id", "p.*")))
+        rows = rows.unionByName(last)
+    found = rows.where("keyword is not null").drop("rest").unionByName(broken)
+    return found.withColumn("dialect", F.lit(dialect))
+
+
+def _checked(part: DataFrame) -> DataFrame:
+    """(project_id, instance_path, keyword, detail, rest): a row per violation, and one
+    without a keyword for each node whose children are still text."""
     at, place, value = F.col("at"), F.col("place"), F.col("value")
+
     def row(path: Column, keyword: str, detail: Column) -> Column:
         return F.struct(
             path.alias("instance_path"), F.lit(keyword).alias("keyword"), detail.alias("detail")
@@ -160,9 +176,13 @@ def violations(configs: DataFrame, dialect: str = "J", max_depth: int = forest.D
     bad = F.filter(F.map_entries(value.try_cast("map<string,variant>")), is_bad)
     inside = F.flatten(F.transform(bad, rows_of))
     found = F.coalesce(inside, F.array(row(at, "type", F.lit("object"))))
-    return part.select("project_id", F.explode(found).alias("v")).select(
-        "project_id", "v.*", F.lit(dialect).alias("dialect")
+    listed = F.transform(found, lambda v: v.withField("rest", F.lit(None).cast("string")))
+    none = F.lit(None).cast("string")
+    more = F.struct(
+        _slash(at, "children").alias("instance_path"), none.alias("keyword"), none.alias("detail"), F.col("rest").alias("rest")
     )
+    kept = F.concat(listed, F.filter(F.array(more), lambda m: m["rest"].isNotNull()))
+    return part.select("project_id", F.explode(kept).alias("v")).select("project_id", "v.*")
 
 
 def normalised_xml(projects: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leafwork.operators import lookup, validate
 from leafwork.session import cut_lineage
-from leafwork.sources import detect, forest, json_config, xml_config
+from leafwork.sources import detect, json_config, xml_config
 
 
 class Opened(NamedTuple):
@@ -24,12 +24,11 @@ def open_projects(
     xml_configs: DataFrame,
     trees: DataFrame,
     topics: DataFrame,
-    max_depth: int = forest.DEFAULT_DEPTH,
 ) -> Opened:
     """Detect, validate and load every project, with the titles of its topics.
 
     ``json_configs``, ``xml_configs``: project_id, content; ``trees``: path, content
-    (below the project's folder); ``topics``: project_id, file, content. Projects
+    (below the project's folder); ``topics``: project_id, file, and content or title. Projects
     that are refused have a row in ``projects`` with code 0 and nothing else.
     """
     j_projects, x_projects = json_config.projects(json_configs), xml_config.projects(xml_configs)
@@ -45,13 +44,13 @@ def open_projects(
     projects = codes.join(settings, ["project_id", "dialect"], "left")
 
     chosen = codes.where("dialect is not null").select("project_id", "dialect")
-    j_only = json_configs.join(chosen.where("dialect = 'J'"), "project_id", "left_semi")
-    x_only = xml_configs.join(chosen.where("dialect = 'X'"), "project_id", "left_semi")
-    x_instances = xml_config.load_instances(xml_config.registry(x_only), trees)
-    instances = json_config.instances(j_only).unionByName(x_instances)
+    # What is joined are rows made in the scans; contents stay where they are.
+    of = lambda rows, dialect: rows.join(chosen.where(f"dialect = '{dialect}'"), "project_id", "left_semi")
+    x_instances = xml_config.load_instances(of(xml_config.registry(xml_configs), "X"), trees)
+    instances = of(json_config.instances(json_configs), "J").unionByName(x_instances)
 
     homes = x_instances.select("project_id", F.col("tree_path").alias("path"))
-    x_nodes = xml_config.nodes(trees, max_depth).join(homes, "path").select(
+    x_nodes = xml_config.nodes(trees).join(homes, "path").select(
         "project_id",
         "instance_id",
         "node_path",
@@ -59,5 +58,5 @@ def open_projects(
         F.lit(None).cast("string").alias("title"),
         F.lit("X").alias("dialect"),
     )
-    nodes = lookup.with_titles(json_config.nodes(j_only, max_depth).unionByName(x_nodes), topics)
+    nodes = lookup.with_titles(of(json_config.nodes(json_configs), "J").unionByName(x_nodes), topics)
     return Opened(projects, instances, nodes, violations)

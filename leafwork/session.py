@@ -17,27 +17,22 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a costly per-row expression all cores, when the input has fewer splits.
-
-    A small file, or one with a single row group, is read by one task. Inputs with
-    at least as many splits as cores are left as they are, so nothing large moves.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def scratch_folder(spark: SparkSession) -> str:
     """The reliable folder for checkpoints and intermediate tables.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``; only where that
-    is unset (tests, a laptop) is a temporary folder used.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset
+    a folder of the default file system is used; that is the local one just where Spark
+    itself runs locally.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafwork-")
-        )
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master or "").startswith("local"):
+            store = sc._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+            if store.startswith("file:"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = f"{store.rstrip('/')}/tmp/leafwork"
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="leafwork-"))
     return sc.getCheckpointDir()
 
 

@@ -40,27 +40,41 @@ def read_tree_files(spark: SparkSession, glob: str) -> DataFrame:
     return read_files(spark, glob)
 
 
-def read_topics(spark: SparkSession, glob: str, projects: DataFrame) -> DataFrame:
-    """Topics of the projects: (project_id, file, content).
-
-    ``projects``: project_id, topics_dir (as configured, or NULL). A topic belongs
-    to the project whose topics folder is one of its parent folders; ``file`` is
-    the path below it.
-    """
+def _owners(paths: DataFrame, projects: DataFrame) -> DataFrame:
+    """(path, project_id, file): a topic belongs to the project whose topics folder is one
+    of its parent folders; ``file`` is the path below it."""
     folder = posix_join(
         F.col("project_id"), F.coalesce(X.non_empty(F.col("topics_dir")), F.lit(X.DEFAULT_TOPICS_DIR))
     )
     homes = projects.select("project_id", F.rtrim(folder, F.lit("/")).alias("folder"))
-    # Folders above a file, as an equi-join key; the content joins in afterwards.
-    files = read_files(spark, glob)
+    # Folders above a file, as an equi-join key.
     steps = F.split("path", "/")
     above = F.transform(
         F.sequence(F.lit(2), F.size(steps) - 1),
         lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"),
     )
-    owned = (
-        files.select("path", F.explode(above).alias("folder"))
+    return (
+        paths.withColumn("folder", F.explode(above))
         .join(homes, "folder")
-        .select("path", "project_id", F.substring("path", F.length("folder") + 2, F.length("path")).alias("file"))
+        .withColumn("file", F.substring("path", F.length("folder") + 2, F.length("path")))
+        .drop("folder")
     )
-    return owned.join(files, "path").select("project_id", "file", "content")
+
+
+def read_titles(spark: SparkSession, glob: str, projects: DataFrame) -> DataFrame:
+    """Titles of the projects' topics: (project_id, file, title), NULL where there is no heading.
+
+    One scan; only paths and titles leave it. ``projects``: project_id, topics_dir (as
+    configured, or NULL).
+    """
+    titled = read_files(spark, glob).select("path", X.heading(F.col("content")).alias("title"))
+    return _owners(titled, projects).select("project_id", "file", "title")
+
+
+def read_topics(spark: SparkSession, glob: str, projects: DataFrame) -> DataFrame:
+    """Topics of the projects with their contents: (project_id, file, content).
+
+    For what writes contents; titles alone are read by :func:`read_titles`.
+    """
+    files = read_files(spark, glob)
+    return _owners(files.select("path"), projects).join(files, "path").select("project_id", "file", "content")

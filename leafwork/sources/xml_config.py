@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafwork.functions import text as X
+from leafwork.functions.images import rewrite_matches
 from leafwork.functions.paths import posix_join
 from leafwork.sources import forest
 
@@ -65,12 +66,18 @@ def registry(configs: DataFrame) -> DataFrame:
     )
 
 
-def _profiles(trees: DataFrame, max_depth: int) -> DataFrame:
-    node = forest.node_schema(["_topic"], "toc-element", max_depth, T.ArrayType(_STRING))
-    profile = T.StructType(
-        [*_attributes("id", "name", "start-page").fields, T.StructField("toc-element", T.ArrayType(node))]
-    )
-    p = F.from_xml("content", profile, _OPTIONS)
+def _below(levels: int) -> T.StructType:
+    """Nodes to some depth; the XML reader gives what is inside a deeper one as text."""
+    leaf = [T.StructField("toc-element", T.ArrayType(_STRING))]
+    return T.StructType([T.StructField("toc-element", T.ArrayType(forest.node_schema(["_topic"], "toc-element", levels, leaf)))])
+
+
+_BELOW, _ABOVE = _below(forest.LEVELS), _below(forest.LEVELS - 1)
+_HEAD = _attributes("id", "name", "start-page")
+
+
+def _profiles(trees: DataFrame, schema: T.StructType) -> DataFrame:
+    p = F.from_xml("content", schema, _OPTIONS)
     # An element without attributes and children counts as no profile.
     empty = F.regexp_like("content", F.lit(r"<instance-profile\s*(?:/>|>\s*</instance-profile\s*>)"))
     return trees.where(has_root(F.col("content"), "instance-profile") & ~empty).withColumn("p", p)
@@ -84,7 +91,7 @@ def load_instances(reg: DataFrame, trees: DataFrame) -> DataFrame:
     """
     entries = reg.where("src != ''").withColumn("path", posix_join(F.col("project_id"), F.col("src")))
     # Only the head of each file crosses the network here.
-    heads = _profiles(trees, 0).select(
+    heads = _profiles(trees, _HEAD).select(
         "path", F.col("p._id").alias("id"), F.col("p._name").alias("name"), F.col("p.`_start-page`").alias("page")
     )
     return entries.join(heads, "path").select(
@@ -97,16 +104,47 @@ def load_instances(reg: DataFrame, trees: DataFrame) -> DataFrame:
     )
 
 
-def nodes(trees: DataFrame, max_depth: int = forest.DEFAULT_DEPTH) -> DataFrame:
+# Stands for an ampersand where escapes must outlast a reading.
+_AMPERSAND = "\ue000\ue001"
+
+
+def _kept(content: Column) -> Column:
+    """Content of which the reader gives texts with their escapes, so that they can be read again."""
+    escaped = rewrite_matches(content, r"=\s*'[^'<]*'", lambda m: F.replace(m, F.lit('"'), F.lit("&quot;")))
+    return F.replace(escaped, F.lit("&"), F.lit(_AMPERSAND))
+
+
+def _flat(content: Column, siblings: Column, prefix: Column) -> Column:
+    """The nodes of the first levels of ``siblings``, read from ``content``.
+
+    Where a node of the last level has children, the content is read once more, one
+    level less deep, so that these nodes' insides come as text.
+    """
+    deep = lambda x: F.when(F.size(x["toc-element"]) > 0, F.lit(""))
+    nodes = forest.flatten(siblings, prefix, {"topic": "_topic"}, "toc-element", forest.LEVELS, deep)
+    inside = forest.leaves(F.from_xml(_kept(content), _ABOVE, _OPTIONS)["toc-element"], prefix, "toc-element", forest.LEVELS - 1)
+    text = lambda found: F.replace(F.element_at(found, 1)["text"], F.lit(_AMPERSAND), F.lit("&"))
+    found = lambda n, texts: text(F.filter(texts, lambda t: t["node_path"] == n["node_path"]))
+    with_rest = lambda texts: F.transform(nodes, lambda n: n.withField("rest", F.when(n["rest"].isNotNull(), found(n, texts))))
+    return F.when(
+        F.exists(nodes, lambda n: n["rest"].isNotNull()), F.element_at(F.transform(F.array(inside), with_rest), 1)
+    ).otherwise(nodes)
+
+
+def nodes(trees: DataFrame) -> DataFrame:
     """Nodes of tree files: path, instance_id, node_path, topic. ``trees``: path, content."""
-    flat = forest.flatten(F.col("p.`toc-element`"), {"topic": "_topic"}, "toc-element", max_depth, lambda below: F.size(below) == 0)
-    return (
-        _profiles(trees, max_depth)
-        .select("path", F.col("p._id").alias("instance_id"), F.explode(flat).alias("n"))
-        .select("path", "instance_id", "n.*")
-    )
+    root = F.array().cast("array<int>")
+    profiles = _profiles(trees, T.StructType([*_HEAD.fields, *_BELOW.fields]))
+    flat = _flat(F.col("content"), F.col("p.`toc-element`"), root)
+    first = profiles.select("path", F.col("p._id").alias("instance_id"), F.explode(flat).alias("n")).select("path", "instance_id", "n.*")
+
+    def deeper(rest: Column, path: Column) -> Column:
+        wrapped = F.concat(F.lit("<r>"), rest, F.lit("</r>"))
+        return _flat(wrapped, F.from_xml(wrapped, _BELOW, _OPTIONS)["toc-element"], path)
+
+    return forest.unfold(first, ["path", "instance_id"], deeper)
 
 
 def tree_ids(trees: DataFrame) -> DataFrame:
     """(path, instance_id) of the tree files that have a profile."""
-    return _profiles(trees, 0).select("path", F.col("p._id").alias("instance_id"))
+    return _profiles(trees, _HEAD).select("path", F.col("p._id").alias("instance_id"))

@@ -1,31 +1,28 @@
 """Following changes: latest configurations, changed titles, current topics, reloads.
 
-Each operator has a batch form over a table of changes, and a streaming form that
-runs the batch form on every micro-batch and carries keyed state between them.
-Ordered work within a key is cut into hours, so that a file saved all the time
-does not end up in one task.
+Each operator has a batch form over a table of changes and a streaming form whose state
+Spark keeps. Ordered work of the batch forms is cut into slices, so that a file saved
+all the time does not end up in one task. Streams hold events until the watermark has
+passed them and apply them in order of time, so that a late delivery does not
+overwrite a newer one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leafwork.functions import text as X
 from leafwork.operators.skew import split_lag
-from leafwork.streaming.state import KeyedState
+from leafwork.streaming.ordered import Changes
 
 ORDER = ["ts", "seq"]
 FILE = ["project_id", "file"]
 
 
-def _hour(ts: str = "ts") -> Column:
-    return F.floor(F.unix_timestamp(ts) / 3600)
-
-
 def latest_changes(changes: DataFrame) -> DataFrame:
     """Last change per (project_id, path) and whether the file exists after it.
 
@@ -45,7 +42,7 @@ def title_changes(saves: DataFrame, remembered: DataFrame | None = None) -> Data
     """
     titled = saves.withColumn("title", X.saved_title(F.col("content"))).where("title is not null")
     seen = split_lag(
-        titled.select(*FILE, *ORDER, "title"), FILE, ORDER, _hour(), {"before": "title"}, remembered
+        titled.select(*FILE, *ORDER, "title"), FILE, ORDER, {"before": "title"}, remembered
     )
     return seen.where("before is null or before != title").drop("before")
 
@@ -77,23 +74,33 @@ def current_topics(opened: DataFrame, remembered: DataFrame | None = None) -> Da
     """
     titled = opened.withColumn("title", X.live_title(F.col("content"), F.col("file"))).where("title is not null")
     seen = split_lag(
-        titled.select("session", "file", *ORDER, "title"), ["session"], ORDER, _hour(), {"before": "file"}, remembered
+        titled.select("session", "file", *ORDER, "title"), ["session"], ORDER, {"before": "file"}, remembered
     )
     return seen.where("before is null or before != file").drop("before")
 
 
 # Streams -------------------------------------------------------------------
 
+# Large states live in RocksDB, on the executors' disks; ordered events need it.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
-def _run(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
+def _started(stream: DataFrame, mode: str, step: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return (
         stream.writeStream.foreachBatch(step)
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
+def _written(folder: str) -> Callable[[DataFrame, int], None]:
+    """Write a batch's rows to a folder of its own: a batch that runs again replaces them."""
+    return lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+
 def without_repeats(stream: DataFrame, keys: list[str], delay: str) -> DataFrame:
     """Drop deliveries of one change that arrive again within ``delay``.
 
@@ -103,81 +110,75 @@ def without_repeats(stream: DataFrame, keys: list[str], delay: str) -> DataFrame
 
 
 def follow_changes(stream: DataFrame, folder: str, **trigger) -> StreamingQuery:
-    """Keep the latest change per file; read it with :func:`latest_state`."""
-    spark = stream.sparkSession
+    """Keep the latest change per file; read it with :func:`latest_state`.
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        state = latest_state(spark, folder)
-        new = latest_changes(batch)
-        known = state.before(batch_id).join(new.select("project_id", "path"), ["project_id", "path"], "left_semi")
-        # A change that arrives late does not replace a later one.
-        both = new.select("project_id", "path", "kind", "content", *ORDER).unionByName(known.drop("exists", "batch"))
-        state.record(latest_changes(both), batch_id)
-
-    return _run(stream, step, f"{folder}/checkpoint", **trigger)
-
-
-def latest_state(spark, folder: str) -> KeyedState:
-    return KeyedState(
-        spark,
-        f"{folder}/state",
-        ["project_id", "path"],
-        "project_id string, path string, kind string, content string, ts timestamp, seq bigint, exists boolean",
+    The state is one row per file. Repeated and late deliveries change nothing: the
+    largest time and number wins, whenever it comes.
+    """
+    return _started(latest_changes(stream), "update", _written(folder), f"{folder}/checkpoint", **trigger)
+
+
+def latest_state(spark, folder: str) -> DataFrame:
+    """Latest change per file, as far as the batches written."""
+    rows = spark.read.parquet(f"{folder}/out")
+    values = [c for c in rows.columns if c not in ("project_id", "path", "batch")]
+    last = F.max_by(F.struct(*values), "batch").alias("_v")
+    return rows.groupBy("project_id", "path").agg(last).select("project_id", "path", "_v.*")
+
+
+def _ordered(titled: DataFrame, keys: list[str], compared: str, delay: str) -> DataFrame:
+    """Rows whose ``compared`` differs from the row before in time, per key."""
+    timed = titled.withColumn("ts", F.col("ts").cast("timestamp"))
+    once = without_repeats(timed, [*keys, "seq"], delay).withColumn("at", F.unix_micros("ts"))
+    columns = [*keys, *([] if "file" in keys else ["file"]), "at", "seq", "title"]
+    schema = once.select(*columns).schema
+    changed = once.select("ts", *columns).groupBy(*keys).transformWithStateInPandas(
+        Changes(columns, schema, compared), schema, outputMode="Append", timeMode="EventTime"
     )
+    ts = F.timestamp_micros("at").cast(titled.schema["ts"].dataType)
+    return changed.withColumn("ts", ts).select(*[c if c != "at" else "ts" for c in columns])
 
 
-def follow_titles(stream: DataFrame, folder: str, **trigger) -> StreamingQuery:
-    """Write changed titles to ``folder/out``, one folder per batch."""
-    spark = stream.sparkSession
-    state = KeyedState(spark, f"{folder}/state", FILE, "project_id string, file string, title string")
+def title_stream(saves: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """The streaming form of :func:`title_changes`; ``delay`` is how late a save may come."""
+    titled = saves.withColumn("title", X.saved_title(F.col("content"))).where("title is not null")
+    return _ordered(titled.drop("content"), FILE, "title", delay)
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        remembered = state.before(batch_id).select(*FILE, "title").join(
-            batch.select(*FILE).distinct(), FILE, "left_semi"
-        )
-        title_changes(batch, remembered).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
-        titled = batch.withColumn("title", X.saved_title(F.col("content"))).where("title is not null")
-        state.record(titled.groupBy(*FILE).agg(F.max_by("title", F.struct(*ORDER)).alias("title")), batch_id)
 
-    return _run(stream, step, f"{folder}/checkpoint", **trigger)
+def session_stream(opened: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """The streaming form of :func:`current_topics`."""
+    titled = opened.withColumn("title", X.live_title(F.col("content"), F.col("file"))).where("title is not null")
+    return _ordered(titled.drop("content"), ["session"], "file", delay)
 
 
-def follow_sessions(stream: DataFrame, folder: str, **trigger) -> StreamingQuery:
-    """Write the steps of sessions between files to ``folder/out``."""
-    spark = stream.sparkSession
-    state = KeyedState(spark, f"{folder}/state", ["session"], "session string, file string")
+def follow_titles(stream: DataFrame, folder: str, delay: str = "10 minutes", **trigger) -> StreamingQuery:
+    """Write changed titles to ``folder/out``, one folder per batch."""
+    return _started(title_stream(stream, delay), "append", _written(folder), f"{folder}/checkpoint", **trigger)
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        remembered = state.before(batch_id).select("session", "file").join(
-            batch.select("session").distinct(), "session", "left_semi"
-        )
-        steps = current_topics(batch, remembered)
-        steps.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
-        titled = batch.where(X.live_title(F.col("content"), F.col("file")).isNotNull())
-        state.record(titled.groupBy("session").agg(F.max_by("file", F.struct(*ORDER)).alias("file")), batch_id)
 
-    return _run(stream, step, f"{folder}/checkpoint", **trigger)
+def follow_sessions(stream: DataFrame, folder: str, delay: str = "10 minutes", **trigger) -> StreamingQuery:
+    """Write the steps of sessions between files to ``folder/out``."""
+    return _started(session_stream(stream, delay), "append", _written(folder), f"{folder}/checkpoint", **trigger)
 
 
 def follow_reloads(
-    stream: DataFrame, folder: str, reload: Callable[[DataFrame], DataFrame], **trigger
+    stream: DataFrame,
+    folder: str,
+    reload: Callable[[DataFrame, DataFrame], DataFrame],
+    **trigger,
 ) -> StreamingQuery:
     """Reload the projects that a batch of changes touches, and only those.
 
-    ``reload`` gets the latest files (project_id, path, content) of the touched
-    projects and returns what to write to ``folder/out``. The new version of a
-    configuration is validated, not the one before it.
+    ``reload`` gets the changed files' latest versions (project_id, path, kind, content,
+    ts, seq, exists) and the touched projects (project_id), and returns what to write to
+    ``folder/out``. It reads other files of these projects where they are stored.
     """
-    spark = stream.sparkSession
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        state = latest_state(spark, folder)
-        new = latest_changes(batch)
-        touched = new.select("project_id").distinct()
-        known = state.before(batch_id).join(touched, "project_id", "left_semi").drop("exists", "batch")
-        files = latest_changes(new.select("project_id", "path", "kind", "content", *ORDER).unionByName(known))
-        state.record(files.join(new.select("project_id", "path"), ["project_id", "path"], "left_semi"), batch_id)
-        present = files.where("exists").select("project_id", "path", "content")
-        reload(present).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
-
-    return _run(stream, step, f"{folder}/checkpoint", **trigger)
+        # Written first: the reload may read it many times.
+        changed = f"{folder}/changed/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(changed)
+        latest = batch.sparkSession.read.schema(batch.schema).parquet(changed)
+        _written(folder)(reload(latest, latest.select("project_id").distinct()), batch_id)
+
+    return _started(latest_changes(stream), "update", step, f"{folder}/checkpoint", **trigger)

@@ -153,6 +153,8 @@ OPS = ["delete", "remove", "add_root", "add_child", "add_sibling", "move", "move
     (2, {"move": 8, "add_child": 4, "delete": 2}, 60),
     (3, {"rename": 6, "edit_title": 3, "move": 1, "add_root": 1}, 30),
     (4, None, 6),
+    (5, {"rename": 3, "add_root": 3, "create_instance": 3, "delete": 3, "set_start": 3, "edit_title": 1}, 12),
+    (6, {"delete_instance": 3, "create_instance": 6, "add_child": 3, "rename": 2, "rename_instance": 2}, 20),
 ])
 def test_batches_equal_the_sequential_model(spark, seed, weights, n_names):
     rng = random.Random(seed)
@@ -195,3 +197,32 @@ def test_batches_equal_the_sequential_model(spark, seed, weights, n_names):
     assert rows == {(p, i, *row) for p, m in models.items() for i, row in m.instances.items()}
     contents = {(r.project_id, r.file, r.content) for r in E.materialise(result.corpus.files, topics_df).collect()}
     assert contents == {(p, f, c) for p, m in models.items() for f, c in m.files.items()}
+
+
+def six_nodes(spark):
+    nodes = [("p", "a", [i], f"r{i}.md", f"r{i}") for i in range(2)]
+    nodes += [("p", "a", [0, i], f"c{i}.md", f"c{i}") for i in range(4)]
+    return E.corpus_of(
+        spark.createDataFrame(nodes, NODES),
+        spark.createDataFrame([("p", "a", "A", "r0.md", 0)], INSTANCES),
+        spark.createDataFrame([("p", n[3], "# x") for n in nodes], TOPICS),
+    )
+
+
+def test_kinds_commute_and_rounds_follow_dependence(spark):
+    """Alternating kinds of which one pair depends on each other take two rounds."""
+    edits = []
+    for i in range(4):
+        edits.append(("p", "a", 2 * i, "add_root", None, None, f"New {i}", None))
+        edits.append(("p", "a", 2 * i + 1, "rename", "new-0.md" if i == 3 else f"c{i}.md", None, f"Other {i}", None))
+    result = E.apply_edits(six_nodes(spark), spark.createDataFrame(edits, EDITS))
+    assert {r.status for r in result.outcomes.collect()} == {"applied"}
+    assert result.rounds <= 2
+
+
+def test_independent_creations_take_one_round(spark):
+    edits = [("p", f"i{k}", k, "create_instance", None, None, "Same Title", None) for k in range(6)]
+    result = E.apply_edits(six_nodes(spark), spark.createDataFrame(edits, EDITS))
+    assert result.rounds == 1
+    pages = sorted(r.start_page for r in result.corpus.instances.where("instance_id != 'a'").collect())
+    assert pages == ["same-title.md", *(f"same-title{k}.md" for k in range(1, 6))]

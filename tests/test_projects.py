@@ -103,6 +103,7 @@ def test_all_violations_are_reported(opened):
         ("/topics", "type", "object"),
         ("/instances/0/toc-elements/0/sort-children", "enum", "up"),
         ("/instances/0/toc-elements/0/children", "type", "array"),
+        ("", "parse", "unreadable"),
     }
 
 
@@ -111,6 +112,7 @@ def test_violation_rules(spark):
         "null": {("", "type", "object")},
         "[]": {("", "type", "object")},
         "{}": set(),
+        '{"a":': {("", "parse", "unreadable")},
         '{"instances":{}}': {("/instances", "type", "array")},
         '{"instances":[1]}': {("/instances/0", "type", "object")},
         '{"images":{"dir":1,"height":"x"}}': {("/images/dir", "type", "string"), ("/images", "additionalProperties", "height")},
@@ -142,19 +144,30 @@ def test_readability(spark):
     assert [got[i] for i in range(len(cases))] == list(cases.values())
 
 
-def test_deeper_trees_are_an_error_not_a_loss(spark):
-    raw = '{"topic":"t"}'
-    for _ in range(6):
-        raw = f'{{"topic":"t","children":[{raw}]}}'
-    df = spark.createDataFrame([("p", f'{{"instances":[{{"id":"i","toc-elements":[{raw}]}}]}}')], "project_id string, content string")
-    assert json_config.nodes(df, max_depth=6).count() == 7
-    with pytest.raises(PySparkException, match="deeper"):
-        json_config.nodes(df, max_depth=5).collect()
-    xml = "<instance-profile id='i'>" + "<toc-element topic='t'>" * 7 + "</toc-element>" * 7 + "</instance-profile>"
-    trees = spark.createDataFrame([("f", xml)], "path string, content string")
-    assert xml_config.nodes(trees, max_depth=6).count() == 7
-    with pytest.raises(PySparkException, match="deeper"):
-        xml_config.nodes(trees, max_depth=5).collect()
+@pytest.mark.parametrize("depth", [9, 200])
+def test_deep_trees_load_completely_beside_small_ones(spark, depth):
+    raw = '{"topic":"t","title":"leaf"}'
+    for _ in range(depth - 1):
+        raw = f'{{"topic":"t","children":[{raw},{{"topic":"s"}}]}}'
+    whole = f'{{"instances":[{{"id":"i","name":"n","start-page":"t","toc-elements":[{raw}]}}]}}'
+    bad = whole.replace('"title":"leaf"', '"title":"leaf","odd":1')
+    small = '{"instances":[{"id":"i","toc-elements":[{"topic":"x"}]}]}'
+    df = spark.createDataFrame([("p", whole), ("q", small), ("b", bad)], "project_id string, content string")
+    got = {(r.project_id, len(r.node_path), r.title) for r in json_config.nodes(df).collect()}
+    assert {("p", depth, "leaf"), ("q", 1, None), ("b", depth, "leaf")} <= got
+    assert json_config.nodes(df.where("project_id = 'p'")).count() == 2 * depth - 1
+    found = [(r.project_id, r.keyword, r.instance_path.count("/")) for r in validate.violations(df).collect()]
+    assert found == [("b", "additionalProperties", 2 * depth + 2)]
+    xml = "<instance-profile id='i'>" + "<toc-element topic='t&amp;&lt;\"'>" * depth + "</toc-element>" * depth + "<toc-element topic='u'/></instance-profile>"
+    trees = spark.createDataFrame([("p/f", xml), ("p/g", "<instance-profile id='k'><toc-element topic='x'/></instance-profile>")], "path string, content string")
+    assert xml_config.nodes(trees).where("topic = 't&<\"'").count() == depth and xml_config.nodes(trees).count() == depth + 2
+
+    modules = spark.createDataFrame([("m", '<ihp version="2.0"><instance src="f"/><instance src="g"/></ihp>')], "project_id string, content string")
+    at_m = trees.withColumn("path", F.regexp_replace("path", "^p", "m"))
+    topics = spark.createDataFrame([("p", "t", "# T")], "project_id string, file string, content string")
+    opened = open_projects(df, modules, at_m, topics)
+    counts = {r.project_id: r["count"] for r in opened.nodes.groupBy("project_id").count().collect()}
+    assert counts == {"p": 2 * depth - 1, "q": 1, "m": depth + 2}
 
 
 def test_write_and_read_back(spark, opened):
@@ -173,13 +186,15 @@ def test_write_and_read_back(spark, opened):
     assert validate.violations(configs).count() == 0
 
 
-def test_large_documents_are_left_as_pieces(spark, opened):
+def test_large_documents_come_in_ordered_blocks(spark, opened):
     _, result, _ = opened
     pieces = documents.tree_pieces(result.instances, result.nodes)
     keys = ["project_id", "instance_id"]
-    small = documents.assemble(pieces, keys, max_pieces=5).count()
-    rest = documents.oversized(pieces, keys, max_pieces=5)
-    assert small + rest.select(*keys).distinct().count() == pieces.select(*keys).distinct().count()
+    whole = {(r.project_id, r.instance_id): r.content for r in documents.assemble(pieces, keys).collect()}
+    parts = documents.assemble(pieces, keys, block=3).orderBy(*keys, "block").collect()
+    assert len(parts) > len(whole)
+    for key, text in whole.items():
+        assert "".join(r.content for r in parts if (r.project_id, r.instance_id) == key) == text
 
 
 def test_module_text(spark):

@@ -7,16 +7,16 @@ from leafwork.streaming import changes as S
 SCHEMA = "project_id string, file string, path string, session string, ts timestamp, seq bigint, kind string, content string"
 
 
-def feed(spark, folder):
+def feed(spark, folder, batch_of="seq div 60"):
     rows = spark.range(240).selectExpr(
         "'p' as project_id", "concat('f', if(id % 3 = 0, 0, id % 5), '.md') as file", "concat('c', id % 4) as path",
         "concat('s', id % 2) as session", "timestamp_seconds(1700000000 + id * 400) as ts", "id as seq",
         "if(id % 11 = 0, 'delete', 'change') as kind",
         "case when id % 7 = 0 then '' when id % 6 = 0 then 'plain' else concat('# T', id div 8) end as content",
     )
-    # Four files, in time order; each is one batch.
+    # Four files; each is one batch.
     for i in range(4):
-        rows.where(f"seq div 60 = {i}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        rows.where(f"{batch_of} = {i}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
     return rows
 
 
@@ -31,39 +31,58 @@ def as_set(df):
 def test_streams_equal_batches(spark, tmp_path):
     rows = feed(spark, tmp_path)
     titles = f"{tmp_path}/titles"
-    S.follow_titles(stream(spark, tmp_path), titles).awaitTermination()
+    S.follow_titles(stream(spark, tmp_path), titles, delay="0 seconds").awaitTermination()
     want = S.title_changes(rows)
     assert as_set(spark.read.parquet(f"{titles}/out").select(*want.columns)) == as_set(want)
     assert len(spark.read.parquet(f"{titles}/out").select("batch").distinct().collect()) > 1
 
     sessions = f"{tmp_path}/sessions"
-    S.follow_sessions(stream(spark, tmp_path), sessions).awaitTermination()
+    S.follow_sessions(stream(spark, tmp_path), sessions, delay="0 seconds").awaitTermination()
     want = S.current_topics(rows)
     assert as_set(spark.read.parquet(f"{sessions}/out").select(*want.columns)) == as_set(want)
 
     latest = f"{tmp_path}/latest"
     S.follow_changes(stream(spark, tmp_path), latest).awaitTermination()
     want = S.latest_changes(rows)
-    assert as_set(S.latest_state(spark, latest).current().select(*want.columns)) == as_set(want)
+    assert as_set(S.latest_state(spark, latest).select(*want.columns)) == as_set(want)
+
+
+def test_late_and_repeated_deliveries_change_nothing(spark, tmp_path):
+    rows = feed(spark, tmp_path, "pmod(xxhash64(seq), 4)")
+    # Every row arrives a second time, and one far later row lets the watermark pass.
+    spark.read.schema(SCHEMA).parquet(f"{tmp_path}/in").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    end = rows.limit(1).selectExpr(
+        "'end' as project_id", "file", "path", "'end' as session", "ts + interval 90 days as ts", "10000L as seq", "kind", "'# End' as content"
+    )
+    end.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    titles = f"{tmp_path}/titles"
+    S.follow_titles(stream(spark, tmp_path), titles, delay="30 days").awaitTermination()
+    want = S.title_changes(rows)
+    got = spark.read.parquet(f"{titles}/out").where("project_id != 'end'")
+    assert got.count() == want.count() and as_set(got.select(*want.columns)) == as_set(want)
+
+    sessions = f"{tmp_path}/sessions"
+    S.follow_sessions(stream(spark, tmp_path), sessions, delay="30 days").awaitTermination()
+    want = S.current_topics(rows)
+    got = spark.read.parquet(f"{sessions}/out").where("session != 'end'")
+    assert got.count() == want.count() and as_set(got.select(*want.columns)) == as_set(want)
+
+    latest = f"{tmp_path}/latest"
+    S.follow_changes(stream(spark, tmp_path), latest).awaitTermination()
+    want = S.latest_changes(rows)
+    assert as_set(S.latest_state(spark, latest).where("project_id != 'end'").select(*want.columns)) == as_set(want)
 
 
 def test_reload_sees_the_latest_files_of_touched_projects(spark, tmp_path):
     rows = feed(spark, tmp_path)
     folder = f"{tmp_path}/reload"
-    S.follow_reloads(stream(spark, tmp_path), folder, lambda files: files).awaitTermination()
+    S.follow_reloads(stream(spark, tmp_path), folder, lambda latest, touched: latest.join(touched, "project_id")).awaitTermination()
     last = spark.read.parquet(f"{folder}/out").where("batch = 3").drop("batch")
-    want = S.latest_changes(rows).where("exists").select("project_id", "path", "content")
+    want = S.latest_changes(rows)
     assert as_set(last.select(*want.columns)) == as_set(want)
 
 
-def test_state_survives_a_repeated_batch(spark, tmp_path):
-    state = S.latest_state(spark, str(tmp_path)).__class__(spark, str(tmp_path), ["k"], "k string, v int", whole_every=2)
-    for batch, rows in enumerate([[("a", 1)], [("b", 2)], [("a", 3)], [("a", 4)], [("a", 4)]]):
-        state.record(spark.createDataFrame(rows, "k string, v int"), min(batch, 3))
-    assert {(r.k, r.v) for r in state.current().collect()} == {("a", 4), ("b", 2)}
-    assert {(r.k, r.v) for r in state.before(2).collect()} == {("a", 1), ("b", 2)}
-
-
 def test_repeated_deliveries_are_dropped(spark, tmp_path):
     feed(spark, tmp_path)
     # Every file arrives a second time.
