@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafwork.llm.common import stored
-from leafwork.llm.token_ids import PieceEncoder
+from leafwork.llm.token_ids import TextEncoder
 
 SHARD = (
-    "part int, shard int, start long, n_docs int, n_ids long, payload binary, keys binary,"
+    "part int, shard int, width int, start long, n_docs int, n_ids long, payload binary, keys binary,"
     " seeds binary, fingerprints binary, slots binary, offsets binary, lengths binary"
 )
 _BUCKET = 4  # mean number of keys that share a seed
@@ -83,25 +83,33 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
     return (mixed(keys, _PRINT_SEED) >> np.uint64(32)).astype(np.uint32)
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids`` (32-bit little-endian, ``end_id`` last); null counts as empty."""
+def id_width(tokenizer: str, end_id: int) -> int:
+    """Bytes that hold every id: two for small vocabularies, else four."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+
+
+def tokenized(
+    docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int = 4
+) -> DataFrame:
+    """``doc_id, ids`` (little-endian, ``width`` bytes each, ``end_id`` last); null counts as empty."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = PieceEncoder(tokenizer, keep_white=False)
-        end = np.array([end_id], "<u4")
+        encoder = TextEncoder(tokenizer)
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.iloc[at : at + 512]
-                ids = [np.concatenate([encoder.encode(t).astype("<u4", copy=False), end]).tobytes() for t in part["text"]]
+                ids = [np.append(encoder.encode(t), np.uint32(end_id)).astype(f"<u{width}").tobytes() for t in part["text"]]
                 yield pd.DataFrame({"doc_id": part["doc_id"].array, "ids": ids})
 
     return rows.mapInPandas(encode, "doc_id long, ids binary")
 
 
-def _shard_row(part: int, shard: int, start: int, keys: list, ids: list) -> dict:
+def _shard_row(part: int, shard: int, width: int, start: int, keys: list, ids: list) -> dict:
     """One shard; a key that repeats is indexed at its first row and read in a run."""
-    lengths = np.array([len(x) // 4 for x in ids], "<i8")
+    lengths = np.array([len(x) // width for x in ids], "<i8")
     offsets = (np.cumsum(lengths) - lengths).astype("<i8")
     names = np.array(keys, "<i8")
     first = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
@@ -112,13 +120,13 @@ def _shard_row(part: int, shard: int, start: int, keys: list, ids: list) -> dict
     where = np.empty((len(first), 2), "<i8")
     where[:, 0], where[:, 1] = at, count
     return {
-        "part": part, "shard": shard, "start": start, "n_docs": len(keys), "n_ids": int(lengths.sum()),
+        "part": part, "shard": shard, "width": width, "start": start, "n_docs": len(keys), "n_ids": int(lengths.sum()),
         "payload": b"".join(ids), "keys": names.tobytes(), "seeds": seeds.astype("<u4").tobytes(),
         "fingerprints": prints.tobytes(), "slots": where.tobytes(), "offsets": offsets.tobytes(), "lengths": lengths.tobytes(),
     }
 
 
-def write_shards(ids: DataFrame, path: str, parts: int, shard_ids: int = 1_000_000) -> None:
+def write_shards(ids: DataFrame, path: str, parts: int, shard_ids: int = 1_000_000, width: int = 4) -> None:
     """Write ``doc_id, ids`` as shards in ascending order of the id, nulls first.
 
     ``parts`` ranges of ids are written in parallel, each as shards in order. Rows that
@@ -139,16 +147,21 @@ def write_shards(ids: DataFrame, path: str, parts: int, shard_ids: int = 1_000_0
             for key, one in zip(batch["doc_id"].array, batch["ids"].array, strict=True):
                 keys.append(NULL_KEY if pd.isna(key) else int(key))
                 texts.append(one)
-                held += len(one) // 4
+                held += len(one) // width
                 if held >= shard_ids:
-                    yield pd.DataFrame([_shard_row(part, shard, start, keys, texts)])
+                    yield pd.DataFrame([_shard_row(part, shard, width, start, keys, texts)])
                     shard, start, held, keys, texts = shard + 1, start + held, 0, [], []
         if keys:
-            yield pd.DataFrame([_shard_row(part, shard, start, keys, texts)])
+            yield pd.DataFrame([_shard_row(part, shard, width, start, keys, texts)])
 
     ranged.mapInPandas(build, SHARD).write.parquet(path)
 
 
+def _ids(row, offset: int, length: int) -> bytes:
+    """The ids of one document, as 32-bit little-endian numbers."""
+    return np.frombuffer(row.payload, f"<u{row.width}", length, row.width * offset).astype("<u4").tobytes()
+
+
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of every document, through the shards' indexes.
 
@@ -174,10 +187,11 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                     "doc_id": pd.array(keys, "Int64").copy() if (keys != NULL_KEY).all() else pd.array([None if k == NULL_KEY else int(k) for k in keys], "Int64"),
                     "start": offsets[at] + row.start + row.base,
                     "n_tokens": lengths[at],
-                    "ids": [row.payload[4 * offsets[k] : 4 * (offsets[k] + lengths[k])] for k in at],
+                    "ids": [_ids(row, offsets[k], lengths[k]) for k in at],
                 })
 
-    return shards.join(bases, "part").mapInPandas(read, "doc_id long, start long, n_tokens long, ids binary")
+    # One row per part, and there are as many parts as write_shards() was asked for.
+    return shards.join(F.broadcast(bases), "part").mapInPandas(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def get_documents(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
@@ -193,7 +207,7 @@ def get_documents(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
                 where = np.frombuffer(row.slots, "<i8").reshape(-1, 2)
                 offsets, lengths = np.frombuffer(row.offsets, "<i8"), np.frombuffer(row.lengths, "<i8")
                 out = [
-                    (int(key), row.payload[4 * offsets[k] : 4 * (offsets[k] + lengths[k])])
+                    (int(key), _ids(row, offsets[k], lengths[k]))
                     for key, slot in zip(near, slots, strict=True)
                     if slot >= 0
                     for k in range(where[slot, 0], where[slot, 0] + where[slot, 1])
@@ -208,6 +222,7 @@ def write_token_ids(
     docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> None:
     """Tokenize whole texts and write the shards; an empty table gives no shard."""
-    ids = stored(tokenized(docs, tokenizer, end_id, id_col, text_col), "token-ids")
+    width = id_width(tokenizer, end_id)
+    ids = stored(tokenized(docs, tokenizer, end_id, id_col, text_col, width), "token-ids")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    write_shards(ids, path, parts)
+    write_shards(ids, path, parts, width=width)
