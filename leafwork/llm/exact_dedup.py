@@ -67,7 +67,7 @@ def exact_groups(
     )
     plain = groups.where("_contents = 1").select(
         "_digest", "_keep", "_size", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
-    )
+    ).hint("merge")  # Spark would judge its size by the rows before the explode
     narrow = rows.select("_id", "_digest", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int").alias("_salt"))
     clashing = groups.where("_contents > 1").select("_digest")
     if clashing.isEmpty():
