@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from leafwork.llm.common import shingle_hashes, stored, word_hashes
 
 ROWS, BANDS, BITS = 6, 40, 4  # a pair of similarity 0.85 shares no band once in 10**8
-BLOCK = 256  # texts of a bucket compared at a time
+BLOCK = 128  # texts of a bucket compared at a time
 _HASHES = ROWS * BANDS
 _SALTS = 16
 _COINS = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 32, (2, _HASHES), np.uint64)
