@@ -24,6 +24,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Stands for a null id inside tasks, where a column with nulls would turn into floats.
+NO_ID = -(1 << 63)
+
+
+def known_id(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID))
+
+
+def restored(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    """Null ids again, after the tasks."""
+    return df.withColumn(name, F.nullif(F.col(name), F.lit(NO_ID)))
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """crc32 of an id's decimal text; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import shingle_hashes, stored, word_hashes
+from leafwork.llm.common import known_id, restored, shingle_hashes, stored, word_hashes
 
 _WORD = re.compile(r"[^\W_]+")
 _FILTER_BITS = 20
@@ -134,8 +134,8 @@ def contamination(
     repeated results; an empty table or benchmark gives none. Items are read
     ``block_items`` at a time, so what tasks hold does not grow with the benchmark.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
+    rows = docs.select(known_id(F.col(id_col)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    items = benchmark.select(known_id(F.col("item_id")).alias("item_id"), F.col("text").alias("text"))
     total = items.count()
     blocks = max(1, -(-total // block_items))
     # Equal-sized blocks by a hash; every item is in one of them.
@@ -143,7 +143,7 @@ def contamination(
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
         index = [(r["item_id"], r["text"]) for r in part.collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(sorted(index, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")))
+        shared = docs.sparkSession.sparkContext.broadcast(sorted(index, key=lambda x: (x[0], x[1] or "")))
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index = ItemIndex(shared.value, shingle, radius)
@@ -157,7 +157,7 @@ def contamination(
 
         hits = rows.mapInPandas(search, RESULT)
         out = hits if out is None else out.unionByName(hits)
-    return out
+    return restored(restored(out), "item_id")
 
 
 def by_document(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id") -> DataFrame:

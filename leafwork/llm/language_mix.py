@@ -15,9 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafwork.llm.common import known_id, restored
+
 BUCKETS = 1 << 14
 SEGMENT = 24  # trigrams
 UNKNOWN = "und"
@@ -166,7 +168,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     Null texts and texts without letters, or a model without languages, give ``und``
     with score 0 and an empty set. Ties take the first language by name.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(known_id(F.col(id_col)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     names = np.array([*model.languages, UNKNOWN], object)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,7 +186,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                     "score": np.clip(score, 0, 1), "languages": sets,
                 })
 
-    return rows.mapInPandas(predict, "doc_id long, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
+    kinds = "doc_id long, lang_pred string, score double, languages array<struct<lang:string,share:double>>"
+    return restored(rows.mapInPandas(predict, kinds))
 
 
 def _by_size(batch: pd.DataFrame, chars: int = 1_000_000) -> Iterator[pd.DataFrame]:
@@ -193,9 +196,3 @@ def _by_size(batch: pd.DataFrame, chars: int = 1_000_000) -> Iterator[pd.DataFra
         run = np.cumsum(batch["text"].str.len().to_numpy(np.int64)) // chars
         for _, part in batch.groupby(run, sort=True):
             yield part
-
-
-def is_held_out(doc_id: Column, folds: int, fold: int) -> Column:
-    from leafwork.llm.common import crc_of_id
-
-    return crc_of_id(doc_id) % folds == fold

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import shingle_hashes, stored, word_hashes
+from leafwork.llm.common import known_id, restored, shingle_hashes, stored, word_hashes
 
 ROWS, BANDS, BITS = 6, 40, 4  # a pair of similarity 0.85 shares no band once in 10**8
 BLOCK = 128  # texts of a bucket compared at a time
@@ -85,7 +85,7 @@ def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(known_id(F.col(id_col)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     out.append((doc_id, digest, len(shingles), band_keys(least), packed_bits(least)))
                 yield pd.DataFrame(out, columns=["doc_id", "words", "n_shingles", "bands", "signature"])
 
-    return rows.mapInPandas(sign, SIGNED)
+    return restored(rows.mapInPandas(sign, SIGNED))
 
 
 def _salt(column: str) -> Column:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import stored
+from leafwork.llm.common import known_id, restored, stored
 from leafwork.llm.token_ids import TextEncoder
 
 
@@ -31,7 +31,7 @@ def token_pieces(
     one piece at least. Only documents longer than ``capacity`` are cut, and then the
     first piece is the one that may be shorter.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(known_id(F.col(id_col)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = TextEncoder(tokenizer)
@@ -47,7 +47,7 @@ def token_pieces(
                     row += 1
             yield pd.DataFrame(out, columns=_FIELDS)
 
-    return rows.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, _row long")
+    return restored(rows.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, _row long"))
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -148,7 +148,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 100_000, max
     itself; null ids are packed like others; an empty table gives an empty one.
     """
     numbered = pieces if "_row" in pieces.columns else pieces.withColumn("_row", F.monotonically_increasing_id())
-    dealt = stored(numbered.select(*_FIELDS), "pieces")
+    dealt = stored(numbered.select(*_FIELDS).withColumn("doc_id", known_id(F.col("doc_id"))), "pieces")
     left, level, done = dealt.count(), 0, []
     while True:
         groups = max(1, -(-left // group_rows))
@@ -167,4 +167,4 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 100_000, max
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.drop("_row", "_open")
+    return restored(out.drop("_row", "_open"))

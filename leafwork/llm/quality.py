@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import hashed_sample, stored
+from leafwork.llm.common import hashed_sample, known_id, restored, stored
 
 _CLASSES = ("lower", "upper", "digit", "space", "newline", "stop", "common", "symbol", "other")
 STATISTICS = (
@@ -84,13 +84,13 @@ def statistics(text: str) -> list[float]:
 
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, statistics`` of each row; null counts as empty."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(known_id(F.col(id_col)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"].array, "statistics": [statistics(t) for t in batch["text"]]})
 
-    return rows.mapInPandas(count, "doc_id long, statistics array<float>")
+    return restored(rows.mapInPandas(count, "doc_id long, statistics array<float>"))
 
 
 @dataclass(frozen=True)
@@ -188,7 +188,8 @@ def score(stats: DataFrame, model: Trees, threshold: float = 0.3) -> DataFrame:
             points = model.score(rows)
             yield pd.DataFrame({"doc_id": batch["doc_id"].array, "score": points, "predicted": (points >= threshold).astype(np.int32)})
 
-    return stats.mapInPandas(walk, "doc_id long, score double, predicted int")
+    known = stats.select(known_id(F.col("doc_id")).alias("doc_id"), "statistics")
+    return restored(known.mapInPandas(walk, "doc_id long, score double, predicted int"))
 
 
 def stored_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
