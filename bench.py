@@ -6,11 +6,13 @@ and cores; ``BENCH_QUERIES=all`` or a comma-separated list chooses queries.
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 import re
 import statistics
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -22,9 +24,21 @@ HEADLINE = [
     "toc_flatten", "toc_subtree_size", "toc_parent", "toc_first_match", "missing_topics",
     "toc_add", "toc_rename", "json_config_flatten", "tree_xml_flatten", "config_violations",
     "tree_xml_pieces", "unique_file_names", "instance_upsert", "change_latest", "title_changes",
+    "toc_move", "edit_batch", "opened_projects", "title_changes_stream", "json_roundtrip",
 ]
 
 
+def split_inputs(spark: SparkSession, sf_dir: str, files: int) -> str:
+    """A copy of the tables in ``files`` parts each: a single small file is read by one task.
+
+    Large tables have many files; the small ones here have one, so this makes them alike.
+    """
+    folder = tempfile.mkdtemp(prefix="leafwork-bench-")
+    for path in glob.glob(f"{sf_dir}/*.parquet"):
+        spark.read.parquet(path).repartition(files).write.parquet(f"{folder}/{os.path.basename(path)}")
+    return folder
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -42,6 +56,8 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    scale = re.search(r"sf([0-9.]+)", sf_dir)
+    sf_dir = split_inputs(spark, sf_dir, int(cpus))
     # Start the JVM's compilers on one query before anything is timed.
     REGISTRY["topic_titles"][0](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
@@ -53,7 +69,6 @@ def main() -> None:
             runs.append(time.perf_counter() - start)
         times[name] = round(statistics.median(runs), 3)
         print(f"{name} {times[name]}", file=sys.stderr, flush=True)
-    scale = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "total wall time of the headline queries",
         "value": round(sum(times.values()), 3),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,9 +63,8 @@ def toc_delete_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of each deletion, and the files that are left."""
     edits = _edits(spark, sf_dir, "doc_id % 5 = 4", "delete", topic=I.TOPIC)
     result = E.apply_edits(_corpus(spark, sf_dir), edits)
-    by_status = result.outcomes.groupBy("project_id", "status").agg(F.count(F.lit(1)).alias("n"))
-    files = result.corpus.files.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).withColumn("status", F.lit("files left"))
-    return by_status.unionByName(files)
+    outcomes = result.outcomes.select("project_id", "status", F.col("topic").alias("file"))
+    return outcomes.unionByName(result.corpus.files.select("project_id", F.lit("file left").alias("status"), "file"))
 
 
 TOC_DELETE_OUTCOMES = f"""
@@ -74,9 +75,9 @@ with recursive {I.sql_toc()}, {I.sql_topics()},
       on b.project_id = g.project_id and b.instance_id = g.instance_id and b.parent = g.node)
 select project_id, case when node = 1 then 'start page'
     when exists (select 1 from gone g where g.doc_id = t.doc_id and not g.asked) then 'topic not found' else 'applied' end as status,
-  count(*) as n from toc t where doc_id % 5 = 4 group by all
+  topic as file from toc t where doc_id % 5 = 4
 union all
-select project_id, 'files left', count(*) from topics where file not in (select topic from gone) group by all
+select project_id, 'file left', file from topics where file not in (select topic from gone)
 """
 
 
@@ -179,33 +180,69 @@ from cut
 
 
 def edit_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mixed batch: rename, delete by the new name, add a root, set the start page, rename the instance."""
-    renames = _edits(spark, sf_dir, "doc_id % 4 = 1", "rename", topic=I.TOPIC, title="concat('N ', doc_id)")
-    deletes = _edits(spark, sf_dir, "doc_id % 20 = 1", "delete", seq="doc_id + 1000000000", topic="concat('n-', doc_id, '.md')")
-    adds = _edits(spark, sf_dir, "doc_id % 40 = 3", "add_root", seq="doc_id + 2000000000", title="concat('A ', doc_id)")
-    pages = _edits(spark, sf_dir, "doc_id % 25 = 4", "set_start", seq="doc_id + 3000000000", topic=I.TOPIC)
-    names = _edits(spark, sf_dir, "doc_id % 35 = 6", "rename_instance", seq="doc_id + 4000000000", title="concat('Named ', doc_id)")
-    edits = renames.unionByName(deletes).unionByName(adds).unionByName(pages).unionByName(names)
-    result = E.apply_edits(_corpus(spark, sf_dir), edits).corpus
+    """All kinds of edits on all projects, mixed in order, with chains that depend on each other.
+
+    A document's edits follow each other at ten times its id: renames and deletions by the
+    new name, roots added and moved below the first root of their tree, children added
+    and removed again, siblings, edited titles, start pages, instance names, instances
+    created (their files share a name) and deleted again.
+    """
+    at = lambda k: f"doc_id * 10 + {k}"
+    first = "concat('doc-', case when doc_id % 3 = 0 then 0 else doc_id div 600 * 600 + doc_id % 3 end, '.md')"
+    own = lambda letter: F.expr(f"concat('{letter}', seq div 10)")
+    parts = [
+        _edits(spark, sf_dir, "doc_id % 20 in (5, 9, 11) and doc_id % 3 != 2", "rename", seq=at(0), topic=I.TOPIC, title="concat('N ', doc_id)"),
+        _edits(spark, sf_dir, "doc_id % 20 = 11 and doc_id % 3 != 2", "delete", seq=at(1), topic="concat('n-', doc_id, '.md')"),
+        _edits(spark, sf_dir, "doc_id % 40 = 3", "add_root", seq=at(2), title="concat('A ', doc_id)"),
+        _edits(spark, sf_dir, "doc_id % 80 = 3", "move", seq=at(3), topic="concat('a-', doc_id, '.md')", target=first),
+        _edits(spark, sf_dir, "doc_id % 40 = 7", "add_child", seq=at(2), target=I.TOPIC, title="concat('C ', doc_id)"),
+        _edits(spark, sf_dir, "doc_id % 80 = 7", "remove", seq=at(3), topic="concat('c-', doc_id, '.md')"),
+        _edits(spark, sf_dir, "doc_id % 40 = 13", "add_sibling", seq=at(2), target=I.TOPIC, title="concat('S ', doc_id)"),
+        _edits(spark, sf_dir, "doc_id % 40 = 39 and doc_id % 3 != 2", "edit_title", seq=at(4), topic=I.TOPIC, title="concat('E ', doc_id)"),
+        _edits(spark, sf_dir, "doc_id % 25 = 4", "set_start", seq=at(5), topic=I.TOPIC),
+        _edits(spark, sf_dir, "doc_id % 35 = 6", "rename_instance", seq=at(6), title="concat('Named ', doc_id)"),
+        _edits(spark, sf_dir, "doc_id % 70 = 5", "create_instance", seq=at(7), title="'Fresh'").withColumn("instance_id", own("x")),
+        _edits(spark, sf_dir, "doc_id % 70 = 25", "create_instance", seq=at(7), title="concat('Gone ', doc_id)").withColumn("instance_id", own("y")),
+        _edits(spark, sf_dir, "doc_id % 140 = 25", "delete_instance", seq=at(8)).withColumn("instance_id", own("y")),
+    ]
+    result = E.apply_edits(_corpus(spark, sf_dir), reduce(DataFrame.unionByName, parts)).corpus
     rows = result.instances.select(*KEY, F.lit("instance").alias("path"), F.col("start_page").alias("topic"), F.col("name").alias("title"))
     return _tree_rows(result.nodes).unionByName(rows)
 
 
-# All trees have three roots, so renames leave start pages alone.
+# Trees with renamed nodes keep several roots, so renames leave start pages alone.
 EDIT_BATCH = f"""
 with recursive {I.sql_toc()},
+  labelled as (
+    select *, doc_id % 20 in (5, 9, 11) and doc_id % 3 <> 2 as renamed, doc_id % 40 = 39 and doc_id % 3 <> 2 as edited from toc
+    where not (doc_id % 20 = 11 and doc_id % 3 <> 2)),
   moved as (
-    select project_id, instance_id, node as id, parent, case when doc_id % 4 = 1 then 'n-' || doc_id || '.md' else topic end as topic,
-      case when doc_id % 4 = 1 then 'N ' else 'old ' end || doc_id as title, 0 as late, ordinal as sort
-    from toc where doc_id % 20 <> 1
+    select project_id, instance_id, node as id, parent,
+      case when renamed then 'n-' || doc_id || '.md' when edited then 'e-' || doc_id || '.md' else topic end as topic,
+      case when renamed then 'N ' when edited then 'E ' else 'old ' end || doc_id as title, 0 as late, ordinal as sort from labelled
     union all
-    select project_id, instance_id, -1 - node, null, 'a-' || doc_id || '.md', 'A ' || doc_id, 1, doc_id from base where doc_id % 40 = 3),
+    select project_id, instance_id, -1 - node,
+      case when doc_id % 80 = 3 then 0 when doc_id % 40 = 7 then node when doc_id % 40 = 13 then parent end,
+      case doc_id % 40 when 3 then 'a-' when 7 then 'c-' else 's-' end || doc_id || '.md',
+      case doc_id % 40 when 3 then 'A ' when 7 then 'C ' else 'S ' end || doc_id, 1,
+      doc_id * 10 + case when doc_id % 80 = 3 then 3 else 2 end
+    from base where doc_id % 40 in (3, 7, 13) and doc_id % 80 <> 7),
   pages as (select project_id, instance_id, max_by(topic, doc_id) as topic from base where doc_id % 25 = 4 group by all),
   names as (select project_id, instance_id, 'Named ' || max(doc_id) as title from base where doc_id % 35 = 6 group by all),
+  made as (
+    select project_id, 'x' || doc_id as instance_id, 'Fresh' as title,
+      'fresh' || case when r = 0 then '' else r::varchar end || '.md' as topic
+    from (select *, row_number() over (partition by project_id order by doc_id) - 1 as r from base where doc_id % 70 = 5)
+    union all
+    select project_id, 'y' || doc_id, 'Gone ' || doc_id, 'gone-' || doc_id || '.md' from base where doc_id % 140 = 95),
 {_RENUMBER}
 union all
 select b.project_id, b.instance_id, 'instance', coalesce(p.topic, b.topic), coalesce(n.title, 'Guide ' || b.instance_id)
 from base b left join pages p using (project_id, instance_id) left join names n using (project_id, instance_id) where node = 1
+union all
+select project_id, instance_id, 'instance', topic, title from made
+union all
+select project_id, instance_id, '0000000000', topic, 'About ' || title from made
 """
 
 QUERIES = {

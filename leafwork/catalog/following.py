@@ -23,9 +23,14 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.table(spark, sf_dir, "events").select(*EVENT)
 
 
+def _either(sf_dir: str, name: str) -> str:
+    """A pattern for a table, since a stream's plain path must be a folder, not a file."""
+    return f"{sf_dir}/{name}.parque[t]"
+
+
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = I.table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select(*EVENT)
+    return spark.readStream.schema(schema).parquet(_either(sf_dir, "events")).select(*EVENT)
 
 
 def _as_changes(events: DataFrame) -> DataFrame:
@@ -182,7 +187,7 @@ def reload_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projects opened again as their JSON configuration is saved, and only those."""
     folder = f"{scratch_folder(spark)}/{uuid.uuid4()}"
     schema = I.documents(spark, sf_dir).schema
-    saved = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    saved = spark.readStream.schema(schema).parquet(_either(sf_dir, "documents"))
     stream = C.as_json_configs(saved.where("doc_id % 2 = 0")).selectExpr(
         "concat('/w/', project_id) as project_id", "'project.json' as path", "'change' as kind",
         "timestamp_seconds(doc_id) as ts", "doc_id as seq", "content",

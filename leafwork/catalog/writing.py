@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafwork.catalog import configs as C
 from leafwork.catalog import inputs as I
 from leafwork.functions import paths as P
 from leafwork.operators import instances as N
 from leafwork.operators import lookup, naming
 from leafwork.sinks import documents as D
 from leafwork.sinks import topics as T
+from leafwork.sources import json_config, xml_config
 
 KEY = ["project_id", "instance_id"]
 END = "2147483647"
@@ -128,7 +130,7 @@ select distinct 'n' || s_nationkey as project_id, '0000000000' as key, '<?xml ve
 union all
 select distinct 'n' || s_nationkey, '0000000000.{END}', '</ihp>' || chr(10) from supplier
 union all
-select 'n' || s_nationkey, '0000000000.' || lpad(s_suppkey::varchar, 10, '0'),
+select 'n' || s_nationkey, '0000000000.0000000001.' || lpad(s_suppkey::varchar, 10, '0'),
   '    <instance src="' || s_name || ' &amp; co.tree" version="1.0"/>' || chr(10) from supplier
 """
 
@@ -224,30 +226,40 @@ from asked a join free f on f.nk = a.nk and f.id = a.id and f.r = a.r
 
 
 def _customer_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as instances; orders name those with an even number, others have another id."""
     return I.table(spark, sf_dir, "customer").selectExpr(
-        "concat('n', c_nationkey) as project_id", "concat('c', c_custkey) as instance_id", "c_name as name",
-        "concat(c_mktsegment, '.md') as start_page", "c_custkey as ordinal",
+        "concat('n', c_nationkey) as project_id", "concat(if(c_custkey % 2 = 0, 'c', 'k'), c_custkey) as instance_id",
+        "c_name as name", "concat(c_mktsegment, '.md') as start_page", "c_custkey as ordinal",
     )
 
 
 def instance_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as instances, replaced or appended by the orders that name them."""
-    changes = (
-        I.table(spark, sf_dir, "orders")
-        .join(I.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.expr("o_custkey = c_custkey"))
-        .selectExpr(
-            "concat('n', c_nationkey) as project_id", "concat('c', o_custkey) as instance_id",
-            "concat('order ', o_orderkey) as name", "concat(o_orderstatus, '.md') as start_page", "o_orderkey as seq",
-        )
+    """Customers as instances, replaced or appended with their trees by the orders that name them."""
+    ordered = I.table(spark, sf_dir, "orders").join(
+        I.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.expr("o_custkey = c_custkey")
+    )
+    changes = ordered.selectExpr(
+        "concat('n', c_nationkey) as project_id", "concat('c', o_custkey) as instance_id",
+        "concat('order ', o_orderkey) as name", "concat(o_orderstatus, '.md') as start_page", "o_orderkey as seq",
+    )
+    old = _customer_instances(spark, sf_dir)
+    nodes = old.select(*KEY, F.expr("array(0)").alias("node_path"), F.concat("instance_id", F.lit(".md")).alias("topic"))
+    # Each change brings two roots, or none.
+    brought = changes.where("seq % 3 != 0").selectExpr(*KEY, "seq", "explode(array(0, 1)) as i").selectExpr(
+        *KEY, "seq", "array(i) as node_path", "concat('o', seq, '-', i, '.md') as topic"
     )
-    return N.upsert(_customer_instances(spark, sf_dir), changes)
+    trees = N.upsert_trees(nodes, changes, brought).select(
+        *KEY, F.lit("node").alias("name"), F.col("topic").alias("start_page"), F.col("node_path")[0].cast("bigint").alias("ordinal")
+    )
+    return N.upsert(old, changes).unionByName(trees)
 
 
-INSTANCE_UPSERT = """
-with old as (select 'n' || c_nationkey as p, 'c' || c_custkey as i, c_name as name, c_mktsegment || '.md' as sp, c_custkey as ordinal
-             from customer),
+_OLD = """old as (select 'n' || c_nationkey as p, case when c_custkey % 2 = 0 then 'c' else 'k' end || c_custkey as i, c_name as name,
+  c_mktsegment || '.md' as sp, c_custkey as ordinal from customer)"""
+INSTANCE_UPSERT = f"""
+with {_OLD},
 ch as (select 'n' || c_nationkey as p, 'c' || o_custkey as i, arg_max('order ' || o_orderkey, o_orderkey) as name,
-         arg_max(o_orderstatus || '.md', o_orderkey) as sp, min(o_orderkey) as seq
+         arg_max(o_orderstatus || '.md', o_orderkey) as sp, min(o_orderkey) as seq, max(o_orderkey) as last
        from orders join customer on o_custkey = c_custkey group by 1, 2),
 fresh as (select ch.*, row_number() over (partition by p order by seq) as r from ch where i not in (select i from old)),
 ends as (select p, max(ordinal) as e from old group by 1)
@@ -255,29 +267,40 @@ select old.p as project_id, old.i as instance_id, coalesce(ch.name, old.name) as
 from old left join ch on ch.p = old.p and ch.i = old.i
 union all
 select fresh.p, fresh.i, name, sp, coalesce(e, -1) + r from fresh left join ends on ends.p = fresh.p
+union all
+select p, i, 'node', i || '.md', 0 from old where i not in (select i from ch)
+union all
+select p, i, 'node', 'o' || last || '-' || k || '.md', k from ch, (select unnest([0, 1]) as k) where last % 3 <> 0
 """
 
 
 def instance_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Instances, nodes and files left after deleting every project's instance ``b``."""
+    """Instances, nodes, files, registry entries and tree files left without every project's instance ``b``."""
+    tree_path = F.expr("if(dialect = 'X', concat(project_id, '/', instance_id, '.tree'), null)")
+    dialects = I.toc(spark, sf_dir).select(*KEY, "dialect").distinct()
+    instances = I.instances(spark, sf_dir).drop("tree_path").join(dialects, KEY).withColumn("tree_path", tree_path)
+    entries = instances.where("tree_path is not null")
+    registry = entries.select("project_id", "ordinal", F.concat("instance_id", F.lit(".tree")).alias("src"))
     gone = I.instances(spark, sf_dir).where("instance_id = 'b'")
-    nodes, topics = I.toc(spark, sf_dir), I.topics(spark, sf_dir)
-    kept_nodes = N.delete(nodes, gone).select("project_id", F.lit("node").alias("what"), F.col("topic").alias("name"))
-    kept = N.delete(I.instances(spark, sf_dir), gone).select("project_id", F.lit("instance").alias("what"), F.col("name"))
-    files = T.delete_files(topics.select("project_id", "file"), N.files_of(nodes, gone)).select(
-        "project_id", F.lit("file").alias("what"), F.col("file").alias("name")
-    )
-    return kept_nodes.unionByName(kept).unionByName(files).groupBy("project_id", "what").agg(
-        F.count(F.lit(1)).alias("n"), F.min("name").alias("first"), F.max("name").alias("last")
+    left = N.delete_all(gone, instances, I.toc(spark, sf_dir), I.topics(spark, sf_dir).select("project_id", "file"), registry, entries.select(F.col("tree_path").alias("path")))
+    row = lambda df, what, name, place: df.select("project_id", F.lit(what).alias("what"), F.expr(name).alias("name"), F.expr(place).alias("place"))
+    return (
+        row(left.nodes.withColumn("path", P.path_key(F.col("node_path"))), "node", "topic", "concat(instance_id, ' ', path)")
+        .unionByName(row(left.instances, "instance", "name", "instance_id"))
+        .unionByName(row(left.files, "file", "file", "''"))
+        .unionByName(row(left.registry, "entry", "src", "string(ordinal)"))
+        .unionByName(row(left.trees.withColumn("project_id", F.substring_index("path", "/", 1)), "tree", "path", "''"))
     )
 
 
 INSTANCE_DELETE = f"""
-with recursive {I.sql_toc()}, {I.sql_topics()}, rows as (
-  select project_id, 'node' as what, topic as name from toc where instance_id <> 'b'
-  union all select project_id, 'instance', 'Guide ' || instance_id from base where node = 1 and instance_id <> 'b'
-  union all select project_id, 'file', file from topics where doc_id % 3 <> 2)
-select project_id, what, count(*) as n, min(name) as first, max(name) as last from rows group by all
+with recursive {I.sql_toc()}, {I.sql_topics()},
+kept as (select * from base where node = 1 and instance_id <> 'b')
+select project_id, 'node' as what, topic as name, instance_id || ' ' || path as place from toc where instance_id <> 'b'
+union all select project_id, 'instance', 'Guide ' || instance_id, instance_id from kept
+union all select project_id, 'file', file, '' from topics where doc_id % 3 <> 2
+union all select project_id, 'entry', instance_id || '.tree', (doc_id % 3)::varchar from kept where dialect = 'X'
+union all select project_id, 'tree', project_id || '/' || instance_id || '.tree', '' from kept where dialect = 'X'
 """
 
 
@@ -317,8 +340,9 @@ def instance_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INSTANCE_RENAMES = """
 with l as (select o_custkey, arg_max(o_orderpriority, o_orderkey) as name from orders group by 1)
-select 'n' || c_nationkey as project_id, 'c' || c_custkey as instance_id, coalesce(l.name, c_name) as name, c_custkey as ordinal
-from customer left join l on o_custkey = c_custkey
+select 'n' || c_nationkey as project_id, case when c_custkey % 2 = 0 then 'c' else 'k' end || c_custkey as instance_id,
+  coalesce(l.name, c_name) as name, c_custkey as ordinal
+from customer left join l on o_custkey = c_custkey and c_custkey % 2 = 0
 """
 
 def instance_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -357,7 +381,97 @@ select '1-URGENT' as project_id, 'c' || c_custkey as instance_id from customer
 where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')
 """
 
+# Every field a configuration may have, in nested nodes too.
+_FULL_NODE = """named_struct('id', concat('n', doc_id, '-', {i}), 'topic', concat({i}, '.md'), 'path', if(doc_id % 2 = 0, 'p/q', null),
+  'toc-title', {line}, 'title', concat('t ', length({line})), 'sort-children', if(doc_id % 3 = 0, 'ascending', null),
+  'sortChildren', if(doc_id % 3 = 1, 'none', null), 'children', {children})"""
+
+
+def full_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON configurations in which every optional field occurs: lines are nodes, sentences their children."""
+    inner = _FULL_NODE.format(i="concat('l', i, '-', j)", line="s", children="array_repeat('', 0)")
+    outer = _FULL_NODE.format(i="concat('l', i)", line="line", children=f"transform(split(line, '\\\\. '), (s, j) -> {inner})")
+    return I.documents(spark, sf_dir).selectExpr(
+        "concat('d', doc_id) as project_id",
+        f"""to_json(named_struct('schema', concat('https://s/', lang), 'title', source, 'type', if(doc_id % 2 = 0, 'object', null),
+          'topics', named_struct('dir', 'docs'), 'images', named_struct('dir', 'i', 'version', '2', 'web-path', 'w'),
+          'instances', array(named_struct('id', lang, 'name', concat(source, ' "&"'), 'start-page', 'l0.md',
+            'toc-elements', transform(split(text, '\\n'), (line, i) -> {outer}))))) as content""",
+    )
+
+
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configurations read, written, and read again: all fields of nodes and configurations."""
+    given = full_configs(spark, sf_dir)
+    pieces = D.config_pieces(json_config.projects(given), json_config.instances(given), json_config.nodes(given))
+    # Reading takes a configuration whole, so it is put together whole.
+    again = D.assemble(pieces, ["project_id"], block=1 << 30).select("project_id", "content")
+    more = lambda n: F.element_at("more", n)
+    none = F.lit(None).cast("string")
+    nodes = json_config.nodes(again).select(
+        "project_id", P.path_key(F.col("node_path")).alias("place"), "topic", "title", more("id").alias("id"), more("path").alias("path"),
+        more("toc-title").alias("toc_title"), F.coalesce(more("sort-children"), more("sortChildren")).alias("sort"),
+    )
+    tops = json_config.projects(again).select(
+        "project_id", F.lit("top").alias("place"), F.concat_ws("|", "topics_dir", "images_dir", "images_version", "images_web_path").alias("topic"),
+        more("title").alias("title"), more("schema").alias("id"), more("type").alias("path"), none.alias("toc_title"), none.alias("sort"),
+    )
+    instances = json_config.instances(again).select(
+        "project_id", F.lit("instance").alias("place"), F.col("start_page").alias("topic"), F.col("name").alias("title"),
+        F.col("instance_id").alias("id"), none.alias("path"), none.alias("toc_title"), none.alias("sort"),
+    )
+    return nodes.unionByName(tops).unionByName(instances)
+
+
+_SORT = "case doc_id % 3 when 0 then 'ascending' when 1 then 'none' end as sort"
+JSON_ROUNDTRIP = f"""
+with {C.SQL_LINES}
+select 'd' || doc_id as project_id, lpad(i::varchar, 10, '0') as place, 'l' || i || '.md' as topic, 't ' || length(line) as title,
+  'n' || doc_id || '-l' || i as id, case when doc_id % 2 = 0 then 'p/q' end as path, line as toc_title, {_SORT} from lines
+union all
+select 'd' || doc_id, lpad(i::varchar, 10, '0') || '.' || lpad(j::varchar, 10, '0'), 'l' || i || '-' || j || '.md', 't ' || length(s),
+  'n' || doc_id || '-l' || i || '-' || j, case when doc_id % 2 = 0 then 'p/q' end, s, {_SORT} from sents
+union all
+select 'd' || doc_id, 'top', 'docs|i|2|w', source, 'https://s/' || lang, case when doc_id % 2 = 0 then 'object' end, null, null from documents
+union all
+select 'd' || doc_id, 'instance', 'l0.md', source || ' "&"', lang, null, null, null from documents
+"""
+
+
+def module_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Module configurations read, written, and read again: every element, as it was written."""
+    given = I.documents(spark, sf_dir).selectExpr(
+        "concat('d', doc_id) as project_id",
+        """concat('<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE ihp SYSTEM "ihp.dtd">\n<ihp version="2.', doc_id % 5, '" id="', lang, '">\n',
+          '  <topics dir="docs" web-path="', source, '"/>\n  <!-- note ', doc_id, ' -->\n  <images dir="i" web-path="w"/>\n',
+          array_join(transform(sequence(1, cast(doc_id % 3 + 1 as int)), n -> concat('  <instance src="t', n, '.tree" version="1.', n, '" web-path="x>y"/>\n')), ''),
+          '  <vars src="v.list"><var name="a &amp; b">', lang, '</var></vars>\n</ihp>\n') as content""",
+    )
+    elements = xml_config.elements(given)
+    pieces = D.module_pieces(xml_config.projects(given), xml_config.written_registry(given), elements)
+    again = D.assemble(pieces, ["project_id"]).select("project_id", "content")
+    back = xml_config.elements(again).select("project_id", "tag", "text")
+    dirs = xml_config.projects(again).select(
+        "project_id", F.lit("dirs").alias("tag"), F.concat_ws("|", "topics_dir", "images_dir", "images_web_path").alias("text")
+    )
+    return back.unionByName(dirs)
+
+
+MODULE_ROUNDTRIP = """
+select 'd' || doc_id as project_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<!DOCTYPE ihp SYSTEM "ihp.dtd">' || chr(10) || '<ihp' as tag,
+  'version="2.' || (doc_id % 5) || '" id="' || lang || '"' as text from documents
+union all select 'd' || doc_id, 'topics', '<topics dir="docs" web-path="' || source || '"/>' from documents
+union all select 'd' || doc_id, null, '<!-- note ' || doc_id || ' -->' from documents
+union all select 'd' || doc_id, 'images', '<images dir="i" web-path="w"/>' from documents
+union all select 'd' || doc_id, 'vars', '<vars src="v.list"><var name="a &amp; b">' || lang || '</var></vars>' from documents
+union all select 'd' || doc_id, 'instance', '<instance src="t' || n || '.tree" version="1.' || n || '" web-path="x>y"/>'
+  from (select doc_id, unnest(range(1, doc_id % 3 + 2)) as n from documents)
+union all select 'd' || doc_id, 'dirs', 'docs|i|w' from documents
+"""
+
 QUERIES = {
+    "json_roundtrip": (json_roundtrip, JSON_ROUNDTRIP),
+    "module_roundtrip": (module_roundtrip, MODULE_ROUNDTRIP),
     "instance_lookup": (instance_lookup, INSTANCE_LOOKUP),
     "free_instance_ids": (free_instance_ids, FREE_INSTANCE_IDS),
     "tree_xml_pieces": (tree_xml_pieces, TREE_XML_PIECES),

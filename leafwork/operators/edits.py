@@ -53,7 +53,7 @@ from leafwork.operators import naming, tree
 from leafwork.operators.tree import NODE, TREE
 from leafwork.session import cut_lineage
 
-NODE_COLUMNS = [*NODE, "topic", "title"]
+NODE_COLUMNS = [*NODE, "topic", "title", "more"]
 INSTANCE_COLUMNS = [*TREE, "name", "start_page", "ordinal"]
 EDIT_COLUMNS = [*TREE, "seq", "op", "topic", "target", "title", "file_name"]
 # Positions of appended nodes start beyond the largest stored position (int).
@@ -68,6 +68,7 @@ _ADD = ("add_root", "add_child", "add_sibling", "create_instance")
 class Corpus(NamedTuple):
     """Trees, instances and file names of a set of projects.
 
+    A node's other fields (``more``) go with it.
     ``files`` holds names only: ``origin`` is the file whose content a file
     carries (NULL for a new one), ``stub_title`` the title of a new file and
     ``heading`` a title to write into it. Contents are joined once, afterwards.
@@ -86,6 +87,8 @@ class Result(NamedTuple):
 
 
 def corpus_of(nodes: DataFrame, instances: DataFrame, topics: DataFrame) -> Corpus:
+    if "more" not in nodes.columns:
+        nodes = nodes.withColumn("more", F.lit(None).cast("map<string,string>"))
     return Corpus(
         nodes.select(*NODE_COLUMNS),
         instances.select(*INSTANCE_COLUMNS),
@@ -286,7 +289,6 @@ def _uses(work: Corpus, located: DataFrame) -> DataFrame:
             ),
         )
 
-    family = lambda name: F.regexp_replace(name, r"[0-9]*\.md$", "")
     topic, target, new = F.col("topic"), F.col("target"), F.col("new_file")
     page_set = (op == "set_start") | (is_label & (F.col("n_roots") == 1))
     # Renaming moves the start page of a tree with one root only: adding and taking roots
@@ -318,10 +320,8 @@ def _uses(work: Corpus, located: DataFrame) -> DataFrame:
                 # Files dropped (the other role is below) against files created or renamed.
                 use("drop", is_label, topic, no, yes, tree=False),
                 use("drop", is_label | adds, new, no, yes, tree=False),
-                # A new instance looks for a free file name.
-                use("free", op == "create_instance", family(new), yes, no, tree=False),
-                use("free", is_label, family(topic), no, yes, tree=False),
-                use("free", is_label | adds, family(new), no, yes, tree=False),
+                # A new instance looks for a free file name: its own, or that with a number.
+                use("free", op == "create_instance", _stem(new), yes, no, tree=False),
                 # Start pages are set, and not deleted.
                 use("page", page_set, F.coalesce("start_page", F.lit("")), yes, no),
                 use("page", op == "set_start", topic, yes, no),
@@ -334,6 +334,9 @@ def _uses(work: Corpus, located: DataFrame) -> DataFrame:
         ).alias("u"),
     )
 
+    files = known.where(is_label | adds).select("project_id", "seq", F.explode(F.array_distinct(F.array(F.when(is_label, topic), new))).alias("file"))
+    numbered = files.where("file is not null").select("project_id", "seq", F.explode(_stems(F.col("file"))).alias("stem"))
+
     # Ways to the root, against nodes that are taken away; a label only minds nodes that go.
     empty = F.array().cast("array<array<bigint>>")
     way = F.array_union(
@@ -356,28 +359,43 @@ def _uses(work: Corpus, located: DataFrame) -> DataFrame:
     # that another edit of the batch touches matter.
     touched = plain.where("u.what = 'drop' or u.what = 'free'")
     names = touched.where("u.what = 'drop'").select("project_id", F.col("u.name").alias("topic")).distinct()
-    families = touched.where("u.what = 'free' and u.one").select("project_id", F.col("u.name").alias("family")).distinct()
-    holders = work.nodes.select(*NODE, "topic", family(F.col("topic")).alias("family"))
+    stems = touched.where("u.what = 'free'").select("project_id", F.col("u.name").alias("stem")).distinct()
+    holders = work.nodes.select(*NODE, "topic")
     deleted = located.where("op = 'delete' and source is not null").select(*TREE, "source", "seq")
     ended = located.where("op = 'delete_instance'").select(*TREE, "seq")
 
-    def dropped(what: str, rows: DataFrame, name: str, one: Column, other: Column) -> DataFrame:
-        below = rows.withColumn("source", F.explode(P.prefixes(F.col("node_path")))).join(deleted, [*TREE, "source"])
-        lost = below.select("project_id", "seq", name).unionByName(rows.join(ended, TREE).select("project_id", "seq", name))
-        return lost.distinct().select(
+    def named(what: str, rows: DataFrame, name: str, one: Column, other: Column) -> DataFrame:
+        return rows.select(
             "project_id", "seq", F.lit(what).alias("what"), F.lit("").alias("scope"), F.col(name).alias("name"),
             no_node.alias("node"), one.alias("one"), other.alias("other"),
         )
 
+    def dropped(rows: DataFrame, name: str) -> DataFrame:
+        below = rows.withColumn("source", F.explode(P.prefixes(F.col("node_path")))).join(deleted, [*TREE, "source"])
+        lost = below.select("project_id", "seq", name).unionByName(rows.join(ended, TREE).select("project_id", "seq", name))
+        return lost.distinct()
+
+    by_stem = holders.withColumn("stem", F.explode(_stems(F.col("topic")))).join(stems, ["project_id", "stem"])
     return _union([
         plain.where("u is not null").select("project_id", "seq", "u.*"),
         moving,
         going,
-        dropped("drop", holders.join(names, ["project_id", "topic"]), "topic", yes, no),
-        dropped("free", holders.join(families, ["project_id", "family"]), "family", no, yes),
+        named("free", numbered, "stem", no, yes),
+        named("drop", dropped(holders.join(names, ["project_id", "topic"]), "topic"), "topic", yes, no),
+        named("free", dropped(by_stem, "stem"), "stem", no, yes),
     ])
 
 
+def _stem(file: Column) -> Column:
+    return F.regexp_replace(file, r"\.md$", "")
+
+
+def _stems(file: Column) -> Column:
+    """A file's name, and the names it may be a numbered alternative of."""
+    digits = F.length(F.regexp_extract(_stem(file), "[0-9]*$", 0))
+    return F.transform(F.sequence(F.lit(0), digits), lambda k: F.left(_stem(file), F.length(_stem(file)) - k))
+
+
 def _later_of_pairs(uses: DataFrame) -> DataFrame:
     """(project_id, seq) of edits that meet an earlier one in the other role."""
     keys = ["project_id", "what", "scope", "name", "node"]
@@ -433,6 +451,7 @@ def _new_nodes(ok: DataFrame) -> DataFrame:
         ).alias("node_path"),
         F.col("new_file").alias("topic"),
         F.coalesce(about, "title").alias("title"),
+        F.lit(None).cast("map<string,string>").alias("more"),
         "seq",
     )
 
@@ -459,7 +478,7 @@ def _apply_tree(nodes: DataFrame, ok: DataFrame, below: DataFrame, ops: set[str]
         )
         nodes = nodes.join(labels, NODE, "left")
         topic, title = F.coalesce("_topic", "topic"), F.coalesce("_title", "title")
-    nodes = nodes.select(*TREE, path.alias("node_path"), topic.alias("topic"), title.alias("title"))
+    nodes = nodes.select(*TREE, path.alias("node_path"), topic.alias("topic"), title.alias("title"), "more")
     if ops & {*_ADD}:
         nodes = nodes.unionByName(_new_nodes(ok).select(*NODE_COLUMNS))
     return nodes

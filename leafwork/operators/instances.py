@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.functions import text as X
+from leafwork.functions.paths import posix_join
 from leafwork.operators import naming
 from leafwork.operators.skew import split_row_number
 from leafwork.operators.tree import TREE
@@ -82,3 +85,61 @@ def upsert(instances: DataFrame, changes: DataFrame) -> DataFrame:
 def listing(instances: DataFrame) -> DataFrame:
     """(id, name) of the instances in configuration order."""
     return instances.select(*TREE, "name", "ordinal").orderBy("project_id", "ordinal")
+
+
+class Remaining(NamedTuple):
+    """What is left after instances are deleted, in both dialects."""
+
+    instances: DataFrame
+    nodes: DataFrame
+    files: DataFrame
+    registry: DataFrame
+    trees: DataFrame
+
+
+def delete_all(
+    deleted: DataFrame, instances: DataFrame, nodes: DataFrame, files: DataFrame, registry: DataFrame, trees: DataFrame
+) -> Remaining:
+    """Take instances out with everything that is theirs.
+
+    Their nodes and topic files go, and in the XML dialect their registry entry and tree
+    file too. ``instances`` has tree_path (NULL in the JSON dialect); ``registry``:
+    project_id, ordinal, src; ``trees``: path.
+    """
+    gone = instances.join(deleted.select(*TREE), TREE, "left_semi")
+    paths = gone.where("tree_path is not null").select(F.col("tree_path").alias("path")).distinct()
+    entries = registry.withColumn("path", posix_join(F.col("project_id"), F.col("src")))
+    return Remaining(
+        delete(instances, deleted),
+        delete(nodes, deleted),
+        files.join(files_of(nodes, deleted), ["project_id", "file"], "left_anti"),
+        entries.join(paths, "path", "left_anti").drop("path"),
+        trees.join(paths, "path", "left_anti"),
+    )
+
+
+def register(created: DataFrame, registry: DataFrame) -> DataFrame:
+    """The registry with an entry ``<id>.tree`` for each created instance, after the others.
+
+    ``created``: project_id, instance_id, seq.
+    """
+    ends = registry.groupBy("project_id").agg(F.max("ordinal").alias("_end"))
+    new = split_row_number(created.select(*TREE, "seq"), ["project_id"], "seq", "_rank").join(ends, "project_id", "left")
+    return registry.select("project_id", F.col("ordinal").cast("bigint").alias("ordinal"), "src").unionByName(
+        new.select(
+            "project_id",
+            (F.coalesce(F.col("_end"), F.lit(-1)) + F.col("_rank")).cast("bigint").alias("ordinal"),
+            F.concat("instance_id", F.lit(".tree")).alias("src"),
+        )
+    )
+
+
+def upsert_trees(nodes: DataFrame, changes: DataFrame, new_nodes: DataFrame) -> DataFrame:
+    """The trees after :func:`upsert`: a changed instance has the nodes its last change brings.
+
+    ``changes`` and ``new_nodes`` have the instance and ``seq``; nodes of earlier changes
+    are passed over, and a change without nodes leaves an empty tree.
+    """
+    last = changes.groupBy(*TREE).agg(F.max("seq").alias("seq"))
+    brought = new_nodes.join(last, [*TREE, "seq"], "left_semi").select(nodes.columns)
+    return delete(nodes, last).unionByName(brought)

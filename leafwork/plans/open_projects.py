@@ -56,6 +56,7 @@ def open_projects(
         "node_path",
         "topic",
         F.lit(None).cast("string").alias("title"),
+        F.lit(None).cast("map<string,string>").alias("more"),
         F.lit("X").alias("dialect"),
     )
     nodes = lookup.with_titles(of(json_config.nodes(json_configs), "J").unionByName(x_nodes), topics)

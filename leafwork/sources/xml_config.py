@@ -53,6 +53,7 @@ def projects(configs: DataFrame) -> DataFrame:
         X.non_empty(F.col("m.images._dir")).alias("images_dir"),
         F.col("m.images._version").alias("images_version"),
         F.col("m.images.`_web-path`").alias("images_web_path"),
+        F.lit(None).cast("map<string,string>").alias("more"),
     )
 
 
@@ -76,6 +77,39 @@ _BELOW, _ABOVE = _below(forest.LEVELS), _below(forest.LEVELS - 1)
 _HEAD = _attributes("id", "name", "start-page")
 
 
+# A piece of a module configuration: an element with what is inside, a comment or the like.
+_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+_ROOT = r"(?s)\A(.*?<ihp)(" + _ATTRIBUTES + r")(?:/>\s*\z|>(.*)</ihp\s*>.*\z)"
+_ELEMENT = r"(?s)<!--.*?-->|<([A-Za-z_][\w:.-]*)" + _ATTRIBUTES + r"(?:/>|(?<!/)>.*?</\1\s*>)"
+
+
+def elements(configs: DataFrame) -> DataFrame:
+    """Everything a module configuration holds, as it is written: project_id, ordinal, tag, text.
+
+    Row -1 has the root's attributes as its text and what precedes the root as its tag;
+    the others are comments (tag NULL) and the root's child elements. An element that
+    holds an element of its own name is not told apart further.
+    """
+    whole = configs.where(has_root(F.col("content"), "ihp"))
+    inner = F.regexp_extract("content", _ROOT, 3)
+    root = whole.select(
+        "project_id", F.lit(-1).alias("ordinal"), F.regexp_extract("content", _ROOT, 1).alias("tag"),
+        F.trim(F.regexp_replace(F.regexp_extract("content", _ROOT, 2), "/$", "")).alias("text"),
+    )
+    parts = whole.select("project_id", F.posexplode(F.regexp_extract_all(inner, F.lit(_ELEMENT), F.lit(0))).alias("ordinal", "text"))
+    tag = F.nullif(F.regexp_extract("text", r"\A<([A-Za-z_][\w:.-]*)", 1), F.lit(""))
+    return root.select("project_id", "ordinal", "tag", "text").unionByName(parts.withColumn("tag", tag))
+
+
+def written_registry(configs: DataFrame) -> DataFrame:
+    """The registry with each entry's ``text`` as it is written, all its attributes included."""
+    whole = configs.where(has_root(F.col("content"), "ihp"))
+    parts = F.regexp_extract_all(F.regexp_extract("content", _ROOT, 3), F.lit(_ELEMENT), F.lit(0))
+    entries = F.filter(parts, lambda e: F.regexp_like(e, F.lit(r"\A<instance[\s/>]")))
+    texts = whole.select("project_id", F.posexplode(entries).alias("ordinal", "text"))
+    return registry(configs).join(texts, ["project_id", "ordinal"])
+
+
 def _profiles(trees: DataFrame, schema: T.StructType) -> DataFrame:
     p = F.from_xml("content", schema, _OPTIONS)
     # An element without attributes and children counts as no profile.

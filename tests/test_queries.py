@@ -7,9 +7,6 @@ from compare import differences, duck
 from leafwork.catalog.registry import REGISTRY
 
 SMALL = "/root/testdata/sf0.001"
-# The edit batches, the opened projects and the streams run many short jobs; they
-# have tests of their own and are compared by ``tests/compare.py``.
-LONG = {"toc_delete_outcomes", "toc_remove", "toc_move", "edit_batch", "opened_projects", "change_latest_stream", "current_topics_stream"}
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +14,7 @@ def con():
     return duck(SMALL)
 
 
-@pytest.mark.parametrize("name", [n for n in REGISTRY if n not in LONG])
+@pytest.mark.parametrize("name", list(REGISTRY))
 def test_query_equals_sql(spark, con, name):
     run, sql = REGISTRY[name]
     assert sql, "every query has a SQL twin"
