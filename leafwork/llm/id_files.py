@@ -1,7 +1,8 @@
 """Token-id shards with a minimal perfect hash index.
 
-Documents are tokenized where they lie, dealt out by ranges of ``doc_id``, and written
-in ascending order as shards: raw little-endian ids, the keys in order, and an index.
+Documents are tokenized where they lie, dealt out by ranges of ``doc_id`` (which are found
+from the ids alone, so nothing is tokenized twice or kept in between), and written in
+ascending order as shards: raw little-endian ids, the keys in order, and an index.
 The index is a minimal perfect hash (hash and displace): a key's bucket has a seed
 that sends the key to a slot of its own; the slot holds a fingerprint, the offset and
 the length. A lookup costs two hashes and one comparison, whatever the shard's size.
@@ -10,6 +11,7 @@ A shard holds about ``shard_ids`` ids, one document more at most.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import stored
+from leafwork.llm.common import known_id, restored
 from leafwork.llm.token_ids import TextEncoder
 
 SHARD = (
@@ -25,7 +27,6 @@ SHARD = (
     " seeds binary, fingerprints binary, slots binary, offsets binary, lengths binary"
 )
 _BUCKET = 4  # mean number of keys that share a seed
-NULL_KEY = np.int64(-(1 << 63))  # stands for a null id
 
 
 def mixed(keys: np.ndarray, seeds) -> np.ndarray:
@@ -90,11 +91,32 @@ def id_width(tokenizer: str, end_id: int) -> int:
     return 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
 
+def id_ranges(docs: DataFrame, parts: int, id_col: str = "doc_id") -> np.ndarray:
+    """The upper ends of ``parts`` ranges of ids with about as many rows each, but for the
+    last range. An id that fills several ranges is the end of each of them."""
+    if parts < 2:
+        return np.empty(0, np.int64)
+    at = [k / parts for k in range(1, parts)]
+    ends = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), at, max(10_000, 10 * parts)).alias("e")).first()["e"]
+    return np.array(ends or [], np.int64)
+
+
 def tokenized(
-    docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int = 4
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int,
+    ends: np.ndarray | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 4,
 ) -> DataFrame:
-    """``doc_id, ids`` (little-endian, ``width`` bytes each, ``end_id`` last); null counts as empty."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """``part, doc_id, ids`` (little-endian, ``width`` bytes each, ``end_id`` last).
+
+    ``part`` is the id's range, see :func:`id_ranges`; rows that repeat the end of several
+    ranges are spread over them. Null texts count as empty, null ids come first.
+    """
+    rows = docs.select(known_id(F.col(id_col)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    ends = np.empty(0, np.int64) if ends is None else ends
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = TextEncoder(tokenizer)
@@ -102,9 +124,12 @@ def tokenized(
             for at in range(0, len(batch), 512):
                 part = batch.iloc[at : at + 512]
                 ids = [np.append(encoder.encode(t), np.uint32(end_id)).astype(f"<u{width}").tobytes() for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "ids": ids})
+                keys = part["doc_id"].to_numpy(np.int64)
+                first, last = np.searchsorted(ends, keys, "left"), np.searchsorted(ends, keys, "right")
+                spread = np.array([zlib.crc32(i) for i in ids], np.int64) % np.maximum(1, last - first)
+                yield pd.DataFrame({"part": (first + spread).astype(np.int32), "doc_id": part["doc_id"].array, "ids": ids})
 
-    return rows.mapInPandas(encode, "doc_id long, ids binary")
+    return rows.mapInPandas(encode, "part int, doc_id long, ids binary")
 
 
 def _shard_row(part: int, shard: int, width: int, start: int, keys: list, ids: list) -> dict:
@@ -127,34 +152,32 @@ def _shard_row(part: int, shard: int, width: int, start: int, keys: list, ids: l
 
 
 def write_shards(ids: DataFrame, path: str, parts: int, shard_ids: int = 1_000_000, width: int = 4) -> None:
-    """Write ``doc_id, ids`` as shards in ascending order of the id, nulls first.
+    """Write ``part, doc_id, ids`` as shards in ascending order of the id, nulls first.
 
-    ``parts`` ranges of ids are written in parallel, each as shards in order. Rows that
-    repeat an id are kept, each for itself, ordered by their ids' crc32 and bytes.
+    The parts are written in parallel, each as shards in order. Rows that repeat an id are
+    kept, each for itself, in the order of their ids' bytes within a part.
     """
-    ranged = (
-        ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.crc32("ids"))
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32("ids"), "ids")
-        .withColumn("part", F.spark_partition_id())
-    )
+    dealt = ids.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys: list = []
         texts: list = []
-        held = shard = start = part = 0
+        held = shard = start = 0
+        now = -1
         for batch in batches:
-            part = int(batch["part"].iloc[0]) if len(batch) else part
-            for key, one in zip(batch["doc_id"].array, batch["ids"].array, strict=True):
-                keys.append(NULL_KEY if pd.isna(key) else int(key))
+            for part, key, one in zip(batch["part"], batch["doc_id"].array, batch["ids"].array, strict=True):
+                if keys and (part != now or held >= shard_ids):
+                    yield pd.DataFrame([_shard_row(now, shard, width, start, keys, texts)])
+                    shard, start, held, keys, texts = shard + 1, start + held, 0, [], []
+                if part != now:
+                    now, shard, start = int(part), 0, 0
+                keys.append(int(key))
                 texts.append(one)
                 held += len(one) // width
-                if held >= shard_ids:
-                    yield pd.DataFrame([_shard_row(part, shard, width, start, keys, texts)])
-                    shard, start, held, keys, texts = shard + 1, start + held, 0, [], []
         if keys:
-            yield pd.DataFrame([_shard_row(part, shard, width, start, keys, texts)])
+            yield pd.DataFrame([_shard_row(now, shard, width, start, keys, texts)])
 
-    ranged.mapInPandas(build, SHARD).write.parquet(path)
+    dealt.mapInPandas(build, SHARD).write.parquet(path)
 
 
 def _ids(row, offset: int, length: int) -> bytes:
@@ -184,14 +207,14 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                 at = np.concatenate([np.arange(a, a + n) for a, n in where])
                 keys = np.repeat(names, where[:, 1])
                 yield pd.DataFrame({
-                    "doc_id": pd.array(keys, "Int64").copy() if (keys != NULL_KEY).all() else pd.array([None if k == NULL_KEY else int(k) for k in keys], "Int64"),
+                    "doc_id": keys,
                     "start": offsets[at] + row.start + row.base,
                     "n_tokens": lengths[at],
                     "ids": [_ids(row, offsets[k], lengths[k]) for k in at],
                 })
 
     # One row per part, and there are as many parts as write_shards() was asked for.
-    return shards.join(F.broadcast(bases), "part").mapInPandas(read, "doc_id long, start long, n_tokens long, ids binary")
+    return restored(shards.join(F.broadcast(bases), "part").mapInPandas(read, "doc_id long, start long, n_tokens long, ids binary"))
 
 
 def get_documents(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
@@ -223,6 +246,6 @@ def write_token_ids(
 ) -> None:
     """Tokenize whole texts and write the shards; an empty table gives no shard."""
     width = id_width(tokenizer, end_id)
-    ids = stored(tokenized(docs, tokenizer, end_id, id_col, text_col, width), "token-ids")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = tokenized(docs, tokenizer, end_id, id_ranges(docs, parts, id_col), id_col, text_col, width)
     write_shards(ids, path, parts, width=width)

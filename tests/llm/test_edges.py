@@ -338,7 +338,8 @@ def test_token_files(spark, docs, none, tmp_path):
 
     tokenizer = Tokenizer.from_file(WORDS)
     path = str(tmp_path / "shards")
-    id_files.write_shards(id_files.tokenized(docs, WORDS, 2), path, 3, shard_ids=20)
+    ends = id_files.id_ranges(docs, 3)
+    id_files.write_shards(id_files.tokenized(docs, WORDS, 2, ends), path, 3, shard_ids=20)
     rows = id_files.read_shards(spark, path).orderBy("start").collect()
     ids = [(d, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]) for d, t in TEXTS]
     assert sorted((r["doc_id"] or 0, brute.zlib.crc32(r["ids"])) for r in rows) == sorted((d or 0, brute.crc(i)) for d, i in ids)
@@ -350,10 +351,23 @@ def test_token_files(spark, docs, none, tmp_path):
     found = id_files.get_documents(spark, path, [6, 9, 12345, -4]).collect()
     assert sorted((r["doc_id"], brute.zlib.crc32(r["ids"])) for r in found) == sorted((d, brute.crc(i)) for d, i in ids if d in (6, 9))
     other = str(tmp_path / "empty")
-    id_files.write_shards(id_files.tokenized(none, WORDS, 2), other, 3)
+    id_files.write_shards(id_files.tokenized(none, WORDS, 2, id_files.id_ranges(none, 3)), other, 3)
     assert id_files.read_shards(spark, other).count() == 0
 
 
+def test_rows_that_repeat_one_id_are_spread(spark, tmp_path):
+    rows = [(5, f"word {k}") for k in range(300)] + [(1, "a"), (9, "b")]
+    ends = id_files.id_ranges(frame(spark, rows), 4)
+    assert list(ends) == [5, 5, 5]
+    path = str(tmp_path / "shards")
+    id_files.write_shards(id_files.tokenized(frame(spark, rows), WORDS, 2, ends), path, 4)
+    sizes = {r["part"]: r["n_docs"] for r in spark.read.parquet(path).collect()}
+    assert max(sizes.values()) < 200
+    got = id_files.read_shards(spark, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [1, *[5] * 300, 9]
+    assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:k]) for k in range(len(got))]
+
+
 def test_hash_index_is_minimal_and_perfect():
     import numpy as np
 
@@ -375,7 +389,7 @@ def test_personal(spark, docs, none):
     for doc_id, text in TEXTS:
         if doc_id is not None:
             assert rows[doc_id]["sha"] == brute.personal(text)[4]
-    assert rows[11]["spans"].endswith("account:90:112")
+    assert rows[11]["spans"].endswith("account:88:110")
     assert pii.find_personal(none).count() == 0
 
 
