@@ -78,8 +78,8 @@ def labelled_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def train(samples: DataFrame, token_col: str = "token", label_col: str = "random") -> list[float]:
     """Log ratio of the transition probabilities (random over ordinary), row by row.
 
-    Counts are smoothed by one half, so a class without samples is a uniform model.
-    Null tokens and labels are left out. The table has one entry per pair of
+    Rare transitions fall back to single characters, and a class without samples is a
+    uniform model. Null tokens and labels are left out. The table has one entry per pair of
     characters, whatever the samples' size.
     """
     token = F.col("_token")
@@ -93,16 +93,25 @@ def train(samples: DataFrame, token_col: str = "token", label_col: str = "random
         .groupBy("_random", "_pair")
         .count()
     )
-    counts = {True: [[0.5] * _K for _ in range(_K)], False: [[0.5] * _K for _ in range(_K)]}
+    counts = {label: [[0.0] * _K for _ in range(_K)] for label in (True, False)}
     place = {c: i for i, c in enumerate(ALPHABET, 1)}
-    # Pairs of known characters only come from a closed alphabet of 68 x 68.
+    # Pairs of known characters only come from a closed alphabet of 67 x 67.
     known = pairs.where(F.col("_pair").rlike(r"^[A-Za-z0-9+/_=-]{2}$"))
     for row in known.toLocalIterator():
         counts[row["_random"]][place[row["_pair"][0]]][place[row["_pair"][1]]] += row["count"]
-    rates = {k: [[math.log(x / sum(line)) for x in line] for line in m] for k, m in counts.items()}
+    rates = {label: _log_rates(m) for label, m in counts.items()}
     return [round(rates[True][a][b] - rates[False][a][b], 6) for a in range(_K) for b in range(_K)]
 
 
+def _log_rates(counts: list[list[float]], weight: float = 10.0) -> list[list[float]]:
+    """Transition probabilities, drawn to how often the second character occurs at all."""
+    single = [sum(line[b] for line in counts) + 0.5 for b in range(_K)]
+    whole = sum(single)
+    return [
+        [math.log((line[b] + weight * single[b] / whole) / (sum(line) + weight)) for b in range(_K)] for line in counts
+    ]
+
+
 def markov_score(token: Column, model: list[float]) -> Column:
     """Log-likelihood ratio of a token's transitions under the two models."""
     ratios = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
