@@ -157,7 +157,7 @@ def write_shards(ids: DataFrame, path: str, parts: int, shard_ids: int = 1_000_0
     The parts are written in parallel, each as shards in order. Rows that repeat an id are
     kept, each for itself, in the order of their ids' bytes within a part.
     """
-    dealt = ids.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
+    dealt = ids.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id", "ids")
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys: list = []
