@@ -30,11 +30,6 @@ def prefixes(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(path)), lambda n: F.slice(path, F.lit(1), n))
 
 
-def ancestors(path: Column) -> Column:
-    """Paths of the proper ancestors, root first (empty for a root)."""
-    return F.slice(prefixes(path), F.lit(1), F.size(path) - 1)
-
-
 def level_first_key(path: Column) -> Column:
     """Sort key of the level-first search.
 

@@ -53,10 +53,13 @@ def find_nodes(wanted: DataFrame, nodes: DataFrame, order: str = "preorder") ->
 
 
 def file_titles(topics: DataFrame) -> DataFrame:
-    """(project_id, file, file_title) of the topics; contents stay in the scan stage."""
-    return topics.select(
-        "project_id", "file", X.topic_title(F.col("content"), F.col("file")).alias("file_title")
-    )
+    """(project_id, file, file_title) of the topics; contents stay in the scan stage.
+
+    ``topics`` has ``content``, or the ``title`` taken from it already.
+    """
+    file = F.col("file")
+    title = X.topic_title(F.col("content"), file) if "content" in topics.columns else F.coalesce("title", X.file_label(file))
+    return topics.select("project_id", "file", title.alias("file_title"))
 
 
 def with_titles(nodes: DataFrame, topics: DataFrame) -> DataFrame:

@@ -14,33 +14,33 @@ from pyspark.sql import functions as F
 
 from leafwork.functions import paths as P
 from leafwork.operators.skew import split_row_number
-from leafwork.session import prepare
+from leafwork.session import cut_lineage
 
 TREE = ["project_id", "instance_id"]
 NODE = [*TREE, "node_path"]
 
 
-def from_parents(edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def from_parents(edges: DataFrame) -> DataFrame:
     """Give every node reachable from a root its ``node_path``.
 
-    ``edges``: project_id, instance_id, node, parent (NULL for roots), ordinal,
-    and any further columns. One join per level, each against the children of
-    the level above; nodes below a missing parent or on a cycle are unreachable
-    and left out.
+    ``edges``: project_id, instance_id, node, parent (NULL for roots), ordinal, and any
+    further columns. Each node knows the way from some node above it; joining that
+    node's own way doubles it, so the rounds are the logarithm of the depth, and only
+    nodes that have not reached their root take part. Nodes below a missing parent or on
+    a cycle are unreachable and left out.
     """
-    spark = prepare(edges.sparkSession)
-    slim = edges.select(*TREE, "node", "parent", "ordinal")
-    sql = f"""
-        with recursive walk(project_id, instance_id, node, node_path) max recursion level {max_depth} as (
-          select project_id, instance_id, node, array(cast(ordinal as int))
-          from {{edges}} where parent is null
-          union all
-          select e.project_id, e.instance_id, e.node, concat(w.node_path, array(cast(e.ordinal as int)))
-          from walk w join {{edges}} e
-            on e.project_id = w.project_id and e.instance_id = w.instance_id and e.parent = w.node)
-        select * from walk
-    """
-    walked = spark.sql(sql, edges=slim)
+    state = cut_lineage(
+        edges.select(*TREE, "node", F.col("parent").alias("_above"), F.array(F.col("ordinal").cast("int")).alias("node_path"))
+    )
+    # A way as long as there are nodes has met a cycle.
+    longest, steps = state.count(), 1
+    while steps <= 2 * longest and not (open_ := state.where("_above is not null")).isEmpty():
+        up = state.select(*TREE, F.col("node").alias("_above"), F.col("_above").alias("_next"), F.col("node_path").alias("_way"))
+        longer = open_.join(up, [*TREE, "_above"]).select(
+            *TREE, "node", F.col("_next").alias("_above"), F.concat("_way", "node_path").alias("node_path")
+        )
+        state, steps = cut_lineage(state.where("_above is null").unionByName(longer)), 2 * steps
+    walked = state.where("_above is null").select(*TREE, "node", "node_path")
     return edges.join(walked, [*TREE, "node"])
 
 

@@ -1,4 +1,4 @@
-"""Session settings the operators rely on, and the one way lineage is cut."""
+"""The shared scratch folder, and the one way lineage is cut."""
 
 from __future__ import annotations
 
@@ -7,16 +7,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Set the run-time options that recursive queries need on large inputs.
-
-    The default row limit of a recursive query is one million, far below the
-    number of tree nodes in a large corpus.
-    """
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark
-
-
 def scratch_folder(spark: SparkSession) -> str:
     """The reliable folder for checkpoints and intermediate tables.
 

@@ -1,7 +1,7 @@
 """Changes to topic files, as new versions of the topics table.
 
 Keys decide; contents only travel with their row. Where the topics table is kept
-bucketed by file (:func:`save_topics`), the joins below move no content at all.
+bucketed by project and file, the joins below move no content at all.
 """
 
 from __future__ import annotations
@@ -55,8 +55,3 @@ def rename_files(topics: DataFrame, renames: DataFrame) -> DataFrame:
         .withColumn("file", F.coalesce("new_file", "file"))
         .drop("new_file")
     )
-
-
-def save_topics(topics: DataFrame, name: str, buckets: int) -> None:
-    """Keep the topics as a table bucketed by file, so that later joins on it do not shuffle."""
-    topics.write.mode("overwrite").bucketBy(buckets, *FILE).sortBy(*FILE).saveAsTable(name)

@@ -1,10 +1,9 @@
 """Projects on disk: reading, detection, validation, writing and reading back."""
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from leafwork.operators import validate
+from leafwork.operators import lookup, validate
 from leafwork.plans.open_projects import Opened, open_projects
 from leafwork.session import cut_lineage
 from leafwork.sinks import documents, topics as topic_sinks
@@ -66,6 +65,24 @@ def opened(spark, tmp_path_factory):
     return root, Opened(*map(cut_lineage, result)), topics
 
 
+def test_titles_need_one_scan_and_move_no_content(spark, opened):
+    root, result, topics = opened
+    folders = result.projects
+    titles = files.read_titles(spark, f"{root}/*/*/*.md", folders)
+    want = {(r.project_id, r.file, r.file_title) for r in lookup.file_titles(topics).collect()}
+    got = {(r.project_id, r.file, r.file_title) for r in lookup.file_titles(titles).collect()}
+    # Refused projects have no folder of their own in this table.
+    assert {t for t in want if not t[0].endswith("bad")} == {t for t in got if not t[0].endswith("bad")}
+    plan = titles._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[: plan.index("Join")]
+    assert plan.count("Relation") - plan.count("LocalRelation") <= 2 and "value" not in join and "content" not in join
+    with_titles = open_projects(
+        files.read_json_configs(spark, f"{root}/*/*.config.json"), files.read_xml_configs(spark, f"{root}/*/*.cfg"),
+        files.read_tree_files(spark, f"{root}/*/*.tree"), titles,
+    )
+    assert sorted(map(repr, with_titles.nodes.select("topic", "title").collect())) == sorted(map(repr, result.nodes.select("topic", "title").collect()))
+
+
 def test_detection(opened):
     root, result, _ = opened
     got = {r.project_id.rsplit("/", 1)[1]: (r.dialect, r.config_code) for r in result.projects.collect()}
