@@ -33,6 +33,7 @@ def tree_xml_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(*KEY, P.path_key(F.col("key")).alias("key"), "text")
 
 
+# Fixed value: the head of a tree file.
 _DOCTYPE = "<!DOCTYPE instance-profile SYSTEM \"https://resources.jetbrains.com/writerside/1.0/product-profile.dtd\">"
 _TREE_TEXT = f"""
   pieced as (

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafwork.operators import lookup, naming, skew, tree
+from leafwork.operators import instances, lookup, naming, skew, tree
 
 NODES = "project_id string, instance_id string, node_path array<int>, topic string, title string"
 
@@ -91,3 +91,18 @@ def test_instance_id_suggestions(spark):
     taken = spark.createDataFrame([("p", "md"), ("p", "md12")], "project_id string, instance_id string")
     got = {r.seq: r.instance_id for r in naming.unique_instance_ids(asked, taken).collect()}
     assert got == {1: "md1", 2: "md123", 3: "x", 4: "md"}
+
+
+def test_wanted_nodes_are_found_in_either_order(spark):
+    nodes = nodes_of(spark, [([0], "a"), ([0, 0], "t"), ([1], "t"), ([2], "b")])
+    wanted = spark.createDataFrame([("p", "i", "t"), ("p", "i", "none")], "project_id string, instance_id string, topic string")
+    found = {r.topic: r.node_path for r in lookup.find_nodes(wanted, nodes).collect()}
+    assert found == {"t": [0, 0], "none": None}
+    assert {r.topic: r.node_path for r in lookup.find_nodes(wanted, nodes, order="level").collect()}["t"] == [1]
+
+
+def test_created_instances_are_registered_last(spark):
+    registry = spark.createDataFrame([("p", 0, "a.tree"), ("p", 4, "b.tree")], "project_id string, ordinal int, src string")
+    created = spark.createDataFrame([("p", "z", 9), ("p", "y", 3), ("q", "x", 5)], "project_id string, instance_id string, seq long")
+    got = {(r.project_id, r.ordinal, r.src) for r in instances.register(created, registry).collect()}
+    assert got == {("p", 0, "a.tree"), ("p", 4, "b.tree"), ("p", 5, "y.tree"), ("p", 6, "z.tree"), ("q", 0, "x.tree")}
