@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import known_id, restored, shingle_hashes, stored, word_hashes
+from leafwork.llm.common import known_id, restored, shingle_hashes, word_hashes
 
 _WORD = re.compile(r"[^\W_]+")
 _FILTER_BITS = 20
@@ -177,9 +177,3 @@ def by_document(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id") -> Dat
         F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
         F.coalesce("spans", F.array().cast("array<struct<start:long,length:long,item_id:long>>")).alias("spans"),
     )
-
-
-def decontaminated(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is in no hit; rows without an id stay."""
-    marked = stored(hits.select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
-    return docs.join(marked, docs[id_col] == marked["_hit"], "left_anti")
