@@ -103,15 +103,19 @@ def rewrite_markdown_images(text: Column, images_folder: Column) -> Column:
 
         return _bind(F.regexp_extract(token, parts, at), with_src)
 
-    def change(token: Column) -> Column:
-        defined = F.regexp_like(token, F.lit(r"\A {0,3}\[")) & F.array_contains(named, F.lower(F.regexp_extract(token, _DEF_PARTS, 2)))
-        return (
-            F.when(token.startswith("!["), moved(token, _MD_PARTS, 1, 2, 3))
-            .when(defined, moved(token, _DEF_PARTS, 1, 3, None))
-            .otherwise(token)
-        )
-
-    return F.when(F.contains(text, F.lit("![")), rewrite_matches(text, MD_TOKEN, change)).otherwise(text)
+    def with_names(names: Column) -> Column:
+        def change(token: Column) -> Column:
+            defined = F.regexp_like(token, F.lit(r"\A {0,3}\[")) & F.array_contains(names, F.lower(F.regexp_extract(token, _DEF_PARTS, 2)))
+            return (
+                F.when(token.startswith("!["), moved(token, _MD_PARTS, 1, 2, 3))
+                .when(defined, moved(token, _DEF_PARTS, 1, 3, None))
+                .otherwise(token)
+            )
+
+        return rewrite_matches(text, MD_TOKEN, change)
+
+    # The names are found once for a text, not once for each token.
+    return F.when(F.contains(text, F.lit("![")), _bind(F.array_distinct(named), with_names)).otherwise(text)
 
 
 def in_topics_folder(path: Column, topics_folder: Column) -> Column:
