@@ -11,28 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.session import cut_lineage
-from leafwork.sources import forest
-
-# The places of the configuration schema. Each place has a type, and
-# an object place lists its keys with the places they lead to.
-PLACES = {
-    "root": ("object", {
-        "schema": "text", "title": "text", "type": "text",
-        "topics": "topics", "images": "images", "instances": "instances",
-    }),
-    "topics": ("object", {"dir": "text"}),
-    "images": ("object", {"dir": "text", "version": "text", "web-path": "text"}),
-    "instances": ("array", "instance"),
-    "instance": ("object", {"id": "text", "name": "text", "start-page": "text", "toc-elements": "tocs"}),
-    "tocs": ("array", "toc"),
-    "toc": ("object", {
-        "id": "text", "topic": "text", "path": "text", "toc-title": "text", "title": "text",
-        "sort-children": "order", "sortChildren": "order", "children": "tocs",
-    }),
-    "text": ("string", None),
-    "order": ("string", None),
-}
-ORDERS = ("ascending", "descending", "none")
+from leafwork.sources import forest, json_walk
+from leafwork.sources.json_walk import ORDERS, PLACES
 
 
 def _get(value: Column, key: str) -> Column:
@@ -110,19 +90,17 @@ def violations(configs: DataFrame, dialect: str = "J") -> DataFrame:
 
     ``configs``: project_id, content. Text that cannot be parsed, or none at all, is one
     violation (``parse``). Trees deeper than a block of levels are checked in further
-    rounds, over what is left of them.
+    rounds, over what is left of them. Texts too deep or too large for a variant are walked.
     """
     parsed = configs.select("project_id", F.try_parse_json("content").alias("c"))
-    broken = parsed.where("c is null").select(
-        "project_id", F.lit("").alias("instance_path"), F.lit("parse").alias("keyword"), F.lit("unreadable").alias("detail")
-    )
+    others = cut_lineage(json_walk.violations(configs.where(F.try_parse_json("content").isNull())))
     part = parsed.where("c is not null").select("project_id", F.explode(parts(F.col("c"))).alias("p"))
     rows = last = cut_lineage(_checked(part.select("project_id", "p.*")))
     while not (open_ := last.where("rest is not null")).isEmpty():
         deeper = _toc_parts(_items(F.try_parse_json("rest")), F.col("instance_path"), 1, forest.LEVELS)
         last = cut_lineage(_checked(open_.select("project_id", F.explode(deeper).alias("p")).select("project_id", "p.*")))
         rows = rows.unionByName(last)
-    found = rows.where("keyword is not null").drop("rest").unionByName(broken)
+    found = rows.where("keyword is not null").drop("rest").unionByName(others)
     return found.withColumn("dialect", F.lit(dialect))
 
 

@@ -1,0 +1,368 @@
+"""JSON configurations of any depth and size, walked token by token.
+
+Spark's variants hold neither a text of 128 MiB nor one nested deeper than 1,000
+brackets, and from_json gives no raw text nested deeper than that. Such texts are walked
+here: with a list of what is open, and no tree of values. Of keys that an object repeats
+the last one counts, as for the readers.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from json.decoder import scanstring
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# The places of the configuration schema. Each place has a type, and
+# an object place lists its keys with the places they lead to.
+PLACES = {
+    "root": ("object", {
+        "schema": "text", "title": "text", "type": "text",
+        "topics": "topics", "images": "images", "instances": "instances",
+    }),
+    "topics": ("object", {"dir": "text"}),
+    "images": ("object", {"dir": "text", "version": "text", "web-path": "text"}),
+    "instances": ("array", "instance"),
+    "instance": ("object", {"id": "text", "name": "text", "start-page": "text", "toc-elements": "tocs"}),
+    "tocs": ("array", "toc"),
+    "toc": ("object", {
+        "id": "text", "topic": "text", "path": "text", "toc-title": "text", "title": "text",
+        "sort-children": "order", "sortChildren": "order", "children": "tocs",
+    }),
+    "text": ("string", None),
+    "order": ("string", None),
+}
+ORDERS = ("ascending", "descending", "none")
+
+_SPACE = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
+_WORDS = {"t": "true", "f": "false", "n": "null"}
+ROWS = 10_000  # of an output batch
+
+
+def tokens(text: str) -> Iterator[tuple[str, str | None, int, int]]:
+    """(kind, text, start, end) of keys, values and ends; ValueError where the text is no JSON."""
+    at, closing, state = _SPACE.match(text).end(), [], "value"
+    while True:
+        c = text[at : at + 1]
+        if state == "end":
+            if not c:
+                return
+            raise ValueError(at)
+        if c == "" or state == "colon" and c != ":":
+            raise ValueError(at)
+        start, at = at, at + 1
+        if state == "colon":
+            state = "value"
+        elif state == "next" and c == ",":
+            state = "key" if closing[-1] == "}" else "value"
+        elif c in "]}" and state in ("next", "first") and closing[-1] == c:
+            closing.pop()
+            yield "close", None, start, at
+            state = "next" if closing else "end"
+        elif state == "next":
+            raise ValueError(start)
+        elif state == "key" or state == "first" and closing[-1] == "}":
+            if c != '"':
+                raise ValueError(start)
+            key, at = scanstring(text, at, True)
+            yield "key", key, start, at
+            state = "colon"
+        elif c in "{[":
+            closing.append("}" if c == "{" else "]")
+            yield "object" if c == "{" else "array", None, start, at
+            state = "first"
+        else:
+            if c == '"':
+                value, at = scanstring(text, at, True)
+                yield "string", value, start, at
+            elif c in _WORDS:
+                word = _WORDS[c]
+                if not text.startswith(word, start):
+                    raise ValueError(start)
+                at = start + len(word)
+                yield word, word, start, at
+            elif found := _NUMBER.match(text, start):
+                at = found.end()
+                yield "number", found[0], start, at
+            else:
+                raise ValueError(start)
+            state = "next" if closing else "end"
+        at = _SPACE.match(text, at).end()
+
+
+class _Open:
+    """An object or list whose end has not been reached."""
+
+    __slots__ = ("kind", "at", "place", "level", "start", "step", "seen", "mark", "topic", "title", "loads", "fine")
+
+    def __init__(self, kind: str, at: str | None, follow: bool, level: int, start: int):
+        self.kind, self.at, self.level, self.start = kind, at, level, start
+        self.place = at if follow else None  # None: what it holds is not looked at
+        self.step: str | int = -1  # the key or position of what is read now
+        self.seen: dict = {}  # where the findings of each key are
+        self.mark = 0
+        self.topic = self.title = False  # whether it has a topic; whether its title is no text
+        self.loads: bool | None = None  # what its list (or its topic) means for loading
+        self.fine = True  # whether all items of a list load
+
+
+def inspect(text: str | None) -> tuple[bool, list]:
+    """Whether loading succeeds, and all violations (instance_path, keyword, detail, raw).
+
+    ``raw`` is the text of a value that stands for its detail.
+    """
+    out: list = []
+    stack: list[_Open] = []
+    readable = True
+
+    def path(extra: int = 0) -> str:
+        return "".join(f"/{o.step}" for o in (stack[:-1] if extra else stack))
+
+    def placed() -> tuple[str | None, int]:
+        """Where the schema has the value that begins."""
+        if not stack:
+            return "root", -1
+        top = stack[-1]
+        if top.place is None:
+            return None, -1
+        inner = PLACES[top.place][1]
+        if top.kind == "array":
+            return inner, top.level
+        place = inner.get(top.step)
+        return place, top.level + 1 if place == "tocs" else top.level
+
+    def check(kind: str, place: str | None, value: str | None) -> None:
+        top = stack[-1] if stack else None
+        if place is None:
+            if top and top.place is not None:
+                out.append((path(1), "additionalProperties", top.step, None))
+            return
+        want = PLACES[place][0]
+        if place == "order" and kind == "string" and value not in ORDERS:
+            out.append((path(), "enum", value, None))
+        if kind != want:
+            if top and top.place == "toc" and top.level == 0 and top.step == "title":
+                top.title = True
+            else:
+                out.append((path(), "type", want, None))
+
+    def ended(kind: str, place: str | None, value: str | None, start: int, end: int, loads: bool | None, fine: bool) -> None:
+        nonlocal readable
+        top = stack[-1] if stack else None
+        if place == "order" and kind != "string":
+            out.append((path(), "enum", None, text[start:end]))
+        zero = kind in ("null", "false") or kind == "number" and float(value) == 0
+        if place == "toc":
+            ok = kind != "null" and loads is not False
+        elif place == "tocs":
+            ok = kind == "array" and fine
+        elif place == "instance":
+            ok = kind == "object" and bool(loads)
+        elif place == "instances":
+            ok = kind == "array" and fine or zero or kind == "string" and value == ""
+        else:
+            ok = loads is not False
+        if top is None:
+            readable = ok
+        elif top.kind == "array":
+            top.fine = top.fine and ok
+        else:
+            if top.place == "toc" and top.step == "topic":
+                top.topic = not (kind == "null" or kind == "string" and value == "")
+                top.loads = kind == "string" or zero
+            elif (top.place, place) in (("instance", "tocs"), ("root", "instances")):
+                top.loads = ok
+            if top.place is not None:
+                top.seen[top.step] = (top.mark, len(out))
+
+    try:
+        if text is None:
+            raise ValueError
+        for kind, value, start, end in tokens(text):
+            if kind == "key":
+                top = stack[-1]
+                top.step = value
+                if top.place is not None:
+                    a, z = top.seen.get(value, (0, 0))
+                    out[a:z] = [None] * (z - a)
+                    top.mark = len(out)
+                    if value == "title":
+                        top.title = False
+                continue
+            if kind == "close":
+                o = stack.pop()
+                if o.title and not o.topic:
+                    out.append((path() + "/title", "type", "string", None))
+                ended(o.kind, o.at, None, o.start, end, o.loads, o.fine)
+                continue
+            if stack and stack[-1].kind == "array":
+                stack[-1].step += 1
+            place, level = placed()
+            check(kind, place, value)
+            if kind in ("object", "array"):
+                stack.append(_Open(kind, place, place is not None and PLACES[place][0] == kind, level, start))
+            else:
+                ended(kind, place, value, start, end, None, True)
+    except ValueError:
+        return False, [("", "parse", "unreadable", None)]
+    return readable, [v for v in out if v is not None]
+
+
+def _before(text: str) -> tuple[set[int], dict[int, str | None]]:
+    """Where values begin that a later key of their object replaces, and the ids of the instances."""
+    replaced, ids = set(), {}
+    stack: list[list] = []  # key or position, where the value of each key begins
+    for kind, value, start, end in tokens(text):
+        if kind == "key":
+            stack[-1][0] = value
+            continue
+        if kind == "close":
+            stack.pop()
+            continue
+        if stack and stack[-1][1] is None:
+            stack[-1][0] += 1
+        elif stack:
+            top = stack[-1]
+            if top[0] in top[1]:
+                replaced.add(top[1][top[0]])
+            top[1][top[0]] = start
+        at = [s[0] for s in stack] if len(stack) < 4 else ()
+        if at == ["instances"]:
+            ids = {}
+        elif len(at) == 2 and at[0] == "instances":
+            ids.pop(at[1], None)
+        elif len(at) == 3 and at[0] == "instances" and at[2] == "id":
+            ids[at[1]] = value if kind == "string" else None if kind == "null" else text[start:end]
+        if kind in ("object", "array"):
+            stack.append([-1, {} if kind == "object" else None])
+    return replaced, ids
+
+
+def tree_nodes(text: str, fields: tuple[str, ...]) -> Iterator[tuple[str | None, list[int], dict]]:
+    """(instance_id, node_path, the given fields as text) of all nodes, each after those below it."""
+    replaced, ids = _before(text)
+    stack: list[_Open] = []
+    held: list[dict] = []  # fields of the open nodes
+    skipped = 0  # open brackets of a replaced value
+    for kind, value, start, end in tokens(text):
+        if kind == "key":
+            if not skipped:
+                stack[-1].step = value
+            continue
+        if kind == "close":
+            if skipped:
+                skipped -= 1
+                continue
+            o = stack.pop()
+            if o.place == "toc":
+                yield ids.get(stack[1].step), [s.step for s in stack if s.place == "tocs"], held.pop()
+            at, value, start, kind = o.at, None, o.start, o.kind
+        else:
+            if skipped or start in replaced:
+                skipped += kind in ("object", "array")
+                continue
+            if stack and stack[-1].kind == "array":
+                stack[-1].step += 1
+            at, top = "root" if not stack else None, stack[-1] if stack else None
+            if top and top.place is not None:
+                inner = PLACES[top.place][1]
+                at = inner if top.kind == "array" else inner.get(top.step)
+            if kind in ("object", "array"):
+                stack.append(_Open(kind, at, at is not None and PLACES[at][0] == kind, 0, start))
+                if stack[-1].place == "toc":
+                    held.append({})
+                continue
+        if stack and stack[-1].place == "toc" and stack[-1].step in fields and kind != "null":
+            held[-1][stack[-1].step] = value if kind == "string" else text[start:end]
+
+
+def _out(schema: pa.Schema, ids: pa.Array, at: list[int], columns: list[list]) -> pa.RecordBatch:
+    found = [pa.array(c, schema.field(k).type) for k, c in enumerate(columns, 1)]
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *found], schema=schema)
+
+
+def _clean(text: str | None) -> str | None:
+    """Half a surrogate pair, which JSON can escape, has no UTF-8."""
+    return None if text is None else text.encode("utf-8", "replace").decode()
+
+
+def violations(configs: DataFrame) -> DataFrame:
+    """(project_id, instance_path, keyword, detail) of all violations, from project_id, content."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            names = ("instance_path", "keyword", "detail", "raw")
+            schema = pa.schema([pa.field("project_id", ids.type), *[pa.field(n, pa.string()) for n in names]])
+            at, rows = [], []
+            for k in range(batch.num_rows):
+                for row in inspect(batch.column(1)[k].as_py())[1]:
+                    at.append(k)
+                    rows.append(tuple(map(_clean, row)))
+                    if len(rows) == ROWS:
+                        yield _out(schema, ids, at, list(zip(*rows)))
+                        at, rows = [], []
+            if rows:
+                yield _out(schema, ids, at, list(zip(*rows)))
+
+    kind = configs.schema["project_id"].dataType
+    walked = configs.select("project_id", "content").mapInArrow(
+        found, T.StructType([T.StructField("project_id", kind), *[T.StructField(n, T.StringType()) for n in ("instance_path", "keyword", "detail", "raw")]])
+    )
+    # Values are spelled as in the other violations.
+    plain = F.coalesce(F.try_variant_get(F.try_parse_json("raw"), "$", "string"), "raw")
+    return walked.select("project_id", "instance_path", "keyword", F.coalesce("detail", plain).alias("detail"))
+
+
+def readability(configs: DataFrame) -> DataFrame:
+    """(project_id, readable), from project_id, content."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            schema = pa.schema([pa.field("project_id", ids.type), pa.field("readable", pa.bool_())])
+            loads = [inspect(t.as_py())[0] for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(loads, pa.bool_())], schema=schema)
+
+    kind = configs.schema["project_id"].dataType
+    return configs.select("project_id", "content").mapInArrow(
+        found, T.StructType([T.StructField("project_id", kind), T.StructField("readable", T.BooleanType())])
+    )
+
+
+def nodes(configs: DataFrame, more: list[str]) -> DataFrame:
+    """(project_id, instance_id, node_path, topic, title, more) of all nodes, from project_id, content."""
+    texts = pa.map_(pa.string(), pa.string())
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            kinds = {"instance_id": pa.string(), "node_path": pa.list_(pa.int32()), "topic": pa.string(), "title": pa.string(), "more": texts}
+            schema = pa.schema([pa.field("project_id", ids.type), *[pa.field(n, t) for n, t in kinds.items()]])
+            at, rows = [], []
+            for k in range(batch.num_rows):
+                try:
+                    for instance, path, held in tree_nodes(batch.column(1)[k].as_py() or "", ("topic", "title", *more)):
+                        others = [(n, _clean(held[n])) for n in more if n in held]
+                        at.append(k)
+                        rows.append((_clean(instance), path, _clean(held.get("topic")), _clean(held.get("title")), others or None))
+                        if len(rows) == ROWS:
+                            yield _out(schema, ids, at, list(zip(*rows)))
+                            at, rows = [], []
+                except ValueError:  # no JSON: found before the first node
+                    continue
+            if rows:
+                yield _out(schema, ids, at, list(zip(*rows)))
+
+    kind = configs.schema["project_id"].dataType
+    out = T.StructType(
+        [T.StructField("project_id", kind), T.StructField("instance_id", T.StringType()), T.StructField("node_path", T.ArrayType(T.IntegerType()))]
+        + [T.StructField(n, T.StringType()) for n in ("topic", "title")]
+        + [T.StructField("more", T.MapType(T.StringType(), T.StringType()))]
+    )
+    return configs.select("project_id", "content").mapInArrow(found, out)

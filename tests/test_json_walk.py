@@ -1,0 +1,86 @@
+"""Configurations that make no variant: very deep ones, and those with repeated keys."""
+
+import json
+import random
+
+from leafwork.operators import validate
+from leafwork.plans.open_projects import open_projects
+from leafwork.sources import json_config, json_walk
+
+
+def tree(depth, leaf='{"topic":"t"}'):
+    return '{"topic":"t","children":[' * (depth - 1) + leaf + "]}" * (depth - 1)
+
+
+def config(toc):
+    return f'{{"instances":[{{"id":"i","toc-elements":[{toc}]}}]}}'
+
+
+def test_a_json_tree_of_600_levels_is_opened(spark):
+    texts = {
+        "good": config(tree(600)), "bad": config(tree(600, '{"topic":"t","odd":1,"sortChildren":7}')),
+        "cut": config(tree(600))[:-1], "number": config(tree(600).replace('"t"', "5", 1)), "small": config(tree(1)),
+    }
+    configs = spark.createDataFrame(list(texts.items()), "project_id string, content string")
+    modules = spark.createDataFrame([], "project_id string, content string")
+    trees = spark.createDataFrame([], "path string, content string")
+    topics = spark.createDataFrame([("good", "t", "# T")], "project_id string, file string, content string")
+    assert {r.project_id: r.readable for r in json_config.readability(configs).collect()} == {
+        "good": True, "bad": True, "cut": False, "number": False, "small": True,
+    }
+    opened = open_projects(configs, modules, trees, topics)
+    assert {r.project_id: r.config_code for r in opened.projects.collect()} == {"good": 2, "bad": 0, "cut": 0, "number": 0, "small": 2}
+    assert {r.project_id: r["count"] for r in opened.nodes.groupBy("project_id").count().collect()} == {"good": 600, "small": 1}
+    at = "/instances/0/toc-elements/0" + "/children/0" * 599
+    assert {tuple(r)[:4] for r in opened.violations.collect()} == {
+        ("bad", at, "additionalProperties", "odd"),
+        ("bad", f"{at}/sortChildren", "type", "string"),
+        ("bad", f"{at}/sortChildren", "enum", "7"),
+        ("cut", "", "parse", "unreadable"),
+        ("number", "/instances/0/toc-elements/0/topic", "type", "string"),
+    }
+    assert {r.project_id for r in validate.accepted(configs, opened.violations).collect()} == {"good", "small"}
+
+
+def test_of_repeated_keys_the_last_one_counts():
+    assert json_walk.inspect('{"topics":{"x":1},"topics":{"dir":"a"},"instances":5,"instances":[]}') == (True, [])
+    assert json_walk.inspect('{"topics":{"dir":"a"},"topics":5}') == (True, [("/topics", "type", "object", None)])
+
+
+def test_walking_equals_the_variant_rules(spark):
+    rng = random.Random(3)
+    values = ["x", "", 5, 0, 1.5, True, False, None, "none", "up", [], {}, {"a": 1}, "{}", "[1]"]
+
+    def some(keys, share):
+        return {k: rng.choice(values) for k in rng.sample(keys, len(keys)) if rng.random() < share}
+
+    def toc(depth):
+        node = some(["id", "topic", "title", "sort-children", "sortChildren", "children", "odd"], 0.25)
+        if depth and rng.random() < 0.8:
+            node["children"] = [toc(depth - 1) for _ in range(rng.randint(0, 2))]
+        return node if rng.random() < 0.95 else rng.choice(values)
+
+    def whole():
+        instances = [some(["id", "name", "odd"], 0.3) | {"toc-elements": [toc(11) for _ in range(rng.randint(0, 3))]} for _ in range(rng.randint(0, 3))]
+        top = some(["schema", "title", "images", "odd"], 0.3) | {"topics": some(["dir", "odd"], 0.4), "instances": [*instances, *rng.sample(values, rng.random() < 0.2)]}
+        return top | ({"instances": rng.choice(values)} if rng.random() < 0.1 else {})
+
+    texts = [json.dumps(whole(), indent=rng.choice([None, 1])) for _ in range(400)] + [json.dumps(v) for v in values] + ["", "{", '{"a":}', '{"a":1,}', "[1,]", "[01]", '"a', "nul", "]"]
+    df = spark.createDataFrame(list(enumerate(texts)), "project_id int, content string")
+    rows = lambda found: sorted(repr(tuple(r)[:4]) for r in found.collect())
+    assert rows(validate.violations(df)) == rows(json_walk.violations(df))
+    assert rows(json_config.readability(df)) == rows(json_walk.readability(df))
+
+
+def test_walked_nodes_equal_those_of_the_reader(spark):
+    rng = random.Random(4)
+
+    def toc(depth):
+        node = {k: rng.choice(["x", "a b", 'q"\\u00e9\n', ""]) for k in ["topic", "title", *json_config.MORE] if rng.random() < 0.4}
+        return node | ({"children": [toc(depth - 1) for _ in range(rng.randint(0, 2))]} if depth else {})
+
+    texts = [json.dumps({"instances": [{"toc-elements": [toc(12) for _ in range(3)], "id": f"i{k}"} for k in range(2)]}) for _ in range(20)]
+    texts.append('{"instances":[{"id":"a","toc-elements":[{"topic":"x"}]}],"instances":[{"toc-elements":[{"topic":"y","topic":"z","children":[{}],"children":[]}]}]}')
+    df = spark.createDataFrame(list(enumerate(texts)), "project_id int, content string")
+    rows = lambda df: sorted(repr((r.project_id, r.instance_id, r.node_path, r.topic, r.title, r.more)) for r in df.collect())
+    assert rows(json_walk.nodes(df, json_config.MORE)) == rows(json_config.nodes(df))
