@@ -32,14 +32,15 @@ def from_parents(edges: DataFrame) -> DataFrame:
     state = cut_lineage(
         edges.select(*TREE, "node", F.col("parent").alias("_above"), F.array(F.col("ordinal").cast("int")).alias("node_path"))
     )
-    # A way as long as there are nodes has met a cycle.
-    longest, steps = state.count(), 1
-    while steps <= 2 * longest and not (open_ := state.where("_above is not null")).isEmpty():
+    # Depths have no gaps: after a round that brings no node to its root, only nodes on or
+    # below a cycle (or a missing parent) are left.
+    arrived = -1
+    while (now := state.where("_above is null").count()) != arrived and not (open_ := state.where("_above is not null")).isEmpty():
         up = state.select(*TREE, F.col("node").alias("_above"), F.col("_above").alias("_next"), F.col("node_path").alias("_way"))
         longer = open_.join(up, [*TREE, "_above"]).select(
             *TREE, "node", F.col("_next").alias("_above"), F.concat("_way", "node_path").alias("node_path")
         )
-        state, steps = cut_lineage(state.where("_above is null").unionByName(longer)), 2 * steps
+        state, arrived = cut_lineage(state.where("_above is null").unionByName(longer)), now
     walked = state.where("_above is null").select(*TREE, "node", "node_path")
     return edges.join(walked, [*TREE, "node"])
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafwork.operators import instances, lookup, naming, skew, tree
+from leafwork.session import cut_lineage
 
 NODES = "project_id string, instance_id string, node_path array<int>, topic string, title string"
 
@@ -14,6 +15,22 @@ def nodes_of(spark, rows):
     return spark.createDataFrame([("p", "i", path, topic, None) for path, topic in rows], NODES)
 
 
+def test_a_cycle_beside_many_nodes_grows_no_long_path(spark, monkeypatch):
+    rows = [("p", "i", n, None, n) for n in range(300)] + [("p", "i", 300, 0, 0), ("p", "i", 301, 300, 0), ("p", "i", 900, 901, 0), ("p", "i", 901, 900, 0)]
+    edges = spark.createDataFrame(rows, "project_id string, instance_id string, node long, parent long, ordinal int")
+    lengths = []
+
+    def noted(df):
+        kept = cut_lineage(df)
+        lengths.append(kept.agg(F.max(F.size("node_path"))).first()[0])
+        return kept
+
+    monkeypatch.setattr(tree, "cut_lineage", noted)
+    got = {r.node: r.node_path for r in tree.from_parents(edges).collect()}
+    assert got == {n: [n] for n in range(300)} | {300: [0, 0], 301: [0, 0, 0]}
+    assert max(lengths) <= 8
+
+
 def test_from_parents_leaves_out_orphans_and_cycles(spark):
     edges = spark.createDataFrame(
         [("p", "i", n, parent, o) for n, parent, o in [(1, None, 0), (2, 1, 1), (3, 2, 0), (4, 99, 0), (5, 6, 0), (6, 5, 0), (7, 1, 0)]],
