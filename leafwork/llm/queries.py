@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork.llm import (
+    centroids,
     chat_format,
     decontaminate,
     exact_dedup,
@@ -123,3 +124,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         _sha(pii.span_text(base)).alias("base_sha256"),
         pii.span_text(F.col("spans")).alias("spans"),
     )
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, means = centroids.cluster(centroids.whole_vectors(table(spark, sf_dir, "embeddings")))
+    return centroids.with_inertia(assigned, means)

@@ -17,6 +17,37 @@ def _frame_size() -> str:
     return f"case role {cases} else {len(ROLE) + len(ROLE_END) + len(TURN_END)} + len({_escaped('role')}) end"
 
 
+def _centroids_sql() -> str:
+    """Five rounds of assignment and exact means, one after the other."""
+    steps = []
+    for r in range(6):
+        steps.append(f"""
+        near{r} as materialized (
+          select rid, c, distance from (
+            select rid, c, list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i])))::bigint as distance
+            from kept, mean{r}) pairs
+          qualify row_number() over (partition by rid order by distance, c) = 1)""")
+        if r < 5:
+            steps.append(f"""
+        mean{r + 1} as materialized (
+          select c, coalesce(moved, m) as m from mean{r} left join (
+            select c, list((s - ((s % n) + n) % n) // n order by i) as moved from (
+              select c, i, sum(v[i])::bigint as s, count(*)::bigint as n
+              from near{r} join kept using (rid), (select unnest(range(1, 65)) as i) dims group by c, i) sums
+            group by c) means using (c))""")
+    return f"""
+        with kept as materialized (
+          select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+          from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+        mean0 as materialized (
+          select row_number() over (order by sha256('2:' || coalesce(vec_id::varchar, '')), v) - 1 as c, v as m
+          from kept order by c limit 40),{",".join(steps)}
+        select vec_id, c::int as cluster, distance, sum(distance) over (partition by c)::bigint as cluster_inertia,
+          sum(distance) over ()::bigint as inertia, sha256(array_to_string(m, ',')) as centroid_sha256
+        from near5 join kept using (rid) join mean5 using (c)
+    """
+
+
 SQL = {
     "op2_exact_dedup": r"""
         with rows as (
@@ -63,4 +94,5 @@ SQL = {
         select split.doc_id, coalesce(sizes.n, 0) as n_shingles, component_id, split.doc_id = component_id as kept
         from split join lowest on lowest.node = split.doc_id left join sizes on sizes.doc_id = split.doc_id
     """,
+    "op13_centroids": _centroids_sql(),
 }
