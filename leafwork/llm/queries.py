@@ -13,6 +13,7 @@ from leafwork.llm import (
     chat_format,
     decontaminate,
     exact_dedup,
+    host_paths,
     id_files,
     language_mix,
     minhash,
@@ -126,6 +127,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_paths.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned, means = centroids.cluster(centroids.whole_vectors(table(spark, sf_dir, "embeddings")))
     return centroids.with_inertia(assigned, means)
