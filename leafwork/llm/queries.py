@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leafwork.llm import (
     centroids,
     chat_format,
+    collocations,
     decontaminate,
     exact_dedup,
     host_paths,
@@ -127,6 +128,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_paths.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 

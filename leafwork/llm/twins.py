@@ -94,5 +94,36 @@ SQL = {
         select split.doc_id, coalesce(sizes.n, 0) as n_shingles, component_id, split.doc_id = component_id as kept
         from split join lowest on lowest.node = split.doc_id left join sizes on sizes.doc_id = split.doc_id
     """,
+    "op11_collocations": r"""
+        with pieces as (
+          select row_number() over () as piece, lang, words from (
+            select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') as words from (
+              select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]')) as piece
+              from documents) cut) split where len(words) > 0),
+        grams as (
+          select lang, k, array_to_string(words[i : i + k - 1], ' ') as phrase from (
+            select lang, words, k, unnest(range(1, len(words) - k + 2)) as i from pieces, (select unnest([1, 2, 3]) as k) ks) runs),
+        counts as materialized (select lang, k, phrase, count(*)::hugeint as f from grams group by all),
+        totals as (select lang, sum(f) as n from counts where k = 1 group by lang),
+        candidates as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from counts where k > 1 and f >= 10),
+        cuts as (
+          select c.*, j, x.f as l, y.f as r, 1000000 * a * a // (x.f * y.f) as score
+          from (select *, unnest(range(1, k)) as j from candidates) c
+          join counts x on x.lang = c.lang and x.phrase = array_to_string(w[1 : j], ' ')
+          join counts y on y.lang = c.lang and y.phrase = array_to_string(w[j + 1 : c.k], ' ')),
+        scored as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+        inner_ as (
+          select lang, array_to_string(w[i : i + 1], ' ') as phrase, a as longer
+          from (select *, unnest([1, 2]) as i from candidates where k = 3) t),
+        kept as (
+          select * from scored s where not exists (
+            from inner_ i where i.lang = s.lang and i.phrase = s.phrase and 100 * longer >= 50 * s.a))
+        select lang, row_number() over best as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+        from kept join totals using (lang)
+        window best as (partition by lang order by score desc, a desc, phrase)
+        qualify row_number() over best <= 2000
+    """,
     "op13_centroids": _centroids_sql(),
 }
