@@ -6,14 +6,17 @@ words are one class; its smallest id stands for it. Texts that share a band key
 candidates. They are compared in two steps, both estimated by counting equal low bits
 (corrected for chance), then verified on the full sets:
 
-1. every text with the text of its bucket that is best connected, and components are
-   formed from the confirmed links;
-2. all texts of a bucket that are still in different components, in blocks of bounded
-   size inside tasks, so that only confirmed links are ever passed on.
-
-Within a family of copies the first step leaves few components, so the second one
-compares what is not linked yet, and no pair that could join two components is left
-out. Components are found by exchanging smallest labels between tables.
+1. every text with the text of its bucket that is best connected (the hub), and
+   components are formed from the confirmed links;
+2. the texts of buckets whose other members still lie in several components, by an exact
+   join on their shingles. A shingle that no two components share can be ignored, and so
+   can a text most of whose rest is too small; the others are put in order, rarest first,
+   and two texts meet only at a shingle where what follows can still reach the threshold.
+
+Within a family of copies the first step leaves few components, and the own words of a
+distant copy rule it out in the second one, so neither makes the pairs of a bucket, and no
+link that could join two components is left out. Components are found by exchanging
+smallest labels between tables.
 """
 
 from __future__ import annotations
@@ -23,13 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.llm.common import known_id, restored, shingle_hashes, stored, word_hashes
 
 ROWS, BANDS, BITS = 6, 40, 4  # a pair of similarity 0.85 shares no band once in 10**8
-BLOCK = 128  # texts of a bucket compared at a time
 _HASHES = ROWS * BANDS
 _SALTS = 16
 _COINS = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 32, (2, _HASHES), np.uint64)
@@ -195,7 +198,7 @@ def near_duplicates(
     heads = owned.where("bands is not null and n_shingles > 0").select("doc_id", "bands", "signature")
     keys = heads.select("doc_id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(keys.join(shared, "key"), "members")
+    members = _with_hubs(stored(keys.join(shared, "key"), "members"))
     suspects = members.select(F.col("doc_id").alias("_id")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = stored(texts.join(suspects, F.col("doc_id") == F.col("_id"), "left_semi"), "suspects")
@@ -203,7 +206,8 @@ def near_duplicates(
     least = percent / 100 - margin
     star = likely(_star(members), heads, least)
     first = components(confirmed(star, texts, percent, shingle))
-    found = stored(_rest(members, heads, texts, first, least, percent, shingle), "rest")
+    open_ = shingles_of(texts, _open(members, first), shingle)
+    found = stored(confirmed(likely(_reachable(open_, percent), heads, least), texts, percent, shingle), "rest")
     of = lambda side: first.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
     joined = found.join(of("a"), "a", "left").join(of("b"), "b", "left")
     second = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
@@ -218,12 +222,16 @@ def near_duplicates(
     )
 
 
-def _star(members: DataFrame) -> DataFrame:
-    """Each text of a bucket with the one that shares most buckets with others."""
+def _with_hubs(members: DataFrame) -> DataFrame:
+    """``key, doc_id, hub``: the hub of a bucket shares most buckets with others."""
     known = members.groupBy("doc_id").agg(F.sum("n").alias("_known"))
     hubs = members.join(known, "doc_id").groupBy("key").agg(F.max(F.struct("_known", (-F.col("doc_id")).alias("_id"))).alias("_hub"))
-    pairs = members.join(hubs.select("key", (-F.col("_hub._id")).alias("hub")), "key").where("hub != doc_id")
-    return pairs.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    return stored(members.join(hubs.select("key", (-F.col("_hub._id")).alias("hub")), "key").select("key", "doc_id", "hub"), "hubs")
+
+
+def _star(members: DataFrame) -> DataFrame:
+    """Each text of a bucket with its hub."""
+    return members.where("hub != doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
 
 
 def likely(pairs: DataFrame, heads: DataFrame, least: float) -> DataFrame:
@@ -239,105 +247,59 @@ def likely(pairs: DataFrame, heads: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInPandas(check, "a long, b long")
 
 
-_MEET = ["key", "_low", "_high"]
+def _open(members: DataFrame, first: DataFrame) -> DataFrame:
+    """``doc_id, component`` of texts in buckets that hold, beside the hub, several components."""
+    at = first.select(F.col("node").alias("doc_id"), "component")
+    placed = members.where("hub != doc_id").join(at, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("_least"), F.max("component").alias("_most")).where("_least != _most")
+    return stored(placed.join(mixed, "key", "left_semi").select("doc_id", "component").distinct(), "open")
 
 
-def _rest(members: DataFrame, heads: DataFrame, texts: DataFrame, first: DataFrame, least: float, percent: int, shingle: int) -> DataFrame:
-    """Links ``a, b`` between texts that share a bucket but, so far, no component.
+def shingles_of(texts: DataFrame, open_: DataFrame, size: int) -> DataFrame:
+    """``doc_id, component, n, shingle``: one row for each shingle of each open text."""
 
-    A bucket's texts are cut into blocks by a hash; every two blocks of a bucket meet in
-    one group of bounded size. First the texts with a likely partner in their group are
-    found, then they meet again with their shingles, and confirmed links are passed on
-    unless the group has joined the two components already. So neither step passes on
-    more rows than it gets. A pair is looked at in the first bucket it shares.
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.select(["doc_id", "component", "text"]).to_pylist():
+                shingles = shingle_set(text_words(row["text"]), size).view(np.int64)
+                n = len(shingles)
+                for at in range(0, n, 50_000):
+                    part = shingles[at : at + 50_000]
+                    fill = lambda v: np.full(len(part), v, np.int64)  # noqa: B023, E731
+                    yield pa.RecordBatch.from_pydict(
+                        {"doc_id": fill(row["doc_id"]), "component": fill(row["component"]), "n": fill(n), "shingle": part}
+                    )
+
+    rows = texts.join(open_, "doc_id").select("doc_id", "component", "text")
+    return stored(rows.mapInArrow(read, "doc_id long, component long, n long, shingle long"), "open-shingles")
+
+
+def _reachable(shingles: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of different components that may share enough shingles.
+
+    Two texts of n and m shingles need ``percent * (n + m) / (100 + percent)`` common ones.
+    All texts put their shingles in one order: first those within one component, which no
+    link can share, then the rarest. If two texts first meet at places i and j, they share
+    min(n - i, m - j) at most.
     """
-    placed = members.join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn(
-        "component", F.coalesce("component", "doc_id")
+    across = (
+        shingles.groupBy("shingle")
+        .agg(F.count(F.lit(1)).alias("_in"), F.min("component").alias("_least"), F.max("component").alias("_most"), F.min("n").alias("_short"))
+        .where("_least != _most")
+        .select("shingle", "_in", "_short")
     )
-    mixed = placed.groupBy("key").agg(F.min("component").alias("_least"), F.max("component").alias("_most")).where("_least != _most")
-    open_ = placed.join(mixed.select("key"), "key", "left_semi")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = (
-        open_.withColumn("_own", F.pmod(F.xxhash64("doc_id", "key"), blocks).cast("int"))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("doc_id", "key", "component", "_own", F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"))
-        .join(heads, "doc_id")
+    whole = Window.partitionBy("doc_id")
+    place = F.col("n") - F.count(F.lit(1)).over(whole) + F.row_number().over(whole.orderBy("_in", "shingle")) - 1
+    left = shingles.join(across, "shingle").withColumn("_left", F.col("n") - place)
+    # What a text needs to share with the shortest partner it can have at this shingle.
+    needed = percent * (F.col("n") + F.greatest("_short", F.ceil(F.col("n") * percent / 100)))
+    posted = stored(left.where(F.col("_left") * (100 + percent) >= needed).select("shingle", "doc_id", "component", "n", "_left"), "posted")
+    one = posted.select("shingle", *(F.col(c).alias(f"{c}1") for c in ("doc_id", "component", "n", "_left")))
+    other = posted.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("doc_id", "component", "n", "_left")))
+    meet = (
+        (F.col("component1") < F.col("component2"))
+        & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+        & (F.least("_left1", "_left2") * (100 + percent) >= percent * (F.col("n1") + F.col("n2")))
     )
-
-    def suspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _groups(batches):
-            found = np.zeros(len(group), bool)
-            for i, others in _likely(group, least):
-                found[i] = found[others] = True
-            if found.any():
-                yield group[found]
-
-    met = _met(dealt).mapInPandas(suspect, dealt.schema)
-
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _groups(batches):
-            ids, parts = group["doc_id"].tolist(), group["component"].tolist()
-            sets = [frozenset(shingle_set(text_words(t), shingle).tolist()) for t in group["text"]]
-            root = {c: c for c in parts}
-            out = []
-            for i, others in _likely(group, least):
-                for j in others:
-                    one, other = _root(root, parts[i]), _root(root, parts[j])
-                    if one != other:
-                        shared = len(sets[i] & sets[j])
-                        if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
-                            root[one] = other
-                            out.append((ids[i], ids[j]))
-            if out:
-                yield pd.DataFrame(out, columns=["a", "b"])
-
-    return _met(met.join(texts, "doc_id")).mapInPandas(link, "a long, b long")
-
-
-def _met(dealt: DataFrame) -> DataFrame:
-    return dealt.repartition(*_MEET).sortWithinPartitions(*_MEET)
-
-
-def _root(root: dict, node: int) -> int:
-    while root[node] != node:
-        root[node] = root[root[node]]
-        node = root[node]
-    return node
-
-
-def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of each group, in turn; groups of one row are passed over."""
-    held = None
-    for batch in batches:
-        if held is not None:
-            batch = pd.concat([held, batch], ignore_index=True)
-        if not len(batch):
-            continue
-        keys = batch[_MEET].to_numpy()
-        edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        starts, ends = np.r_[0, edges], np.r_[edges, len(batch)]
-        for a, z in zip(starts[:-1], ends[:-1], strict=True):
-            if z - a > 1:
-                yield batch.iloc[a:z]
-        held = batch.iloc[starts[-1] :]
-    if held is not None and len(held) > 1:
-        yield held
-
-
-def _likely(group: pd.DataFrame, least: float) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of a group, the rows in its other block (or, within one block, the
-    later ones) that are likely links to another component, first met in this bucket."""
-    key, low, high = (group[c].iloc[0] for c in _MEET)
-    ids, parts, own = (group[c].to_numpy() for c in ("doc_id", "component", "_own"))
-    if (parts == parts[0]).all():
-        return
-    signs = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(len(group), -1)
-    bands = np.array(group["bands"].tolist(), np.int64)
-    for i in range(len(group)):
-        at = np.flatnonzero((parts != parts[i]) & (ids > ids[i] if low == high else own > own[i]))
-        if len(at):
-            at = at[estimates(signs[i], signs[at]) >= least]
-        if len(at):
-            at = at[bands[at, (bands[at] == bands[i]).argmax(axis=1)] == key]
-        if len(at):
-            yield i, at
+    pairs = one.join(other, "shingle").where(meet)
+    return stored(pairs.select(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b")).distinct(), "reachable")
