@@ -18,7 +18,8 @@ from leafwork.llm import decontaminate, exact_dedup, minhash, packing, quality
 from leafwork.llm.common import crc_of_id, stored, table
 
 CONTEXT = 2048
-SIMILAR = 85  # percent of the union that near copies share
+SIMILAR = 80  # percent of the union that near copies share
+MARGIN = 0.135  # five standard deviations of an estimate there
 # No stage can be written in SQL as a whole; the tests hold run() against brute force.
 ORACLE_SQL = None
 
@@ -66,7 +67,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near duplicates: the one with the smallest id that is its own."""
     numbered, _ = _numbered(docs)
-    return _without(numbered, minhash.near_duplicates(numbered, "_row", percent=SIMILAR).where("not kept").select("doc_id"), "near-copies")
+    near = minhash.near_duplicates(numbered, "_row", percent=SIMILAR, margin=MARGIN)
+    return _without(numbered, near.where("not kept").select("doc_id"), "near-copies")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
