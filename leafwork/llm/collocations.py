@@ -31,7 +31,7 @@ _TABLE = bytes.maketrans(
     bytes(range(65, 91)) + b"\t" + _DELIMITERS, bytes(range(97, 123)) + b" " + _CUT * len(_DELIMITERS)
 )
 _PIECE = 1 << 20  # bytes of a text split at a time
-_HELD = 4_000_000  # arcs united at a time
+_HELD = 1_500_000  # arcs united at a time
 SHARD = "range int, automaton binary, langs array<string>, words array<long>"
 ASK = "range int, one binary, two binary, lang string, phrase string, a long, role int"
 ANSWER = "lang string, phrase string, a long, role int, count long"
@@ -355,7 +355,7 @@ def collocations(
     within_percent: int = 50,
     k: int = 2000,
     range_bytes: int = 16 << 20,
-    shard_words: int = 2_000_000,
+    shard_words: int = 1_000_000,
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's best phrases of two or three words.
 
