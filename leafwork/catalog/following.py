@@ -134,13 +134,24 @@ select session, file, ts, event_id as seq, event_type as title from l where befo
 """
 
 
-def opened_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every project opened from its files: detection, validation, trees and titles."""
+def _opened(spark: SparkSession, sf_dir: str) -> Opened:
     json_side = C.json_configs(spark, sf_dir).where("doc_id % 2 = 0").selectExpr(
         "concat('/w/', project_id) as project_id", "content"
     )
-    xml_side = C.module_configs(spark, sf_dir).where("doc_id % 3 != 0").select("project_id", "content")
-    return _opened_rows(open_projects(json_side, xml_side, C.tree_files(spark, sf_dir), _opened_topics(spark, sf_dir)))
+    xml_side = C.saved_modules(spark, sf_dir).where("doc_id % 3 != 0").select("project_id", "content")
+    return open_projects(json_side, xml_side, C.tree_files(spark, sf_dir), _opened_topics(spark, sf_dir))
+
+
+def opened_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every project opened from its files: detection, validation, trees and titles."""
+    return _opened_rows(_opened(spark, sf_dir))
+
+
+def refused_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every project that is refused when opened, with each error of its configurations, if any."""
+    opened = _opened(spark, sf_dir)
+    refused = opened.projects.where("config_code = 0").select("project_id", "config_code")
+    return refused.join(opened.violations, "project_id", "left")
 
 
 def _opened_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +176,7 @@ bad as (
 coded as (
   select doc_id, text, source, case
     when doc_id % 2 = 0 and doc_id % 13 <> 0 then case when doc_id in (select doc_id from bad) then null else 'J' end
-    when doc_id % 3 <> 0 then 'X' end as dialect from documents),
+    when doc_id % 3 <> 0 and doc_id % 17 > 2 then 'X' end as dialect from documents),
 heads as (select doc_id, dialect, source, {I.sql_title(I._SQL['content'], "'~'")} as head from coded),
 j as (
   select doc_id, lang as instance_id, lpad(i::varchar, 10, '0') as path, 'l' || i || '.md' as topic, line as title, true as top from lines
@@ -183,6 +194,20 @@ select '/w/d' || doc_id as project_id, instance_id, dialect, path, topic,
 from n
 """
 
+REFUSED_PROJECTS = f"""
+with j_errors as (select '/w/' || project_id as project_id, instance_path, keyword, detail, 'J' as dialect from ({C.CONFIG_VIOLATIONS}) v
+  where substr(project_id, 2)::bigint % 2 = 0),
+x_errors as (select '/w/d' || doc_id as project_id, '' as instance_path, 'parse' as keyword, 'unreadable' as detail, 'X' as dialect
+  from documents where doc_id % 3 <> 0 and doc_id % 17 <= 2),
+codes as (
+  select '/w/d' || doc_id as project_id, 0 as config_code from documents where (doc_id % 2 = 0 or doc_id % 3 <> 0) and case
+    when doc_id % 2 = 0 and doc_id % 13 <> 0 then '/w/d' || doc_id in (select project_id from j_errors)
+    else doc_id % 3 = 0 or doc_id % 17 <= 2 end)
+select project_id, config_code, instance_path, keyword, detail, dialect
+from codes left join (select * from j_errors union all select * from x_errors) errors using (project_id)
+"""
+
+
 def reload_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projects opened again as their JSON configuration is saved, and only those."""
     folder = f"{scratch_folder(spark)}/{uuid.uuid4()}"
@@ -192,7 +217,7 @@ def reload_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('/w/', project_id) as project_id", "'project.json' as path", "'change' as kind",
         "timestamp_seconds(doc_id) as ts", "doc_id as seq", "content",
     )
-    modules = C.module_configs(spark, sf_dir).where("doc_id % 3 != 0").select("project_id", "content")
+    modules = C.saved_modules(spark, sf_dir).where("doc_id % 3 != 0").select("project_id", "content")
     trees = C.tree_files(spark, sf_dir)
     topics = _opened_topics(spark, sf_dir)
 
@@ -221,4 +246,5 @@ QUERIES = {
     "current_topics": (current_topics, CURRENT_TOPICS),
     "current_topics_stream": (current_topics_stream, CURRENT_TOPICS),
     "opened_projects": (opened_projects, OPENED_PROJECTS),
+    "refused_projects": (refused_projects, REFUSED_PROJECTS),
 }

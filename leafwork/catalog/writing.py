@@ -446,7 +446,9 @@ def module_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         """concat('<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE ihp SYSTEM "ihp.dtd">\n<ihp version="2.', doc_id % 5, '" id="', lang, '">\n',
           '  <topics dir="docs" web-path="', source, '"/>\n  <!-- note ', doc_id, ' -->\n  <images dir="i" web-path="w"/>\n',
           array_join(transform(sequence(1, cast(doc_id % 3 + 1 as int)), n -> concat('  <instance src="t', n, '.tree" version="1.', n, '" web-path="x>y"/>\n')), ''),
-          '  <vars src="v.list"><var name="a &amp; b">', lang, '</var></vars>\n</ihp>\n') as content""",
+          '  <vars src="v.list"><var name="a &amp; b">', lang, '</var></vars>\n  <?keep it="', doc_id, '"?>\n',
+          '  <group id="', lang, '">', repeat('<group a="/>">', cast(doc_id % 4 as int)), '<![CDATA[</group>]]><leaf/>',
+          repeat('</group>', cast(doc_id % 4 as int)), '</group>\n  bare &lt;text&gt; of ', source, '\n  <group/>\n</ihp>\n') as content""",
     )
     elements = xml_config.elements(given)
     pieces = D.module_pieces(xml_config.projects(given), xml_config.written_registry(given), elements)
@@ -465,6 +467,11 @@ union all select 'd' || doc_id, 'topics', '<topics dir="docs" web-path="' || sou
 union all select 'd' || doc_id, null, '<!-- note ' || doc_id || ' -->' from documents
 union all select 'd' || doc_id, 'images', '<images dir="i" web-path="w"/>' from documents
 union all select 'd' || doc_id, 'vars', '<vars src="v.list"><var name="a &amp; b">' || lang || '</var></vars>' from documents
+union all select 'd' || doc_id, null, '<?keep it="' || doc_id || '"?>' from documents
+union all select 'd' || doc_id, 'group', '<group id="' || lang || '">' || repeat('<group a="/>">', (doc_id % 4)::int) || '<![CDATA[</group>]]><leaf/>'
+  || repeat('</group>', (doc_id % 4)::int) || '</group>' from documents
+union all select 'd' || doc_id, null, 'bare &lt;text&gt; of ' || source from documents
+union all select 'd' || doc_id, 'group', '<group/>' from documents
 union all select 'd' || doc_id, 'instance', '<instance src="t' || n || '.tree" version="1.' || n || '" web-path="x>y"/>'
   from (select doc_id, unnest(range(1, doc_id % 3 + 2)) as n from documents)
 union all select 'd' || doc_id, 'dirs', 'docs|i|w' from documents

@@ -51,7 +51,7 @@ def rewrite_matches(text: Column, pattern: str, change: Callable[[Column], Colum
     return F.array_join(joined, "")
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -79,7 +79,7 @@ def rewrite_html_images(html: Column, images_folder: Column) -> Column:
             )
             return F.when(keep, tag).otherwise(moved)
 
-        return _bind(F.regexp_extract(tag, IMG_TAG, 2), with_src)
+        return bind(F.regexp_extract(tag, IMG_TAG, 2), with_src)
 
     return F.when(F.regexp_like(html, F.lit("(?i)<img")), rewrite_matches(html, IMG_TAG, change)).otherwise(html)
 
@@ -101,7 +101,7 @@ def rewrite_markdown_images(text: Column, images_folder: Column) -> Column:
             new = F.concat(F.regexp_extract(token, parts, before), _below_images(images_folder, src), *rest)
             return F.when(keep, token).otherwise(new)
 
-        return _bind(F.regexp_extract(token, parts, at), with_src)
+        return bind(F.regexp_extract(token, parts, at), with_src)
 
     def with_names(names: Column) -> Column:
         def change(token: Column) -> Column:
@@ -115,7 +115,7 @@ def rewrite_markdown_images(text: Column, images_folder: Column) -> Column:
         return rewrite_matches(text, MD_TOKEN, change)
 
     # The names are found once for a text, not once for each token.
-    return F.when(F.contains(text, F.lit("![")), _bind(F.array_distinct(named), with_names)).otherwise(text)
+    return F.when(F.contains(text, F.lit("![")), bind(F.array_distinct(named), with_names)).otherwise(text)
 
 
 def in_topics_folder(path: Column, topics_folder: Column) -> Column:

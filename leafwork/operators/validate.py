@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.session import cut_lineage
-from leafwork.sources import forest, json_walk
+from leafwork.sources import forest, json_walk, xml_config
 from leafwork.sources.json_walk import ORDERS, PLACES
 
 
@@ -183,6 +183,18 @@ def normalised_xml(projects: DataFrame) -> DataFrame:
     return projects.select("project_id", F.to_json(config).alias("content"))
 
 
+def xml_violations(configs: DataFrame, readable: DataFrame) -> DataFrame:
+    """Violations of module configurations: (project_id, instance_path, keyword, detail, dialect).
+
+    ``configs``: project_id, content; ``readable``: as the XML reader tells. What cannot be
+    read, null included, is one violation (``parse``).
+    """
+    text = F.lit("").alias("instance_path"), F.lit("parse").alias("keyword"), F.lit("unreadable").alias("detail")
+    unread = readable.where("not readable").select("project_id", *text, F.lit("X").alias("dialect"))
+    read = configs.join(readable.where("readable"), "project_id", "left_semi")
+    return violations(normalised_xml(xml_config.projects(read)), "X").unionByName(unread)
+
+
 def accepted(configs: DataFrame, found: DataFrame) -> DataFrame:
     """Configurations without a violation."""
     return configs.join(found.select("project_id").distinct(), "project_id", "left_anti")

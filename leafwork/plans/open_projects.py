@@ -32,10 +32,8 @@ def open_projects(
     that are refused have a row in ``projects`` with code 0 and nothing else.
     """
     j_projects, x_projects = json_config.projects(json_configs), xml_config.projects(xml_configs)
-    violations = validate.violations(json_configs).unionByName(
-        validate.violations(validate.normalised_xml(x_projects), "X")
-    )
-    readable_xml = xml_configs.select("project_id", F.lit(True).alias("readable"))
+    readable_xml = cut_lineage(xml_config.readability(xml_configs))
+    violations = validate.violations(json_configs).unionByName(validate.xml_violations(xml_configs, readable_xml))
     # One short row per project, used to pick the inputs of every table below.
     codes = cut_lineage(
         detect.detect_projects(json_config.readability(json_configs), readable_xml, violations)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafwork.functions import text as X
-from leafwork.functions.images import rewrite_matches
+from leafwork.functions.images import bind, rewrite_matches
 from leafwork.functions.paths import posix_join
 from leafwork.sources import forest
 
@@ -44,6 +44,15 @@ def _parsed(configs: DataFrame) -> DataFrame:
     return configs.withColumn("m", F.from_xml(content, _MODULE, _OPTIONS))
 
 
+def readability(configs: DataFrame) -> DataFrame:
+    """(project_id, readable): false where the content is no well-formed XML, or there is none.
+
+    The XML reader decides; it reads one element and passes over what follows it.
+    """
+    unread = F.from_xml("content", "unread string", {**_OPTIONS, "columnNameOfCorruptRecord": "unread"})["unread"]
+    return configs.select("project_id", (F.col("content").isNotNull() & unread.isNull()).alias("readable"))
+
+
 def projects(configs: DataFrame) -> DataFrame:
     """Folders as configured. ``configs``: project_id, content."""
     return _parsed(configs).select(
@@ -77,18 +86,66 @@ _BELOW, _ABOVE = _below(forest.LEVELS), _below(forest.LEVELS - 1)
 _HEAD = _attributes("id", "name", "start-page")
 
 
-# A piece of a module configuration: an element with what is inside, a comment or the like.
 _ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 _ROOT = r"(?s)\A(.*?<ihp)(" + _ATTRIBUTES + r")(?:/>\s*\z|>(.*)</ihp\s*>.*\z)"
-_ELEMENT = r"(?s)<!--.*?-->|<([A-Za-z_][\w:.-]*)" + _ATTRIBUTES + r"(?:/>|(?<!/)>.*?</\1\s*>)"
+# A comment, a section of plain characters, an instruction, a tag, or text.
+_TOKEN = r"<!--[\s\S]*?-->|<!\[CDATA\[[\s\S]*?\]\]>|<\?[\s\S]*?\?>|<(?![!?])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^<]++|<"
+_RUN = 256  # numbers added up one by one
+
+
+def _running(steps: Column) -> Column:
+    """The running totals of a list of numbers, run by run, so that no long list grows one by one."""
+
+    def totals(numbers: Column, first: Column) -> Column:
+        grown = F.aggregate(numbers, F.array(first), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+        return F.slice(grown, 2, F.size(numbers))
+
+    def by_runs(runs: Column) -> Column:
+        sums = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda total, n: total + n))
+        before = F.concat(F.array(F.lit(0)), totals(sums, F.lit(0)))
+        return F.flatten(F.zip_with(runs, F.slice(before, F.lit(1), F.size(runs)), totals))
+
+    starts = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _RUN).cast("int"))
+    runs = F.transform(starts, lambda k: F.slice(steps, k * _RUN + 1, F.lit(_RUN)))
+    return F.when(F.size(steps) > 0, bind(runs, by_runs)).otherwise(F.array().cast("array<int>"))
+
+
+def _pieces(inner: Column) -> Column:
+    """What an element holds, as it is written: its child elements, comments, instructions and texts.
+
+    A running depth over the tags tells where a child ends, so children may hold elements
+    of their own name. White space between them is no piece.
+    """
+
+    def step(token: Column) -> Column:
+        plain = ~F.startswith(token, F.lit("<")) | F.startswith(token, F.lit("<!")) | F.startswith(token, F.lit("<?"))
+        return F.when(plain | F.endswith(token, F.lit("/>")), 0).when(F.startswith(token, F.lit("</")), -1).otherwise(1)
+
+    def cut(tokens: Column) -> Column:
+        def at_depths(depths: Column) -> Column:
+            places = F.sequence(F.lit(1), F.size(tokens))
+            ends = F.filter(places, lambda k: (F.element_at(depths, k) <= 0) | (k == F.size(tokens)))
+            return bind(ends, joined)
+
+        def joined(ends: Column) -> Column:
+            starts = F.concat(F.array(F.lit(0)), ends)
+            return F.transform(
+                ends, lambda e, k: F.array_join(F.slice(tokens, starts[k] + 1, e - starts[k]), "")
+            )
+
+        depths = bind(F.transform(tokens, step), _running)
+        return F.when(F.size(tokens) > 0, bind(depths, at_depths)).otherwise(F.array().cast("array<string>"))
+
+    found = bind(F.regexp_extract_all(inner, F.lit(_TOKEN), F.lit(0)), cut)
+    trimmed = F.transform(found, lambda p: F.regexp_replace(p, r"\A[ \t\r\n]+|[ \t\r\n]+\z", ""))
+    return F.filter(trimmed, lambda p: p != "")
 
 
 def elements(configs: DataFrame) -> DataFrame:
     """Everything a module configuration holds, as it is written: project_id, ordinal, tag, text.
 
-    Row -1 has the root's attributes as its text and what precedes the root as its tag;
-    the others are comments (tag NULL) and the root's child elements. An element that
-    holds an element of its own name is not told apart further.
+    Row -1 has the root's attributes as its text and what precedes the root as its tag; the
+    others are the root's child elements, comments, instructions and texts (tag NULL).
     """
     whole = configs.where(has_root(F.col("content"), "ihp"))
     inner = F.regexp_extract("content", _ROOT, 3)
@@ -96,16 +153,15 @@ def elements(configs: DataFrame) -> DataFrame:
         "project_id", F.lit(-1).alias("ordinal"), F.regexp_extract("content", _ROOT, 1).alias("tag"),
         F.trim(F.regexp_replace(F.regexp_extract("content", _ROOT, 2), "/$", "")).alias("text"),
     )
-    parts = whole.select("project_id", F.posexplode(F.regexp_extract_all(inner, F.lit(_ELEMENT), F.lit(0))).alias("ordinal", "text"))
-    tag = F.nullif(F.regexp_extract("text", r"\A<([A-Za-z_][\w:.-]*)", 1), F.lit(""))
+    parts = whole.select("project_id", F.posexplode(_pieces(inner)).alias("ordinal", "text"))
+    tag = F.nullif(F.regexp_extract("text", r"\A<([^\s<>/!?][^\s<>/]*)", 1), F.lit(""))
     return root.select("project_id", "ordinal", "tag", "text").unionByName(parts.withColumn("tag", tag))
 
 
 def written_registry(configs: DataFrame) -> DataFrame:
     """The registry with each entry's ``text`` as it is written, all its attributes included."""
     whole = configs.where(has_root(F.col("content"), "ihp"))
-    parts = F.regexp_extract_all(F.regexp_extract("content", _ROOT, 3), F.lit(_ELEMENT), F.lit(0))
-    entries = F.filter(parts, lambda e: F.regexp_like(e, F.lit(r"\A<instance[\s/>]")))
+    entries = F.filter(_pieces(F.regexp_extract("content", _ROOT, 3)), lambda e: F.regexp_like(e, F.lit(r"\A<instance[\s/>]")))
     texts = whole.select("project_id", F.posexplode(entries).alias("ordinal", "text"))
     return registry(configs).join(texts, ["project_id", "ordinal"])
 

@@ -222,6 +222,52 @@ def test_module_text(spark):
     assert text == '<?xml version="1.0" encoding="UTF-8"?>\n<ihp version="2.0">\n    <topics dir="docs"/>\n    <instance src="a&amp;b.tree"/>\n</ihp>\n'
 
 
+def test_unreadable_modules_are_refused_with_an_error(spark):
+    cases = {
+        MODULE: True, "<ihp/>": True, " <!-- c --><ihp><![CDATA[x]]></ihp>": True, "<ihp>" + "<a>" * 400 + "</a>" * 400 + "</ihp>": True,
+        "<ihp": False, "no xml at all": False, "": False, None: False, "<ihp><topics></ihp>": False, "<ihp>&undefined;</ihp>": False,
+        "<ihp a=1/>": False, "<ihp a='1' a='2'/>": False, '<?xml version="1.0"?>': False, "<ihp>a & b</ihp>": False,
+    }
+    modules = spark.createDataFrame([(f"/m{i}", t) for i, t in enumerate(cases)], "project_id string, content string")
+    got = {r.project_id: r.readable for r in xml_config.readability(modules).collect()}
+    assert got == {f"/m{i}": good for i, good in enumerate(cases.values())}
+    none = spark.createDataFrame([], "project_id string, content string")
+    trees = spark.createDataFrame([("/m0/valid.tree", TREE)], "path string, content string")
+    topics = spark.createDataFrame([], "project_id string, file string, content string")
+    result = open_projects(none, modules, trees, topics)
+    refused = {p for p, good in got.items() if not good}
+    assert {(r.project_id, r.dialect, r.config_code) for r in result.projects.collect()} == {(p, "X" if good else None, int(good)) for p, good in got.items()}
+    assert {tuple(r) for r in result.violations.collect()} == {(p, "", "parse", "unreadable", "X") for p in refused}
+    assert {r.project_id for r in result.nodes.collect()} == {"/m0"}
+
+
+def test_module_elements_are_balanced(spark):
+    import random
+
+    rng = random.Random(3)
+
+    def element(depth):
+        name, inner = rng.choice("ab"), "".join(part(depth - 1) for _ in range(rng.randint(0, 3))) if depth else ""
+        space = rng.choice(["", " x='>'", ' y="/>"', ' z="</a>"'])
+        return f"<{name}{space}>{inner}</{name}>" if inner or rng.random() < 0.5 else f"<{name}{space}/>"
+
+    def part(depth):
+        return rng.choice([element, element, lambda _: "<!-- <a> -->", lambda _: "<?do </b>?>", lambda _: "<![CDATA[<a>]]>", lambda _: "t&lt;"])(depth)
+
+    rows, want = [], {}
+    for k in range(60):
+        parts = [element(rng.randint(0, 5)) for _ in range(rng.randint(0, 8))] if k else ["<a>" * 900 + "</a>" * 900, *["<instance src='x'/>"] * 5000]
+        rows.append((f"p{k}", "<ihp>\n" + "\n  ".join(parts) + "\n</ihp>"))
+        want[f"p{k}"] = parts
+    got = {p: [] for p in want}
+    configs = spark.createDataFrame(rows, "project_id string, content string")
+    for r in xml_config.elements(configs).where("ordinal >= 0").orderBy("project_id", "ordinal").collect():
+        got[r.project_id].append(r.text)
+        assert r.text.startswith(f"<{r.tag}")
+    assert got == want
+    assert xml_config.written_registry(configs).where("project_id = 'p0'").count() == 5000
+
+
 def test_topic_files(spark):
     topics = spark.createDataFrame([("p", "a.md", "A"), ("p", "b.md", "B")], "project_id string, file string, content string")
     asked = spark.createDataFrame([("p", "a.md", "x", 1), ("p", "n.md", "New", 2), ("p", "n.md", "Newer", 3)], "project_id string, file string, title string, seq long")
