@@ -209,12 +209,12 @@ from codes left join (select * from j_errors union all select * from x_errors) e
 
 
 def reload_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Projects opened again as their JSON configuration is saved, and only those."""
+    """Projects opened again as their JSON configuration is saved or deleted, and only those."""
     folder = f"{scratch_folder(spark)}/{uuid.uuid4()}"
     schema = I.documents(spark, sf_dir).schema
     saved = spark.readStream.schema(schema).parquet(_either(sf_dir, "documents"))
     stream = C.as_json_configs(saved.where("doc_id % 2 = 0")).selectExpr(
-        "concat('/w/', project_id) as project_id", "'project.json' as path", "'change' as kind",
+        "concat('/w/', project_id) as project_id", "'project.json' as path", "if(doc_id % 19 = 0, 'delete', 'change') as kind",
         "timestamp_seconds(doc_id) as ts", "doc_id as seq", "content",
     )
     modules = C.saved_modules(spark, sf_dir).where("doc_id % 3 != 0").select("project_id", "content")
@@ -231,10 +231,11 @@ def reload_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _opened_rows(opened)
 
     S.follow_reloads(stream, folder, reload).awaitTermination()
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    return S.reloaded(spark, folder)
 
 
-RELOAD_STREAM = f"select * from ({OPENED_PROJECTS}) where cast(substr(project_id, 5) as bigint) % 2 = 0"
+_WITHOUT_DELETED = OPENED_PROJECTS.replace("doc_id % 2 = 0 and doc_id % 13 <> 0", "doc_id % 2 = 0 and doc_id % 13 <> 0 and doc_id % 19 <> 0")
+RELOAD_STREAM = f"select * from ({_WITHOUT_DELETED}) where cast(substr(project_id, 5) as bigint) % 2 = 0"
 
 QUERIES = {
     "reload_stream": (reload_stream, RELOAD_STREAM),

@@ -5,6 +5,8 @@ each other. Each round finds, for all projects together, the pending edits that
 commute with every earlier pending edit, whatever their kinds, and applies these
 set-wise; so the number of rounds is the length of the longest chain of edits that
 depend on each other, and no task ever holds a whole tree or a whole project's edits.
+Renames that go on from each other, and moves of one node in a row, are taken together
+first (``chains``), so that they count as one link of such a chain.
 A round writes the trees and projects that still have edits pending, no others.
 
 Two edits depend on each other when they meet in one of these, see ``_uses``: a node
@@ -49,7 +51,7 @@ from pyspark.sql import functions as F
 
 from leafwork.functions import paths as P
 from leafwork.functions import text as X
-from leafwork.operators import naming, tree
+from leafwork.operators import chains, naming, tree
 from leafwork.operators.tree import NODE, TREE
 from leafwork.session import cut_lineage
 
@@ -58,6 +60,7 @@ INSTANCE_COLUMNS = [*TREE, "name", "start_page", "ordinal"]
 EDIT_COLUMNS = [*TREE, "seq", "op", "topic", "target", "title", "file_name"]
 # Positions of appended nodes start beyond the largest stored position (int).
 APPENDED = 1 << 31
+_COMPACT = 8  # rounds after which tables are written anew
 
 _STRUCTURE = ("delete", "remove", "add_root", "add_child", "add_sibling", "move")
 _LABEL = ("rename", "edit_title")
@@ -116,24 +119,30 @@ def apply_edits(corpus: Corpus, edits: DataFrame, sibling_parent: str = "correct
     active, idle = zip(*(split(df) for df in corpus))
     nodes = cut_lineage(active[0].withColumn("node_path", F.col("node_path").cast("array<bigint>")))
     work = Corpus(nodes, cut_lineage(active[1]), cut_lineage(active[2]))
-    pending = cut_lineage(edits.select(*EDIT_COLUMNS))
+    given = cut_lineage(edits.select(*EDIT_COLUMNS))
+    pending, members, runs = chains.chained(given, work.nodes, work.files)
     done: list[DataFrame] = []
     finished: list[Corpus] = []
     rounds = 0
     while not pending.isEmpty():
-        ready = cut_lineage(_ready(work, pending, sibling_parent))
+        ready = _ready(work, pending, sibling_parent)
+        ready = cut_lineage(chains.settled_moves(ready) if runs else ready.withColumn("last", F.lit(True)))
         rounds += 1
         work = _apply(work, ready)
         done.append(ready.select(*EDIT_COLUMNS, "status"))
-        if len(done) == 16:
-            done = [cut_lineage(_union(done))]
         pending = cut_lineage(pending.join(ready, ["project_id", "seq"], "left_anti"))
+        if pending.isEmpty():
+            break
         # Trees without pending edits are through; they are not written again.
         trees, projects = pending.select(*TREE).distinct(), pending.select("project_id").distinct()
-        through = Corpus(*(df.join(keys, on, "left_anti") for df, keys, on in _by_scope(work, trees, projects)))
-        finished.append(through)
+        finished.append(Corpus(*(df.join(keys, on, "left_anti") for df, keys, on in _by_scope(work, trees, projects))))
         work = Corpus(*(df.join(keys, on, "left_semi") for df, keys, on in _by_scope(work, trees, projects)))
-    ended = Corpus(*map(_union, zip(*finished))) if finished else work
+        if rounds % _COMPACT == 0:  # so that no plan grows with the rounds
+            done = [cut_lineage(_union(done))]
+            finished = [Corpus(*(cut_lineage(_union(parts)) for parts in zip(*finished)))]
+            work = Corpus(*map(cut_lineage, work))
+    finished.append(work)
+    ended = Corpus(*map(_union, zip(*finished)))
     numbered = tree.renumber(ended.nodes).withColumn(
         "node_path", F.col("node_path").cast(P.PATH_TYPE)
     )
@@ -143,6 +152,10 @@ def apply_edits(corpus: Corpus, edits: DataFrame, sibling_parent: str = "correct
         idle[2].unionByName(ended.files),
     )
     outcomes = _union(done) if done else edits.select(*EDIT_COLUMNS, F.lit("").alias("status"))
+    if members is not None:  # each edit of a chain shares its outcome
+        shared = outcomes.select("project_id", F.col("seq").alias("unit"), "status").join(members, ["project_id", "unit"]).drop("unit")
+        alone = outcomes.join(members, ["project_id", "seq"], "left_anti")
+        outcomes = alone.unionByName(given.join(shared, ["project_id", "seq"]).select(*alone.columns))
     return Result(merged, outcomes, rounds)
 
 
@@ -227,11 +240,7 @@ def _located(work: Corpus, pending: DataFrame, sibling_parent: str) -> DataFrame
         .when(op == "add_sibling", F.when(F.size("g_first") == 1, root_list).otherwise(up(F.col("g_first"))))
         .otherwise(no_path)
     )
-    new_file = (
-        F.when(op == "create_instance", X.start_page_file(F.col("title")))
-        .when(op.isin(*_ADD, *_LABEL), F.coalesce("file_name", X.slug(F.col("title"))))
-    )
-    placed = joined.withColumns({"source": source, "parent": parent, "new_file": new_file})
+    placed = joined.withColumns({"source": source, "parent": parent, "new_file": chains.new_name()})
     below_itself = F.slice("parent", F.lit(1), F.size("source")) == F.col("source")
     status = (
         F.when(op == "create_instance", F.when(F.col("known"), "id is taken").otherwise("applied"))
@@ -250,7 +259,7 @@ def _ready(work: Corpus, pending: DataFrame, sibling_parent: str) -> DataFrame:
     """Edits that commute with every earlier pending edit."""
     # Used by several tests below, so it is written once.
     located = cut_lineage(_located(work, pending, sibling_parent))
-    held = _later_of_pairs(cut_lineage(_uses(work, located)))
+    held = _later_of_pairs(_uses(work, located), located)
     # A lookup of a repeated name depends on the whole tree: it waits for all
     # earlier edits of the tree, and all later ones wait for it.
     repeated = F.coalesce((F.col("t_copies") > 1) | (F.col("g_copies") > 1), F.lit(False)) & F.col("kind").isin("structure", "label")
@@ -258,7 +267,7 @@ def _ready(work: Corpus, pending: DataFrame, sibling_parent: str) -> DataFrame:
         F.min(F.when(repeated, F.col("seq"))).alias("barrier"), F.min("seq").alias("head_seq")
     )
     return (
-        located.join(held, ["project_id", "seq"], "left_anti")
+        located.join(held, ["project_id", "unit"], "left_anti")
         .join(barriers, TREE)
         .where("barrier is null or seq < barrier or (seq = barrier and seq = head_seq)")
         .drop("barrier", "head_seq")
@@ -337,14 +346,15 @@ def _uses(work: Corpus, located: DataFrame) -> DataFrame:
     files = known.where(is_label | adds).select("project_id", "seq", F.explode(F.array_distinct(F.array(F.when(is_label, topic), new))).alias("file"))
     numbered = files.where("file is not null").select("project_id", "seq", F.explode(_stems(F.col("file"))).alias("stem"))
 
-    # Ways to the root, against nodes that are taken away; a label only minds nodes that go.
+    # Ways to the root, against nodes that are taken away. A node that moves only matters
+    # where something is put below it, or to what takes it too: what is taken out from
+    # below it goes its own way, whichever of the two comes first.
     empty = F.array().cast("array<array<bigint>>")
-    way = F.array_union(
-        F.coalesce(P.prefixes(F.col("source")), empty),
-        F.coalesce(F.when(F.size("parent") > 0, P.prefixes(F.col("parent"))), empty),
-    )
-    on_way = located.where("kind in ('structure', 'label')").withColumn("node", F.explode(way))
+    to_parent = F.coalesce(F.when(F.size("parent") > 0, P.prefixes(F.col("parent"))), empty)
+    way = F.array_union(F.coalesce(P.prefixes(F.col("source")), empty), to_parent)
+    on_way = located.where("kind in ('structure', 'label')").withColumns({"way": way, "to_parent": to_parent}).withColumn("node", F.explode("way"))
     here = F.coalesce(F.col("node") == F.col("source"), no)
+    is_move = op == "move"
 
     def ways(what: str, rows: DataFrame, one: Column, other: Column) -> DataFrame:
         return rows.select(
@@ -352,8 +362,9 @@ def _uses(work: Corpus, located: DataFrame) -> DataFrame:
             F.lit(None).cast("string").alias("name"), "node", one.alias("one"), other.alias("other"),
         )
 
-    moving = ways("way", on_way.where("kind = 'structure'"), takes & here, yes)
-    going = ways("gone", on_way, drops & here, is_label)
+    put = here | F.array_contains("to_parent", F.col("node"))
+    moving = ways("way", on_way.where((kind == "structure") & put), is_move & here, yes)
+    going = ways("gone", on_way, drops & here, yes)
 
     # Files that a delete drops: those of the subtree, or of the whole instance. Only names
     # that another edit of the batch touches matter.
@@ -396,9 +407,10 @@ def _stems(file: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), digits), lambda k: F.left(_stem(file), F.length(_stem(file)) - k))
 
 
-def _later_of_pairs(uses: DataFrame) -> DataFrame:
-    """(project_id, seq) of edits that meet an earlier one in the other role."""
+def _later_of_pairs(uses: DataFrame, located: DataFrame) -> DataFrame:
+    """(project_id, unit) of edits that meet one before their unit in the other role."""
     keys = ["project_id", "what", "scope", "name", "node"]
+    uses = cut_lineage(uses.join(located.select("project_id", "seq", "unit"), ["project_id", "seq"]))
     firsts = uses.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
         F.min(F.when(F.col("one"), F.col("seq"))).alias("_one"),
         F.min(F.when(F.col("other"), F.col("seq"))).alias("_other"),
@@ -406,15 +418,15 @@ def _later_of_pairs(uses: DataFrame) -> DataFrame:
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     return (
         uses.join(firsts, same)
-        .where("(other and _one < seq) or (one and _other < seq)")
-        .select("project_id", "seq")
+        .where("(other and _one < unit) or (one and _other < unit)")
+        .select("project_id", "unit")
         .distinct()
     )
 
 
 def _apply(work: Corpus, ready: DataFrame) -> Corpus:
     """Apply one round of independent edits, writing only the tables they change."""
-    ok = ready.where("status = 'applied'")
+    ok = ready.where("status = 'applied' and last")
     # At most one row per kind of operation reaches the driver.
     ops = {row.op for row in ok.select("op").distinct().collect()}
     if "create_instance" in ops:
@@ -464,10 +476,9 @@ def _apply_tree(nodes: DataFrame, ok: DataFrame, below: DataFrame, ops: set[str]
     if "delete_instance" in ops:
         nodes = nodes.join(ok.where("op = 'delete_instance'").select(*TREE), TREE, "left_anti")
     if "move" in ops:
-        moved = below.where("_op = 'move'").select(
-            *NODE,
-            F.concat("_to", F.slice("node_path", F.size("_top") + 1, F.size("node_path"))).alias("_path"),
-        )
+        # Of nodes that move one below the other, each takes what is below it and not below the next.
+        goal = F.concat("_to", F.slice("node_path", F.size("_top") + 1, F.size("node_path")))
+        moved = below.where("_op = 'move'").groupBy(*NODE).agg(F.max_by(goal, F.size("_top")).alias("_path"))
         nodes, path = nodes.join(moved, NODE, "left"), F.coalesce("_path", "node_path")
     if ops & {*_LABEL}:
         labels = ok.where(F.col("op").isin(*_LABEL)).select(
@@ -548,7 +559,7 @@ def _apply_files(work: Corpus, ok: DataFrame, below: DataFrame, ops: set[str]) -
         files = files.join(dropped, ["project_id", "file"], "left_anti")
     if ops & {*_LABEL}:
         heading = ok.where("op = 'edit_title'").select(
-            "project_id", F.col("topic").alias("file"), F.col("title").alias("_heading")
+            "project_id", F.col("topic").alias("file"), F.col("heading").alias("_heading")
         )
         # A file is renamed only onto a free name, and by the first edit that asks for it.
         renames = (

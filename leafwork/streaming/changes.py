@@ -109,23 +109,64 @@ def without_repeats(stream: DataFrame, keys: list[str], delay: str) -> DataFrame
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def follow_changes(stream: DataFrame, folder: str, **trigger) -> StreamingQuery:
+_SLOTS = 2  # a snapshot being read is not the next one to be written
+
+
+def follow_changes(stream: DataFrame, folder: str, every: int = 16, **trigger) -> StreamingQuery:
     """Keep the latest change per file; read it with :func:`latest_state`.
 
     The state is one row per file. Repeated and late deliveries change nothing: the
-    largest time and number wins, whenever it comes.
+    largest time and number wins, whenever it comes. After each ``every`` batches what they
+    wrote is merged into a snapshot, in one of two folders in turn, and then marked as
+    valid; a batch that runs again writes the same files, snapshot and mark once more.
     """
-    return _started(latest_changes(stream), "update", _written(folder), f"{folder}/checkpoint", **trigger)
+    spark = stream.sparkSession
+    spark.createDataFrame([], "upto long, slot long").write.mode("append").parquet(f"{folder}/marks")
 
+    def step(batch: DataFrame, batch_id: int) -> None:
+        _written(folder)(batch, batch_id)
+        if batch_id % every == every - 1:
+            session = batch.sparkSession
+            slot = batch_id // every % _SLOTS
+            merged = _latest(_since_snapshot(session, folder, batch_id))
+            merged.repartition("project_id", "path").write.mode("overwrite").parquet(f"{folder}/snapshots/slot={slot}")
+            mark = session.range(1).selectExpr(f"{batch_id}L as upto", f"{slot}L as slot")
+            mark.coalesce(1).write.mode("overwrite").parquet(f"{folder}/marks/upto_{batch_id}")
 
-def latest_state(spark, folder: str) -> DataFrame:
-    """Latest change per file, as far as the batches written."""
-    rows = spark.read.parquet(f"{folder}/out")
+    return _started(latest_changes(stream), "update", step, f"{folder}/checkpoint", **trigger)
+
+
+def _since_snapshot(spark, folder: str, before: int | None = None) -> DataFrame:
+    """Rows of the last valid snapshot (of those before a batch) and of the batches after it.
+
+    Batches are folders, so those that the snapshot holds are not read.
+    """
+    marks = spark.read.option("recursiveFileLookup", "true").schema("upto long, slot long").parquet(f"{folder}/marks")
+    mark = (marks if before is None else marks.where(F.col("upto") < before)).agg(F.max(F.struct("upto", "slot")).alias("m")).first()["m"]
+    rows = spark.read.parquet(f"{folder}/out").where(F.col("batch") > (mark["upto"] if mark else -1))
+    if before is not None:
+        rows = rows.where(F.col("batch") <= before)
+    if not mark:
+        return rows
+    snapshot = spark.read.parquet(f"{folder}/snapshots/slot={mark['slot']}")
+    return snapshot.withColumn("batch", F.lit(mark["upto"]).cast("int")).unionByName(rows.withColumn("batch", F.col("batch").cast("int")))
+
+
+def _latest(rows: DataFrame) -> DataFrame:
     values = [c for c in rows.columns if c not in ("project_id", "path", "batch")]
     last = F.max_by(F.struct(*values), "batch").alias("_v")
     return rows.groupBy("project_id", "path").agg(last).select("project_id", "path", "_v.*")
 
 
+def latest_state(spark, folder: str) -> DataFrame:
+    """Latest change per file, as far as the batches written: a snapshot and what came after it."""
+    return _latest(_since_snapshot(spark, folder))
+
+
+# Events of a busy key wait in buckets of this much time.
+BUCKET = 3_600_000_000
+
+
 def _ordered(titled: DataFrame, keys: list[str], compared: str, delay: str) -> DataFrame:
     """Rows whose ``compared`` differs from the row before in time, per key."""
     timed = titled.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -133,7 +174,7 @@ def _ordered(titled: DataFrame, keys: list[str], compared: str, delay: str) -> D
     columns = [*keys, *([] if "file" in keys else ["file"]), "at", "seq", "title"]
     schema = once.select(*columns).schema
     changed = once.select("ts", *columns).groupBy(*keys).transformWithStateInPandas(
-        Changes(columns, schema, compared), schema, outputMode="Append", timeMode="EventTime"
+        Changes(columns, schema, compared, BUCKET), schema, outputMode="Append", timeMode="EventTime"
     )
     ts = F.timestamp_micros("at").cast(titled.schema["ts"].dataType)
     return changed.withColumn("ts", ts).select(*[c if c != "at" else "ts" for c in columns])
@@ -171,7 +212,9 @@ def follow_reloads(
 
     ``reload`` gets the changed files' latest versions (project_id, path, kind, content,
     ts, seq, exists) and the touched projects (project_id), and returns what to write to
-    ``folder/out``. It reads other files of these projects where they are stored.
+    ``folder/out``, with a ``project_id``. It reads other files of these projects where they
+    are stored. Read the result with :func:`reloaded`: each batch is a version of the projects
+    it touches, so a project that a reload gives no rows for is gone.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -182,3 +225,13 @@ def follow_reloads(
         _written(folder)(reload(latest, latest.select("project_id").distinct()), batch_id)
 
     return _started(latest_changes(stream), "update", step, f"{folder}/checkpoint", **trigger)
+
+
+def reloaded(spark, folder: str) -> DataFrame:
+    """The rows of every project's last version, as far as the batches written.
+
+    The changes of a batch name the projects it touched, those without rows included.
+    """
+    touched = spark.read.parquet(f"{folder}/changed")
+    versions = touched.groupBy("project_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{folder}/out").join(versions, ["project_id", "batch"]).drop("batch")

@@ -226,3 +226,68 @@ def test_independent_creations_take_one_round(spark):
     assert result.rounds == 1
     pages = sorted(r.start_page for r in result.corpus.instances.where("instance_id != 'a'").collect())
     assert pages == ["same-title.md", *(f"same-title{k}.md" for k in range(1, 6))]
+
+
+def chain_of(kind, n):
+    """``n`` edits of one node, each after the other, and the same step by step."""
+    if kind == "rename":
+        return [("p", "a", k, "edit_title" if k % 3 == 1 else "rename", f"s{k}.md" if k else "c0.md", None, f"S{k + 1}", None) for k in range(n)]
+    goals = ["r1.md", "c1.md", "c1.md", "c0.md", "none.md", "r0.md", "c3.md"]
+    return [("p", "a", k, "move", "c0.md", goals[k % len(goals)], None, None) for k in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["rename", "move"])
+def test_chains_take_few_rounds_and_equal_single_steps(spark, kind):
+    steps = chain_of(kind, 100)
+    model = Model(
+        {"a": [{"topic": "r0.md", "title": "r0", "children": [{"topic": f"c{i}.md", "title": f"c{i}", "children": []} for i in range(4)]}, {"topic": "r1.md", "title": "r1", "children": []}]},
+        {"a": ["A", "r0.md"]}, {f: "# x" for f in ("r0.md", "r1.md", "c0.md", "c1.md", "c2.md", "c3.md")},
+    )
+    expected = [(e[2], model.apply("a", *e[3:])) for e in steps]
+    result = E.apply_edits(six_nodes(spark), spark.createDataFrame(steps, EDITS))
+    assert result.rounds <= 8
+    assert sorted((r.seq, r.status) for r in result.outcomes.collect()) == expected
+    assert {(tuple(r.node_path), r.topic, r.title) for r in result.corpus.nodes.collect()} == {(p, n["topic"], n["title"]) for p, _, n in model.walk(model.trees["a"])}
+    topics = spark.createDataFrame([("p", f"{c}{i}.md", "# x") for c, n in (("r", 2), ("c", 4)) for i in range(n)], TOPICS)
+    assert {(r.file, r.content) for r in E.materialise(result.corpus.files, topics).collect()} == set(model.files.items())
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_random_chains_equal_the_sequential_model(spark, seed):
+    """Chains broken by other edits of the tree and the project, with names in use."""
+    rng = random.Random(100 + seed)
+    names = [f"f{i}.md" for i in range(8)]
+    models = {f"p{i}": random_project(rng, i, names) for i in range(6)}
+    nodes, instances, topics = [], [], []
+    for p, m in models.items():
+        for inst, tree in m.trees.items():
+            nodes += [(p, inst, list(path), n["topic"], n["title"]) for path, _, n in m.walk(tree)]
+        instances += [(p, inst, *row, i) for i, (inst, row) in enumerate(m.instances.items())]
+        topics += [(p, f, c) for f, c in m.files.items()]
+    edits, expected, at = [], [], {}
+    for seq in range(45):
+        p, inst = rng.choice(list(models)), rng.choice("ab")
+        chain = (p, inst, rng.randint(0, 1))
+        now = at.get(chain, rng.choice(names))
+        if rng.random() < 0.75:
+            new = rng.choice([f"g{seq}.md", f"g{seq}.md", f"g{seq}.md", now, rng.choice(names)])
+            edit = (rng.choice(["rename", "edit_title"]), now, None, f"T {seq}", new)
+            at[chain] = new
+        elif rng.random() < 0.5:
+            edit = ("move", now, rng.choice(names), None, None)
+        else:
+            edit = (rng.choice(["delete", "remove", "add_root", "add_child", "set_start", "create_instance", "rename_instance"]), rng.choice([now, *names]), rng.choice(names), f"N {seq}", rng.choice([None, now, f"g{seq + 1}.md"]))
+        edits.append((p, inst, seq, *edit))
+        expected.append((p, seq, models[p].apply(inst, *edit)))
+    topics_df = spark.createDataFrame(topics, TOPICS)
+    corpus = E.corpus_of(spark.createDataFrame(nodes, NODES), spark.createDataFrame(instances, INSTANCES), topics_df)
+    result = E.apply_edits(corpus, spark.createDataFrame(edits, EDITS))
+    got = sorted((r.project_id, r.seq, r.status) for r in result.outcomes.collect())
+    wrong = [(g, w, edits[w[1]]) for g, w in zip(got, sorted(expected)) if g != w]
+    assert not wrong, wrong[:5]
+    rows = {(r.project_id, r.instance_id, tuple(r.node_path), r.topic, r.title) for r in result.corpus.nodes.collect()}
+    assert rows == {(p, inst, path, n["topic"], n["title"]) for p, m in models.items() for inst, tree in m.trees.items() for path, _, n in m.walk(tree)}
+    pages = {(r.project_id, r.instance_id, r.name, r.start_page) for r in result.corpus.instances.collect()}
+    assert pages == {(p, i, *row) for p, m in models.items() for i, row in m.instances.items()}
+    contents = {(r.project_id, r.file, r.content) for r in E.materialise(result.corpus.files, topics_df).collect()}
+    assert contents == {(p, f, c) for p, m in models.items() for f, c in m.files.items()}
