@@ -12,7 +12,8 @@ from leafwork.operators import instances as N
 from leafwork.operators import lookup, naming
 from leafwork.sinks import documents as D
 from leafwork.sinks import topics as T
-from leafwork.sources import json_config, xml_config
+from leafwork.session import cut_lineage
+from leafwork.sources import json_blocks, json_config, xml_config
 
 KEY = ["project_id", "instance_id"]
 END = "2147483647"
@@ -405,19 +406,21 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Configurations read, written, and read again: all fields of nodes and configurations."""
     given = full_configs(spark, sf_dir)
     pieces = D.config_pieces(json_config.projects(given), json_config.instances(given), json_config.nodes(given))
-    # Reading takes a configuration whole, so it is put together whole.
-    again = D.assemble(pieces, ["project_id"], block=1 << 30).select("project_id", "content")
+    # Long configurations come in several blocks, which are read as they are.
+    whole, several = json_config.in_one_and_several(cut_lineage(D.assemble(pieces, ["project_id"], block=1000)))
+    values = json_blocks.values(several)
     more = lambda n: F.element_at("more", n)
     none = F.lit(None).cast("string")
-    nodes = json_config.nodes(again).select(
+    read = json_config.nodes(whole).drop("dialect").unionByName(json_blocks.nodes(values, json_config.MORE))
+    nodes = read.select(
         "project_id", P.path_key(F.col("node_path")).alias("place"), "topic", "title", more("id").alias("id"), more("path").alias("path"),
         more("toc-title").alias("toc_title"), F.coalesce(more("sort-children"), more("sortChildren")).alias("sort"),
     )
-    tops = json_config.projects(again).select(
+    tops = json_config.projects(whole.unionByName(json_blocks.tops(values))).select(
         "project_id", F.lit("top").alias("place"), F.concat_ws("|", "topics_dir", "images_dir", "images_version", "images_web_path").alias("topic"),
         more("title").alias("title"), more("schema").alias("id"), more("type").alias("path"), none.alias("toc_title"), none.alias("sort"),
     )
-    instances = json_config.instances(again).select(
+    instances = json_config.instances(whole).unionByName(json_config.instances_in_blocks(values)).select(
         "project_id", F.lit("instance").alias("place"), F.col("start_page").alias("topic"), F.col("name").alias("title"),
         F.col("instance_id").alias("id"), none.alias("path"), none.alias("toc_title"), none.alias("sort"),
     )

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafwork.functions.arrays import bind
 from leafwork.functions.paths import posix_join
 
 # Fixed value: an <img> tag with a quoted src attribute.
@@ -51,11 +52,6 @@ def rewrite_matches(text: Column, pattern: str, change: Callable[[Column], Colum
     return F.array_join(joined, "")
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _below_images(folder: Column, src: Column) -> Column:
     """``../folder/src``, normalised; plain paths take the short way."""
     return F.when(F.regexp_like(src, F.lit(_PLAIN_PATH)), F.concat(posix_join(F.lit(".."), folder), F.lit("/"), src)).otherwise(

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.session import cut_lineage
-from leafwork.sources import forest, json_walk, xml_config
-from leafwork.sources.json_walk import ORDERS, PLACES
+from leafwork.sources import forest, json_blocks, json_config, xml_config
+from leafwork.sources.json_blocks import ORDERS, PLACES
 
 
 def _get(value: Column, key: str) -> Column:
@@ -90,17 +90,22 @@ def violations(configs: DataFrame, dialect: str = "J") -> DataFrame:
 
     ``configs``: project_id, content. Text that cannot be parsed, or none at all, is one
     violation (``parse``). Trees deeper than a block of levels are checked in further
-    rounds, over what is left of them. Texts too deep or too large for a variant are walked.
+    rounds, over what is left of them. JSON that makes no variant is read by its tokens.
     """
     parsed = configs.select("project_id", F.try_parse_json("content").alias("c"))
-    others = cut_lineage(json_walk.violations(configs.where(F.try_parse_json("content").isNull())))
+    beyond = json_blocks.beyond_variants(F.col("content"))
+    none = configs.where(F.try_parse_json("content").isNull() & F.coalesce(~beyond, F.lit(True)))
+    unread = none.select("project_id", F.lit("").alias("instance_path"), F.lit("parse").alias("keyword"), F.lit("unreadable").alias("detail"))
+    others = cut_lineage(configs.where(beyond))
     part = parsed.where("c is not null").select("project_id", F.explode(parts(F.col("c"))).alias("p"))
     rows = last = cut_lineage(_checked(part.select("project_id", "p.*")))
     while not (open_ := last.where("rest is not null")).isEmpty():
         deeper = _toc_parts(_items(F.try_parse_json("rest")), F.col("instance_path"), 1, forest.LEVELS)
         last = cut_lineage(_checked(open_.select("project_id", F.explode(deeper).alias("p")).select("project_id", "p.*")))
         rows = rows.unionByName(last)
-    found = rows.where("keyword is not null").drop("rest").unionByName(others)
+    found = rows.where("keyword is not null").drop("rest").unionByName(unread)
+    if not others.isEmpty():
+        found = found.unionByName(json_blocks.violations(json_config.as_blocks(others)))
     return found.withColumn("dialect", F.lit(dialect))
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafwork.functions import text as X
-from leafwork.functions.images import bind, rewrite_matches
+from leafwork.functions.arrays import bind, running_totals
+from leafwork.functions.images import rewrite_matches
 from leafwork.functions.paths import posix_join
 from leafwork.sources import forest
 
@@ -90,24 +91,6 @@ _ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 _ROOT = r"(?s)\A(.*?<ihp)(" + _ATTRIBUTES + r")(?:/>\s*\z|>(.*)</ihp\s*>.*\z)"
 # A comment, a section of plain characters, an instruction, a tag, or text.
 _TOKEN = r"<!--[\s\S]*?-->|<!\[CDATA\[[\s\S]*?\]\]>|<\?[\s\S]*?\?>|<(?![!?])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^<]++|<"
-_RUN = 256  # numbers added up one by one
-
-
-def _running(steps: Column) -> Column:
-    """The running totals of a list of numbers, run by run, so that no long list grows one by one."""
-
-    def totals(numbers: Column, first: Column) -> Column:
-        grown = F.aggregate(numbers, F.array(first), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
-        return F.slice(grown, 2, F.size(numbers))
-
-    def by_runs(runs: Column) -> Column:
-        sums = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda total, n: total + n))
-        before = F.concat(F.array(F.lit(0)), totals(sums, F.lit(0)))
-        return F.flatten(F.zip_with(runs, F.slice(before, F.lit(1), F.size(runs)), totals))
-
-    starts = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _RUN).cast("int"))
-    runs = F.transform(starts, lambda k: F.slice(steps, k * _RUN + 1, F.lit(_RUN)))
-    return F.when(F.size(steps) > 0, bind(runs, by_runs)).otherwise(F.array().cast("array<int>"))
 
 
 def _pieces(inner: Column) -> Column:
@@ -133,7 +116,7 @@ def _pieces(inner: Column) -> Column:
                 ends, lambda e, k: F.array_join(F.slice(tokens, starts[k] + 1, e - starts[k]), "")
             )
 
-        depths = bind(F.transform(tokens, step), _running)
+        depths = bind(F.transform(tokens, step), running_totals)
         return F.when(F.size(tokens) > 0, bind(depths, at_depths)).otherwise(F.array().cast("array<string>"))
 
     found = bind(F.regexp_extract_all(inner, F.lit(_TOKEN), F.lit(0)), cut)

@@ -1,11 +1,15 @@
-"""Configurations that make no variant: very deep ones, and those with repeated keys."""
+"""Configurations in blocks, and those that make no variant: very deep ones, and those with repeated keys."""
 
 import json
 import random
 
+import pytest
+
 from leafwork.operators import validate
 from leafwork.plans.open_projects import open_projects
-from leafwork.sources import json_config, json_walk
+from leafwork.session import cut_lineage
+from leafwork.sinks import documents
+from leafwork.sources import json_blocks, json_config
 
 
 def tree(depth, leaf='{"topic":"t"}'):
@@ -16,10 +20,11 @@ def config(toc):
     return f'{{"instances":[{{"id":"i","toc-elements":[{toc}]}}]}}'
 
 
-def test_a_json_tree_of_600_levels_is_opened(spark):
+@pytest.mark.parametrize("depth", [600, 2000])
+def test_a_deep_json_tree_is_opened(spark, depth):
     texts = {
-        "good": config(tree(600)), "bad": config(tree(600, '{"topic":"t","odd":1,"sortChildren":7}')),
-        "cut": config(tree(600))[:-1], "number": config(tree(600).replace('"t"', "5", 1)), "small": config(tree(1)),
+        "good": config(tree(depth)), "bad": config(tree(depth, '{"topic":"t","odd":1,"sortChildren":7}')),
+        "cut": config(tree(depth))[:-1], "number": config(tree(depth).replace('"t"', "5", 1)), "small": config(tree(1)),
     }
     configs = spark.createDataFrame(list(texts.items()), "project_id string, content string")
     modules = spark.createDataFrame([], "project_id string, content string")
@@ -30,8 +35,8 @@ def test_a_json_tree_of_600_levels_is_opened(spark):
     }
     opened = open_projects(configs, modules, trees, topics)
     assert {r.project_id: r.config_code for r in opened.projects.collect()} == {"good": 2, "bad": 0, "cut": 0, "number": 0, "small": 2}
-    assert {r.project_id: r["count"] for r in opened.nodes.groupBy("project_id").count().collect()} == {"good": 600, "small": 1}
-    at = "/instances/0/toc-elements/0" + "/children/0" * 599
+    assert {r.project_id: r["count"] for r in opened.nodes.groupBy("project_id").count().collect()} == {"good": depth, "small": 1}
+    at = "/instances/0/toc-elements/0" + "/children/0" * (depth - 1)
     assert {tuple(r)[:4] for r in opened.violations.collect()} == {
         ("bad", at, "additionalProperties", "odd"),
         ("bad", f"{at}/sortChildren", "type", "string"),
@@ -42,12 +47,14 @@ def test_a_json_tree_of_600_levels_is_opened(spark):
     assert {r.project_id for r in validate.accepted(configs, opened.violations).collect()} == {"good", "small"}
 
 
-def test_of_repeated_keys_the_last_one_counts():
-    assert json_walk.inspect('{"topics":{"x":1},"topics":{"dir":"a"},"instances":5,"instances":[]}') == (True, [])
-    assert json_walk.inspect('{"topics":{"dir":"a"},"topics":5}') == (True, [("/topics", "type", "object", None)])
+def test_of_repeated_keys_the_last_one_counts(spark):
+    texts = ['{"topics":{"x":1},"topics":{"dir":"a"},"instances":5,"instances":[]}', '{"topics":{"dir":"a"},"topics":5}', '[{"a":1,"a":2}]']
+    df = spark.createDataFrame(list(enumerate(texts)), "project_id int, content string")
+    assert {r.project_id: r.readable for r in json_config.readability(df).collect()} == {0: True, 1: True, 2: True}
+    assert {tuple(r)[:4] for r in validate.violations(df).collect()} == {(1, "/topics", "type", "object"), (2, "", "type", "object")}
 
 
-def test_walking_equals_the_variant_rules(spark):
+def test_values_by_tokens_equal_the_variant_rules(spark):
     rng = random.Random(3)
     values = ["x", "", 5, 0, 1.5, True, False, None, "none", "up", [], {}, {"a": 1}, "{}", "[1]"]
 
@@ -65,14 +72,15 @@ def test_walking_equals_the_variant_rules(spark):
         top = some(["schema", "title", "images", "odd"], 0.3) | {"topics": some(["dir", "odd"], 0.4), "instances": [*instances, *rng.sample(values, rng.random() < 0.2)]}
         return top | ({"instances": rng.choice(values)} if rng.random() < 0.1 else {})
 
-    texts = [json.dumps(whole(), indent=rng.choice([None, 1])) for _ in range(400)] + [json.dumps(v) for v in values] + ["", "{", '{"a":}', '{"a":1,}', "[1,]", "[01]", '"a', "nul", "]"]
+    texts = [json.dumps(whole(), indent=rng.choice([None, 1])) for _ in range(400)] + [json.dumps(v) for v in values] + ["", "{", '{"a":}', '{"a":1,}', "[1,]", "[01]", '"a', "nul", "]", '{"a":1]', "[1}", '{"a" 1}', "{1:2}", "[,]", "{,}", '"\\x"', '"a\nb"', "[1 2]", None]
     df = spark.createDataFrame(list(enumerate(texts)), "project_id int, content string")
     rows = lambda found: sorted(repr(tuple(r)[:4]) for r in found.collect())
-    assert rows(validate.violations(df)) == rows(json_walk.violations(df))
-    assert rows(json_config.readability(df)) == rows(json_walk.readability(df))
+    blocks = json_config.as_blocks(df)
+    assert rows(validate.violations(df)) == rows(json_blocks.violations(blocks))
+    assert rows(json_config.readability(df)) == rows(json_blocks.readability(blocks))
 
 
-def test_walked_nodes_equal_those_of_the_reader(spark):
+def test_nodes_by_tokens_equal_those_of_the_reader(spark):
     rng = random.Random(4)
 
     def toc(depth):
@@ -83,4 +91,26 @@ def test_walked_nodes_equal_those_of_the_reader(spark):
     texts.append('{"instances":[{"id":"a","toc-elements":[{"topic":"x"}]}],"instances":[{"toc-elements":[{"topic":"y","topic":"z","children":[{}],"children":[]}]}]}')
     df = spark.createDataFrame(list(enumerate(texts)), "project_id int, content string")
     rows = lambda df: sorted(repr((r.project_id, r.instance_id, r.node_path, r.topic, r.title, r.more)) for r in df.collect())
-    assert rows(json_walk.nodes(df, json_config.MORE)) == rows(json_config.nodes(df))
+    assert rows(json_blocks.nodes(json_config.as_blocks(df), json_config.MORE)) == rows(json_config.nodes(df))
+
+
+def test_a_configuration_in_blocks_is_read_as_it_was_written(spark):
+    rng = random.Random(5)
+
+    def toc(depth):
+        return {"topic": f"{rng.random()}.md", "title": rng.choice(['a "b"', "[{:,}]", "é\\n"]), "children": [toc(depth - 1) for _ in range(rng.randint(0, 3) if depth else 0)]}
+
+    tops = {"schema": "s", "title": "[x", "topics": {"dir": "d"}, "images": {"dir": "i", "version": "1", "web-path": "w"}}
+    texts = [json.dumps({**tops, "instances": [{"id": f"i{k}", "name": "n", "start-page": "p", "toc-elements": [toc(6) for _ in range(2)]} for k in range(2)]}) for _ in range(5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "project_id int, content string")
+    folders, instances, nodes = json_config.projects(df), json_config.instances(df), json_config.nodes(df)
+    blocks = cut_lineage(documents.assemble(documents.config_pieces(folders, instances, nodes), ["project_id"], block=7))
+    assert blocks.count() > 20
+    values = json_blocks.values(blocks.select("project_id", "block", "content"))
+    rows = lambda df, *c: sorted(repr(tuple(r)) for r in df.select(*c).collect())
+    columns = ["project_id", "instance_id", "node_path", "topic", "title", "more"]
+    assert rows(json_blocks.nodes(values, json_config.MORE), *columns) == rows(nodes, *columns)
+    assert rows(json_config.instances_in_blocks(values), *instances.columns) == rows(instances, *instances.columns)
+    assert rows(json_config.projects(json_blocks.tops(values)), *folders.columns) == rows(folders, *folders.columns)
+    assert json_blocks.violations(values).count() == 0
+    assert json_blocks.readability(values).where("not readable").count() == 0
