@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from leafwork.catalog import configs, editing, following, reading, trees, writing
+from leafwork.catalog import corpora, configs, editing, following, reading, trees, writing
 
-REGISTRY = {**reading.QUERIES, **trees.QUERIES, **configs.QUERIES, **writing.QUERIES, **editing.QUERIES, **following.QUERIES}
+REGISTRY = {**corpora.QUERIES, **reading.QUERIES, **trees.QUERIES, **configs.QUERIES, **writing.QUERIES, **editing.QUERIES, **following.QUERIES}

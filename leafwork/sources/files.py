@@ -6,15 +6,19 @@ the folder that holds its configuration.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork.functions import text as X
 from leafwork.functions.paths import posix_join
+from leafwork.session import cut_lineage
 
 
-def read_files(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, content) of every file.
+def read_files(spark: SparkSession, glob: str | list[str]) -> DataFrame:
+    """(path, content) of every file of a glob, or of several.
 
     Paths are plain: ``scheme://store/dir/x`` is ``/store/dir/x``, so that joining
     and comparing them works the same on every file system.
@@ -27,6 +31,29 @@ def read_files(spark: SparkSession, glob: str) -> DataFrame:
     )
 
 
+def list_files(spark: SparkSession, glob: str) -> DataFrame:
+    """(path, address) of every file, without reading any."""
+    address = F.col("path")
+    plain = F.regexp_replace(address, r"\A[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
+    return spark.read.format("binaryFile").load(glob).select(plain.alias("path"), address.alias("address"))
+
+
+def read_listed(spark: SparkSession, files: DataFrame, batch: int = 50_000) -> DataFrame:
+    """(path, content) of the files at ``address``, and of no others.
+
+    The driver holds ``batch`` addresses at a time, and Spark's plan a scan for each batch.
+    """
+    scans, held = [], []
+    for row in files.select("address").toLocalIterator(prefetchPartitions=True):
+        held.append(re.sub(r"([\\{}\[\]*?,])", r"\\\1", row["address"]))
+        if len(held) == batch:
+            scans, held = [*scans, read_files(spark, held)], []
+    if held or not scans:
+        none = spark.createDataFrame([], "path string, content string")
+        scans.append(read_files(spark, held) if held else none)
+    return reduce(DataFrame.unionByName, scans)
+
+
 def read_json_configs(spark: SparkSession, glob: str) -> DataFrame:
     """(project_id, path, content) of JSON configurations."""
     return read_files(spark, glob).select(X.dir_name(F.col("path")).alias("project_id"), "path", "content")
@@ -61,12 +88,18 @@ def _owners(paths: DataFrame, projects: DataFrame) -> DataFrame:
     )
 
 
-def read_titles(spark: SparkSession, glob: str, projects: DataFrame) -> DataFrame:
+def read_titles(spark: SparkSession, glob: str, projects: DataFrame, named: DataFrame | None = None) -> DataFrame:
     """Titles of the projects' topics: (project_id, file, title), NULL where there is no heading.
 
     One scan; only paths and titles leave it. ``projects``: project_id, topics_dir (as
-    configured, or NULL).
+    configured, or NULL). With ``named`` (project_id, file), as a tree names its topics, the
+    folders are listed first, and files that no tree names are not opened.
     """
+    if named is not None:
+        owned = _owners(list_files(spark, glob), projects).join(named, ["project_id", "file"], "left_semi")
+        chosen = cut_lineage(owned.select("project_id", "file", "path", "address"))
+        titled = read_listed(spark, chosen.select("address").distinct()).select("path", X.heading(F.col("content")).alias("title"))
+        return chosen.join(titled, "path").select("project_id", "file", "title")
     titled = read_files(spark, glob).select("path", X.heading(F.col("content")).alias("title"))
     return _owners(titled, projects).select("project_id", "file", "title")
 

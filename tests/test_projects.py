@@ -83,6 +83,23 @@ def test_titles_need_one_scan_and_move_no_content(spark, opened):
     assert sorted(map(repr, with_titles.nodes.select("topic", "title").collect())) == sorted(map(repr, result.nodes.select("topic", "title").collect()))
 
 
+def test_only_files_that_a_tree_names_are_opened(spark, tmp_path):
+    odd = ["a.md", "c d+e%.md", "[x]{y}?.md", "sub/deep,er*.md"]
+    for name in [*odd, "other.md", "sub/other.md"]:
+        put(tmp_path / "p/topics" / name, f"# Title of {name}")
+    folders = spark.createDataFrame([(f"{tmp_path}/p", None)], "project_id string, topics_dir string")
+    named = spark.createDataFrame([(f"{tmp_path}/p", n) for n in [*odd, "missing.md"]], "project_id string, file string")
+    glob = [f"{tmp_path}/p/topics/*.md", f"{tmp_path}/p/topics/sub/*.md"]
+    for pattern in glob:
+        titles = files.read_titles(spark, pattern, folders, named)
+        want = {n for n in odd if ("/" in n) == ("sub" in pattern.rsplit("topics")[1])}
+        assert {(r.file, r.title) for r in titles.collect()} == {(n, f"Title of {n}") for n in want}
+    listed = files.list_files(spark, glob[0]).where("path not like '%other%'")
+    assert len(files.read_listed(spark, listed).inputFiles()) == 3
+    assert files.read_listed(spark, listed, batch=2).count() == 3
+    assert files.read_listed(spark, listed.limit(0)).count() == 0
+
+
 def test_detection(opened):
     root, result, _ = opened
     got = {r.project_id.rsplit("/", 1)[1]: (r.dialect, r.config_code) for r in result.projects.collect()}
