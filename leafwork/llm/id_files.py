@@ -6,7 +6,8 @@ ascending order as shards: raw little-endian ids, the keys in order, and an inde
 The index is a minimal perfect hash (hash and displace): a key's bucket has a seed
 that sends the key to a slot of its own; the slot holds a fingerprint, the offset and
 the length. A lookup costs two hashes and one comparison, whatever the shard's size.
-A shard holds about ``shard_ids`` ids, one document more at most.
+A shard holds about ``shard_ids`` ids, one document more at most, and is a row group of its
+own with its first and last key, so that a lookup reads the payload of no other shard.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from leafwork.llm.common import known_id, restored
 from leafwork.llm.token_ids import TextEncoder
 
 SHARD = (
-    "part int, shard int, width int, start long, n_docs int, n_ids long, payload binary, keys binary,"
+    "part int, shard int, width int, start long, n_docs int, n_ids long, first_key long, last_key long, payload binary, keys binary,"
     " seeds binary, fingerprints binary, slots binary, offsets binary, lengths binary"
 )
 _BUCKET = 4  # mean number of keys that share a seed
+_SPANS = 64  # ranges of keys that choose shards
+_PART_DOCS = 100_000  # documents of a part, about
 
 
 def mixed(keys: np.ndarray, seeds) -> np.ndarray:
@@ -146,7 +149,7 @@ def _shard_row(part: int, shard: int, width: int, start: int, keys: list, ids: l
     where[:, 0], where[:, 1] = at, count
     return {
         "part": part, "shard": shard, "width": width, "start": start, "n_docs": len(keys), "n_ids": int(lengths.sum()),
-        "payload": b"".join(ids), "keys": names.tobytes(), "seeds": seeds.astype("<u4").tobytes(),
+        "first_key": keys[0], "last_key": keys[-1], "payload": b"".join(ids), "keys": names.tobytes(), "seeds": seeds.astype("<u4").tobytes(),
         "fingerprints": prints.tobytes(), "slots": where.tobytes(), "offsets": offsets.tobytes(), "lengths": lengths.tobytes(),
     }
 
@@ -177,7 +180,7 @@ def write_shards(ids: DataFrame, path: str, parts: int, shard_ids: int = 1_000_0
         if keys:
             yield pd.DataFrame([_shard_row(now, shard, width, start, keys, texts)])
 
-    dealt.mapInPandas(build, SHARD).write.parquet(path)
+    dealt.mapInPandas(build, SHARD).write.option("parquet.block.row.count.limit", "1").parquet(path)
 
 
 def _ids(row, offset: int, length: int) -> bytes:
@@ -218,8 +221,17 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def get_documents(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
-    """The ids of a stated list of documents: two hashes and one comparison a shard and key."""
+    """The ids of a stated list of documents: two hashes and one comparison a key.
+
+    Shards are chosen by their first and last keys, in up to ``_SPANS`` spans that leave out
+    the widest gaps between the keys.
+    """
     wanted = np.array(sorted(set(keys)), np.int64)
+    gaps = np.sort(np.argsort(-np.diff(wanted.astype(object)), kind="stable")[: _SPANS - 1]) if len(wanted) > 1 else np.empty(0, np.int64)
+    spans = np.split(wanted, gaps + 1) if len(wanted) else []
+    near_keys = F.lit(False)
+    for span in spans:
+        near_keys |= (F.col("first_key") <= int(span[-1])) & (F.col("last_key") >= int(span[0]))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -238,7 +250,7 @@ def get_documents(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
                 ]
                 yield pd.DataFrame(out, columns=["doc_id", "ids"])
 
-    return spark.read.schema(SHARD).parquet(path).mapInPandas(find, "doc_id long, ids binary")
+    return spark.read.schema(SHARD).parquet(path).where(near_keys).mapInPandas(find, "doc_id long, ids binary")
 
 
 def write_token_ids(
@@ -246,6 +258,6 @@ def write_token_ids(
 ) -> None:
     """Tokenize whole texts and write the shards; an empty table gives no shard."""
     width = id_width(tokenizer, end_id)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // _PART_DOCS))
     ids = tokenized(docs, tokenizer, end_id, id_ranges(docs, parts, id_col), id_col, text_col, width)
     write_shards(ids, path, parts, width=width)

@@ -5,7 +5,9 @@ lengths are shuffled. Each partition packs its pieces by best-fit decreasing and
 bounds the number of bins from below by dual-feasible functions. A partition whose
 bins equal the bound is certified and stays. The others open their emptiest bins, whose
 pieces are dealt into fewer, mixed partitions and packed again; the new bins are taken
-if they are fewer. Rounds end when one partition is left, or nothing is open.
+if they are fewer. Rounds end when one partition is left, nothing is open, or a round
+saved no bin. Each sequence tells whether its partition was certified, and the bound over
+all pieces tells how far the whole is from certain.
 """
 
 from __future__ import annotations
@@ -79,9 +81,11 @@ def bins_needed(lengths: np.ndarray, capacity: int) -> int:
     as a whole bin, shorter than t as nothing, others by length; for k, the rounded
     function of (k + 1) x / capacity counts in parts of 1 / k.
     """
-    if not len(lengths):
-        return 0
-    counts = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return _bound(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def _bound(counts: np.ndarray, capacity: int) -> int:
+    """The same, from how often each length occurs."""
     sizes = np.arange(capacity + 1)
     number, total = np.cumsum(counts), np.cumsum(counts * sizes)
     t = np.arange(capacity // 2 + 1)
@@ -99,7 +103,7 @@ def bins_needed(lengths: np.ndarray, capacity: int) -> int:
 _FIELDS = ["doc_id", "piece", "start", "length", "ids_crc32", "_row"]
 _PACKED = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, _row long,"
-    " sequence_id long, offset long, _open boolean"
+    " sequence_id long, offset long, certified boolean, _open boolean"
 )
 
 
@@ -133,23 +137,26 @@ def _pack_group(key: tuple, rows: pd.DataFrame, capacity: int, level: int) -> pd
         opened[emptiest[: max(2, int(np.searchsorted(room, 2 * surplus * capacity)) + 1)]] = True
         opened &= fill < capacity
     return rows.assign(
-        sequence_id=ids, offset=before - before[first][fill_at], _open=opened[fill_at]
-    )[[*_FIELDS, "sequence_id", "offset", "_open"]]
+        sequence_id=ids, offset=before - before[first][fill_at], certified=surplus <= 0, _open=opened[fill_at]
+    )[[*_FIELDS, "sequence_id", "offset", "certified", "_open"]]
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 100_000, max_rounds: int = 6) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to ``doc_id, piece, start, length, ids_crc32``.
+def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 100_000, max_rounds: int | None = None) -> DataFrame:
+    """Adds ``sequence_id``, ``offset`` and ``certified`` to ``doc_id, piece, start, length, ids_crc32``.
 
     Pieces are dealt into groups of about ``group_rows`` by a hash, so the work of a task
     is bounded; what uncertified groups open is dealt anew, again in groups of that
-    size, until one group is left, nothing is open or ``max_rounds`` have run. Every
+    size, until one group is left, nothing is open, a round saves no sequence or, where
+    it is given, ``max_rounds`` have run. Every
     piece is placed once, sequences hold at most ``capacity`` tokens, offsets are gapless
-    from 0. Lengths must be from 1 to ``capacity``. Repeated rows are packed each for
-    itself; null ids are packed like others; an empty table gives an empty one.
+    from 0. ``certified`` says that the group that made a sequence needed all of its
+    sequences; see :func:`lower_bound` for the whole. Lengths must be from 1 to ``capacity``.
+    Repeated rows are packed each for itself; null ids are packed like others; an empty
+    table gives an empty one.
     """
     numbered = pieces if "_row" in pieces.columns else pieces.withColumn("_row", F.monotonically_increasing_id())
     dealt = stored(numbered.select(*_FIELDS).withColumn("doc_id", known_id(F.col("doc_id"))), "pieces")
-    left, level, done = dealt.count(), 0, []
+    left, level, done, held = dealt.count(), 0, [], None
     while True:
         groups = max(1, -(-left // group_rows))
         key = F.pmod(F.xxhash64("ids_crc32", "_row", F.lit(level)), F.lit(groups)).cast("long")
@@ -158,13 +165,26 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 100_000, max
             f"packed-{level}",
         )
         level += 1
-        if groups == 1 or level == max_rounds or packed.where("_open").isEmpty():
+        # Sequences begin at offset 0, so they are counted without a shuffle.
+        begun = packed.where("offset = 0").agg(F.count(F.lit(1)).alias("all"), F.count_if("_open").alias("open")).first()
+        if groups == 1 or not begun["open"] or level == max_rounds or (held is not None and begun["all"] >= held):
             done.append(packed)
             break
         done.append(packed.where("not _open"))
-        dealt = packed.where("_open")
+        dealt, held = packed.where("_open"), begun["open"]
         left = dealt.count()
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
     return restored(out.drop("_row", "_open"))
+
+
+def lower_bound(pieces: DataFrame, capacity: int = 2048) -> int:
+    """The number of sequences that no packing of all ``pieces`` can do without.
+
+    Only how often each length occurs comes to the driver: ``capacity`` numbers.
+    """
+    counts = np.zeros(capacity + 1, np.int64)
+    for row in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[row["length"]] = row["n"]
+    return _bound(counts, capacity)

@@ -103,7 +103,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, CONTEXT)
-    return packing.pack(pieces, CONTEXT)
+    packed = packing.pack(pieces, CONTEXT)
+    return packed.withColumn("lower_bound", F.lit(packing.lower_bound(packed, CONTEXT)).cast("long"))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -410,6 +410,69 @@ def test_token_files(spark, docs, none, tmp_path):
     assert id_files.read_shards(spark, other).count() == 0
 
 
+def test_lookups_read_the_payload_of_few_shards(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rows = [(3 * k, f"word {k} of many") for k in range(900)]
+    path = str(tmp_path / "shards")
+    id_files.write_shards(id_files.tokenized(frame(spark, rows), WORDS, 2, id_files.id_ranges(frame(spark, rows), 3)), path, 3, shard_ids=100)
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{path}/*.parquet")]
+    assert sum(m.num_rows for m in files) > 30 and all(m.num_row_groups == m.num_rows for m in files)
+    found = id_files.get_documents(spark, path, [0, 1500, 2697, 4])
+    assert sorted(r["doc_id"] for r in found.collect()) == [0, 1500, 2697]
+    plan = found._jdf.queryExecution().executedPlan()
+    scan = plan.collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() <= 3
+    assert sorted(r["doc_id"] for r in id_files.get_documents(spark, path, list(range(0, 2700, 9))).collect()) == list(range(0, 2700, 9))
+    assert id_files.get_documents(spark, path, []).count() == 0
+
+
+def test_packing_certificates_and_tiny_optima(spark):
+    """Best-fit decreasing against an exhaustive search, and bounds that never exceed the optimum."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(6)
+
+    def optimum(lengths, capacity):
+        best = len(lengths)
+
+        def place(k, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if k == len(lengths):
+                best = len(bins)
+                return
+            for i in range(len(bins)):
+                if bins[i] + lengths[k] <= capacity and bins[i] not in bins[:i]:
+                    place(k + 1, [*bins[:i], bins[i] + lengths[k], *bins[i + 1 :]])
+            place(k + 1, [*bins, lengths[k]])
+
+        place(0, [])
+        return best
+
+    for _ in range(300):
+        capacity = rng.choice((10, 17, 64))
+        lengths = np.array(sorted((rng.randint(1, capacity) for _ in range(rng.randint(1, 8))), reverse=True))
+        made = int(packing.best_fit_decreasing(lengths, capacity).max()) + 1
+        bound, best = packing.bins_needed(lengths, capacity), optimum(lengths.tolist(), capacity)
+        assert bound <= best <= made and made <= best + 1
+    rows = [(k, 0, 0, rng.randint(1, 64), rng.getrandbits(32)) for k in range(3000)]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"), 64, group_rows=200)
+    out = packed.collect()
+    bins = {}
+    for r in out:
+        bins.setdefault(r["sequence_id"], []).append(r)
+    assert len(out) == 3000 and all(sum(r["length"] for r in b) <= 64 for b in bins.values())
+    bound = packing.lower_bound(packed, 64)
+    assert bound <= len(bins) <= 1.03 * bound
+    assert all(len({r["certified"] for r in b}) == 1 for b in bins.values()) and any(r["certified"] for r in out)
+
+
 def test_rows_that_repeat_one_id_are_spread(spark, tmp_path):
     rows = [(5, f"word {k}") for k in range(300)] + [(1, "a"), (9, "b")]
     ends = id_files.id_ranges(frame(spark, rows), 4)
