@@ -197,10 +197,14 @@ select page_id, length(rewritten) as n_chars, md5(rewritten) as digest from r
 _MARKS = (
     " ![a](./img/p.png) ![w](https://h/x.png) ![r](../images/r.png \"t\") `![c](c.png)` \\![e](e.png) ![p](p(1).png \"t\")"
     " ![g][R] ![k]\n\n    ![i](i.png)\n\n~~~\n```\n![f](f.png)\n~~~\n\n[r]: d.png\n[k]: ./k.png\n[link]: l.png\n\n"
+    "![n [o [p]] \\]](n.png) [![in](in.png)](l.png) ![d](d((1)).png)\n\n> ```\n> ![q](q.png)\n> ```\n> ![qq](qq.png)\n\n"
+    "- ~~~\n  ![l](l.png)\n  ~~~\n  ![ll](ll.png)\n\n"
 )
 _MARKS_MOVED = (
     " ![a](../images/img/p.png) ![w](https://h/x.png) ![r](../images/r.png \"t\") `![c](c.png)` \\![e](e.png) ![p](../images/p(1).png \"t\")"
     " ![g][R] ![k]\n\n    ![i](i.png)\n\n~~~\n```\n![f](f.png)\n~~~\n\n[r]: ../images/d.png\n[k]: ../images/k.png\n[link]: l.png\n\n"
+    "![n [o [p]] \\]](../images/n.png) [![in](../images/in.png)](l.png) ![d](../images/d((1)).png)\n\n> ```\n> ![q](q.png)\n> ```\n> ![qq](../images/qq.png)\n\n"
+    "- ~~~\n  ![l](l.png)\n  ~~~\n  ![ll](../images/ll.png)\n\n"
 )
 
 

@@ -17,23 +17,48 @@ from leafwork.functions.paths import posix_join
 # Fixed value: an <img> tag with a quoted src attribute.
 IMG_TAG = r"""(?i)<img\s+([^>]*src\s*=\s*["'])([^"']+)(["'][^>]*)>"""
 
+
+def _balanced(opening: str, plain: str, closing: str, levels: int) -> str:
+    """Text of ``plain`` parts in which brackets pair up, nested to ``levels``."""
+    pattern = f"(?:{plain})*+"
+    for _ in range(levels):
+        pattern = f"(?:{plain}|{opening}{pattern}{closing})*+"
+    return pattern
+
+
 # Markdown constructs in the order they take precedence: fenced blocks (closed by the
-# same character, at least as often), indented blocks after a blank line, code spans,
-# then inline images with a bracketed or bare destination, and link definitions. What
-# is matched and is no image or definition stays as it is.
+# same character, at least as often, or by the end of the quote or list item they are in),
+# indented blocks after a blank line, code spans, then inline images with a bracketed or
+# bare destination, and link definitions. What is matched and is no image or definition
+# stays as it is.
 _FENCE = (
     r"(?m:^) {0,3}(?:(?<tick>`{3,})[^`\n]*|(?<wave>~{3,})[^\n]*)"
     r"(?:\n[\s\S]*?)??(?:\n {0,3}(?:\k<tick>`*|\k<wave>~*)[ \t]*(?=\n|\z)|\z)"
 )
+
+
+def _fence_in(start: str, line: str, mark: str, name: str) -> str:
+    """A fenced block whose first line has ``start`` before it, and whose lines begin with ``line``."""
+    end = rf"\k<{name}>{mark}*[ \t]*(?=\n|\z)"
+    return rf"(?m:^){start}(?<{name}>{mark}{{3,}})[^{mark}\n]*(?:\n(?!{line}{end})(?:{line}[^\n]*))*+(?:\n{line}{end})?"
+
+
+_QUOTE = r" {0,3}>(?:[ \t]?>)*+ {0,4}"
+_ITEM = r" {0,3}(?:[-*+]|[0-9]{1,9}[.)])[ \t]{1,4}"
+_INSIDE = "|".join(
+    _fence_in(start, line, mark, f"{name}{kind}")
+    for name, start, line in (("quote", _QUOTE, _QUOTE), ("item", _ITEM, r"(?:[ \t]{2,}|(?=\n|\z))"))
+    for kind, mark in (("tick", "`"), ("wave", "~"))
+)
 _INDENTED = r"(?:\A|(?m:^)[ \t]*\n)(?:(?: {4}|\t)[^\n]*(?:\n|\z))+"
 _CODE_SPAN = r"``(?<!```)(?!`)[\s\S]*?[^`]``(?!`)|`(?<!``)(?!`)[^`]+`(?!`)"
-_ALT = r"!\[[^\]\\]*+(?:\\.[^\]\\]*+)*+\]"
+# Brackets and parentheses count if they pair up.
+_ALT = r"!\[" + _balanced(r"\[", r"[^\[\]\\]++|\\[\s\S]", r"\]", 16) + r"\]"
 _END = r"(?:[ \t]+(?:\"[^\"]*\"|'[^']*'))?[ \t]*\)"
-# A bare destination may hold pairs of parentheses, one level deep.
-_BARE = r"(?:[^\s()<>]|\([^\s()<>]*\))+"
+_BARE = r"(?=[^\s)<>])" + _balanced(r"\(", r"[^\s()<>]++", r"\)", 16)
 _IMAGE = r"(?<!(?<!\\)\\)" + _ALT + r"\([ \t]*(?:<[^>\n]*>|" + _BARE + ")" + _END
 _DEFINITION = r"(?m:^) {0,3}\[[^\]\n]+\]:[ \t]*[^\s<>]+"
-MD_TOKEN = f"{_FENCE}|{_INDENTED}|{_CODE_SPAN}|{_IMAGE}|{_DEFINITION}"
+MD_TOKEN = f"{_INSIDE}|{_FENCE}|{_INDENTED}|{_CODE_SPAN}|{_IMAGE}|{_DEFINITION}"
 _MD_PARTS = f"({_ALT}" + r"\([ \t]*<?)(" + _BARE + r"|(?<=<)[^>\n]+)([\s\S]*)"
 _DEF_PARTS = r"( {0,3}\[([^\]\n]+)\]:[ \t]*)([^\s<>]+)"
 # Images that name a definition: its label, or the text if the label is left out.

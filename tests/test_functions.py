@@ -85,10 +85,23 @@ def test_markdown_images(spark):
         "![a](http://x)![b](httpfoo.png)![c](data:i)![d](../images/x)": "![a](http://x)![b](httpfoo.png)![c](../images/data:i)![d](../images/x)",
         "``a ` ![x](x)`` ![y](y)": "``a ` ![x](x)`` ![y](../images/y)",
         "![open](": "![open](",
+        "![a [b [c]] d](x.png)![a [b](y.png)![\\]](z.png)": "![a [b [c]] d](../images/x.png)![a [b](y.png)![\\]](../images/z.png)",
+        "[![in](in.png)](out.png) ![p](a((1)b(2)).png)": "[![in](../images/in.png)](out.png) ![p](../images/a((1)b(2)).png)",
+        "> ```\n> ![a](a.png)\n> ```\n> ![b](b.png)": "> ```\n> ![a](a.png)\n> ```\n> ![b](../images/b.png)",
+        "> > ~~~\n> > ![a](a.png)\n\n![b](b.png)": "> > ~~~\n> > ![a](a.png)\n\n![b](../images/b.png)",
+        "- ```js\n  ![a](a.png)\n\n  x\n  ```\n  ![b](b.png)": "- ```js\n  ![a](a.png)\n\n  x\n  ```\n  ![b](../images/b.png)",
+        "12. ~~~\n    ![a](a.png)\nend ![b](b.png)": "12. ~~~\n    ![a](a.png)\nend ![b](../images/b.png)",
+        "- ![a](a.png)\n> ![b](b.png)": "- ![a](../images/a.png)\n> ![b](../images/b.png)",
     }
     assert values(spark, list(cases), images.rewrite_markdown_images(F.col("c"), F.lit("images"))) == list(cases.values())
 
 
+def test_deep_brackets_do_not_overflow(spark):
+    texts = ["![" * 20_000, "![" + "[" * 50_000 + "](a.png)", "![a](" + "(" * 50_000, "> ```\n" + "> x\n" * 20_000, "![" + "[" * 12 + "]" * 12 + "](a.png)"]
+    want = [*texts[:4], texts[4].replace("a.png", "../i/a.png")]
+    assert values(spark, texts, images.rewrite_markdown_images(F.col("c"), F.lit("i"))) == want
+
+
 def test_long_alt_text_does_not_overflow(spark):
     alt = "x" * 200_000
     assert values(spark, [f"![{alt}](a.png)"], images.rewrite_markdown_images(F.col("c"), F.lit("i"))) == [f"![{alt}](../i/a.png)"]
