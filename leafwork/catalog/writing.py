@@ -347,40 +347,47 @@ select 'n' || c_nationkey as project_id, case when c_custkey % 2 = 0 then 'c' el
 from customer left join l on o_custkey = c_custkey and c_custkey % 2 = 0
 """
 
-def instance_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First instance of each wanted id, where orders repeat a customer's id."""
-    entries = I.table(spark, sf_dir, "orders").selectExpr(
+# Each priority class of orders is a project.
+_CLASSES = "'1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'"
+
+
+def _ordered_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.table(spark, sf_dir, "orders").selectExpr(
         "o_orderpriority as project_id", "concat('c', o_custkey) as instance_id",
         "concat('order ', o_orderkey) as name", "o_orderkey as ordinal",
     )
-    wanted = I.table(spark, sf_dir, "customer").selectExpr(
-        "'2-HIGH' as project_id", "concat('c', c_custkey) as instance_id"
+
+
+def _wanted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's id in every project."""
+    return I.table(spark, sf_dir, "customer").selectExpr(
+        f"explode(array({_CLASSES})) as project_id", "concat('c', c_custkey) as instance_id"
     )
-    return lookup.find_instances(wanted, entries)
 
 
-INSTANCE_LOOKUP = """
-with f as (select 'c' || o_custkey as i, min(o_orderkey) as k from orders
-           where o_orderpriority = '2-HIGH' group by 1)
-select '2-HIGH' as project_id, 'c' || c_custkey as instance_id, 'order ' || f.k as name, f.k as ordinal, f.k is not null as found
-from customer left join f on f.i = 'c' || c_custkey
+def instance_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First instance of each wanted id in each project, where orders repeat a customer's id."""
+    return lookup.find_instances(_wanted_ids(spark, sf_dir), _ordered_ids(spark, sf_dir))
+
+
+_WANTED = f"wanted as (select unnest([{_CLASSES}]) as project_id, 'c' || c_custkey as instance_id from customer)"
+INSTANCE_LOOKUP = f"""
+with {_WANTED},
+f as (select o_orderpriority as project_id, 'c' || o_custkey as instance_id, min(o_orderkey) as k from orders group by all)
+select project_id, instance_id, 'order ' || f.k as name, f.k as ordinal, f.k is not null as found
+from wanted left join f using (project_id, instance_id)
 """
 
 
 def free_instance_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers whose id no order of their priority class has taken."""
-    taken = I.table(spark, sf_dir, "orders").selectExpr(
-        "o_orderpriority as project_id", "concat('c', o_custkey) as instance_id"
-    )
-    wanted = I.table(spark, sf_dir, "customer").selectExpr(
-        "'1-URGENT' as project_id", "concat('c', c_custkey) as instance_id"
-    )
-    return lookup.unique_ids(wanted, taken)
+    """Customers whose id no order has taken, in each priority class."""
+    return lookup.unique_ids(_wanted_ids(spark, sf_dir), _ordered_ids(spark, sf_dir))
 
 
-FREE_INSTANCE_IDS = """
-select '1-URGENT' as project_id, 'c' || c_custkey as instance_id from customer
-where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')
+FREE_INSTANCE_IDS = f"""
+with {_WANTED}
+select project_id, instance_id from wanted
+where not exists (from orders where o_orderpriority = project_id and 'c' || o_custkey = instance_id)
 """
 
 # Every field a configuration may have, in nested nodes too.
