@@ -7,8 +7,9 @@ of moves share a unit, within which a round finds what each step does to the nex
 
 Two renames are linked only if nobody could tell the difference: the name between them is
 used by these two edits alone, and neither it nor the last name is taken or used before;
-no edit of the tree, or deletion or new instance of the project, lies between them that
-may take nodes or files away, look for free names, change the roots or the start page.
+no new instance comes before them, which might take such a name; no edit of the tree, or
+deletion in the project, lies between them that may take nodes or files away, change the
+roots or the start page.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ LABEL = ("rename", "edit_title")
 _NAMED = (*LABEL, "add_root", "add_child", "add_sibling")
 # What no chain may pass, in its tree and in its project.
 _TREE_WALLS = ("delete", "remove", "add_root", "add_sibling", "move", "set_start", "create_instance", "delete_instance")
-_PROJECT_WALLS = ("delete", "create_instance", "delete_instance")
+_PROJECT_WALLS = ("delete", "delete_instance")
 # What ends a run of moves of one topic.
 _TREE_STEPS = ("delete", "remove", "add_root", "add_child", "add_sibling", "move", *LABEL, "create_instance", "delete_instance")
 
@@ -74,6 +75,8 @@ def _links(pending: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame
     taken = files.select("project_id", F.col("file").alias("name")).unionByName(nodes.select("project_id", F.col("topic").alias("name"))).distinct()
     links = between.join(first, ["project_id", "last", "then"]).join(taken, ["project_id", "name"], "left_anti")
     links = cut_lineage(links.join(taken.withColumnRenamed("name", "last"), ["project_id", "last"], "left_anti").select(*TREE, "seq", "then"))
+    made = pending.where("op = 'create_instance'").groupBy("project_id").agg(F.min("seq").alias("_made"))
+    links = links.join(made, "project_id", "left").where("_made is null or then < _made").drop("_made")
     for keys, walls in ((TREE, _TREE_WALLS), (["project_id"], _PROJECT_WALLS)):
         links = _without_walls(links, pending.where(F.col("op").isin(*walls)), keys)
     return None if links.isEmpty() else links

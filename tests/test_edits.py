@@ -291,3 +291,22 @@ def test_random_chains_equal_the_sequential_model(spark, seed):
     assert pages == {(p, i, *row) for p, m in models.items() for i, row in m.instances.items()}
     contents = {(r.project_id, r.file, r.content) for r in E.materialise(result.corpus.files, topics_df).collect()}
     assert contents == {(p, f, c) for p, m in models.items() for f, c in m.files.items()}
+
+
+def test_new_instances_may_take_the_names_of_a_chain(spark):
+    """The first free name of a new instance is one that a chain of renames goes through."""
+    steps = [
+        ("p", "b", 0, "create_instance", None, None, "c0", None),  # c0.md is taken: c01.md
+        ("p", "a", 1, "rename", "c1.md", None, "T1", "c01.md"), ("p", "a", 2, "rename", "c01.md", None, "T2", "z.md"),
+        ("p", "a", 3, "rename", "c2.md", None, "T3", "y1.md"), ("p", "a", 4, "rename", "y1.md", None, "T4", "y2.md"),
+    ]
+    model = Model(
+        {"a": [{"topic": "r0.md", "title": "r0", "children": [{"topic": f"c{i}.md", "title": f"c{i}", "children": []} for i in range(4)]}, {"topic": "r1.md", "title": "r1", "children": []}]},
+        {"a": ["A", "r0.md"]}, {f: "# x" for f in ("r0.md", "r1.md", "c0.md", "c1.md", "c2.md", "c3.md")},
+    )
+    for e in steps:
+        assert model.apply(e[1], *e[3:]) == "applied"
+    result = E.apply_edits(six_nodes(spark), spark.createDataFrame(steps, EDITS))
+    assert {r.status for r in result.outcomes.collect()} == {"applied"}
+    topics = spark.createDataFrame([("p", f"{c}{i}.md", "# x") for c, n in (("r", 2), ("c", 4)) for i in range(n)], TOPICS)
+    assert {(r.file, r.content) for r in E.materialise(result.corpus.files, topics).collect()} == set(model.files.items())
