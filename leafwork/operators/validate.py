@@ -92,9 +92,10 @@ def violations(configs: DataFrame, dialect: str = "J") -> DataFrame:
     violation (``parse``). Trees deeper than a block of levels are checked in further
     rounds, over what is left of them. JSON that makes no variant is read by its tokens.
     """
-    parsed = configs.select("project_id", F.try_parse_json("content").alias("c"))
+    whole = json_blocks.variant(F.col("content"))
+    parsed = configs.select("project_id", whole.alias("c"))
     beyond = json_blocks.beyond_variants(F.col("content"))
-    none = configs.where(F.try_parse_json("content").isNull() & F.coalesce(~beyond, F.lit(True)))
+    none = configs.where(whole.isNull() & F.coalesce(~beyond, F.lit(True)))
     unread = none.select("project_id", F.lit("").alias("instance_path"), F.lit("parse").alias("keyword"), F.lit("unreadable").alias("detail"))
     others = cut_lineage(configs.where(beyond))
     part = parsed.where("c is not null").select("project_id", F.explode(parts(F.col("c"))).alias("p"))

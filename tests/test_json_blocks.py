@@ -72,7 +72,7 @@ def test_values_by_tokens_equal_the_variant_rules(spark):
         top = some(["schema", "title", "images", "odd"], 0.3) | {"topics": some(["dir", "odd"], 0.4), "instances": [*instances, *rng.sample(values, rng.random() < 0.2)]}
         return top | ({"instances": rng.choice(values)} if rng.random() < 0.1 else {})
 
-    texts = [json.dumps(whole(), indent=rng.choice([None, 1])) for _ in range(400)] + [json.dumps(v) for v in values] + ["", "{", '{"a":}', '{"a":1,}', "[1,]", "[01]", '"a', "nul", "]", '{"a":1]', "[1}", '{"a" 1}', "{1:2}", "[,]", "{,}", '"\\x"', '"a\nb"', "[1 2]", None]
+    texts = [json.dumps(whole(), indent=rng.choice([None, 1])) for _ in range(400)] + [json.dumps(v) for v in values] + ["", "{", '{"a":}', '{"a":1,}', "[1,]", "[01]", '"a', "nul", "]", '{"a":1]', "[1}", "1 2", "{} x", "[] []", "1,2", "null null", '{"a" 1}', "{1:2}", "[,]", "{,}", '"\\x"', '"a\nb"', "[1 2]", None]
     df = spark.createDataFrame(list(enumerate(texts)), "project_id int, content string")
     rows = lambda found: sorted(repr(tuple(r)[:4]) for r in found.collect())
     blocks = json_config.as_blocks(df)
