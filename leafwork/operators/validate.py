@@ -25,9 +25,13 @@ def _items(value: Column) -> Column:
     return F.coalesce(value.try_cast("array<variant>"), F.array().cast("array<variant>"))
 
 
-def _part(at: Column, place: str, value: Column, level: int = -1, rest: Column | None = None) -> Column:
+# Stand for a place in what cannot be read, or not as a variant.
+_UNREAD, _BEYOND = "parse", "beyond"
+
+
+def _part(at: Column, place: str | Column, value: Column, level: int = -1, rest: Column | None = None) -> Column:
     return F.struct(
-        at.alias("at"), F.lit(place).alias("place"), F.lit(level).alias("level"), value.alias("value"),
+        at.alias("at"), (F.lit(place) if isinstance(place, str) else place).alias("place"), F.lit(level).alias("level"), value.alias("value"),
         (F.lit(None).cast("string") if rest is None else rest).alias("rest"),
     )
 
@@ -92,21 +96,21 @@ def violations(configs: DataFrame, dialect: str = "J") -> DataFrame:
     violation (``parse``). Trees deeper than a block of levels are checked in further
     rounds, over what is left of them. JSON that makes no variant is read by its tokens.
     """
-    whole = json_blocks.variant(F.col("content"))
-    parsed = configs.select("project_id", whole.alias("c"))
-    beyond = json_blocks.beyond_variants(F.col("content"))
-    none = configs.where(whole.isNull() & F.coalesce(~beyond, F.lit(True)))
-    unread = none.select("project_id", F.lit("").alias("instance_path"), F.lit("parse").alias("keyword"), F.lit("unreadable").alias("detail"))
-    others = cut_lineage(configs.where(beyond))
-    part = parsed.where("c is not null").select("project_id", F.explode(parts(F.col("c"))).alias("p"))
+    read = json_blocks.parsed(configs)
+    none = F.lit(None).cast("variant")
+    unread = F.array(_part(F.lit(""), F.when(F.col("beyond"), _BEYOND).otherwise(_UNREAD), none))
+    part = read.select("project_id", F.explode(F.when(F.col("c").isNotNull(), parts(F.col("c"))).otherwise(unread)).alias("p"))
     rows = last = cut_lineage(_checked(part.select("project_id", "p.*")))
     while not (open_ := last.where("rest is not null")).isEmpty():
         deeper = _toc_parts(_items(F.try_parse_json("rest")), F.col("instance_path"), 1, forest.LEVELS)
         last = cut_lineage(_checked(open_.select("project_id", F.explode(deeper).alias("p")).select("project_id", "p.*")))
         rows = rows.unionByName(last)
-    found = rows.where("keyword is not null").drop("rest").unionByName(unread)
+    # Contents are parsed once; those that need another way are looked up by their ids.
+    others = rows.where(F.col("keyword") == _BEYOND).select("project_id")
+    found = rows.where(F.col("keyword") != _BEYOND).drop("rest")
     if not others.isEmpty():
-        found = found.unionByName(json_blocks.violations(json_config.as_blocks(others)))
+        texts = configs.join(others, "project_id", "left_semi")
+        found = found.unionByName(json_blocks.violations(json_config.as_blocks(texts)))
     return found.withColumn("dialect", F.lit(dialect))
 
 
@@ -159,7 +163,8 @@ def _checked(part: DataFrame) -> DataFrame:
     # What is no object has no entries.
     bad = F.filter(F.map_entries(value.try_cast("map<string,variant>")), is_bad)
     inside = F.flatten(F.transform(bad, rows_of))
-    found = F.coalesce(inside, F.array(row(at, "type", F.lit("object"))))
+    unread = F.array(F.struct(at.alias("instance_path"), place.alias("keyword"), F.lit("unreadable").alias("detail")))
+    found = F.when(place.isin(_UNREAD, _BEYOND), unread).otherwise(F.coalesce(inside, F.array(row(at, "type", F.lit("object")))))
     listed = F.transform(found, lambda v: v.withField("rest", F.lit(None).cast("string")))
     none = F.lit(None).cast("string")
     more = F.struct(
