@@ -23,6 +23,7 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
+LEAST = 16  # characters that are scored
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
 WORD = r"[A-Za-z0-9+/_=-]{4,}"
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
@@ -128,20 +129,35 @@ def markov_score(token: Column, model: list[float]) -> Column:
     return F.aggregate(F.split(token, ""), zero, step, lambda acc: acc["sum"])
 
 
+def _rest(run: Column, taken: Column) -> Column:
+    """The parts of a run outside the spans it meets that are long enough to be scored."""
+    inside = lambda p: F.exists(taken, lambda b: (b["start"] <= p) & (p < b["end"]))
+    starts = F.array_distinct(F.concat(F.array(run["start"]), F.transform(taken, lambda b: b["end"])))
+
+    def part(p: Column) -> Column:
+        after = F.transform(F.filter(taken, lambda b: b["start"] >= p), lambda b: b["start"])
+        end = F.coalesce(F.array_min(after), run["end"])
+        value = F.substring(run["value"], p - run["start"] + 1, end - p)
+        return F.struct(p.alias("start"), run["kind"].alias("kind"), end.alias("end"), value.alias("value"))
+
+    parts = F.transform(F.filter(starts, lambda p: (p < run["end"]) & ~inside(p)), part)
+    return F.filter(parts, lambda s: s["end"] - s["start"] >= LEAST)
+
+
 def find_secrets(
     docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text", threshold: float = 12.0
 ) -> DataFrame:
     """``doc_id, base, spans`` per row: arrays of (start, kind, end, value).
 
     ``kind`` is a position in ``KINDS``; places are code points, the end exclusive.
-    Spans found by the models never overlap those of the fixed patterns. Null and
-    empty texts have no spans; repeated rows give repeated rows, an empty table none.
+    Spans found by the models never overlap those of the fixed patterns: a run that does
+    is cut, and what is long enough of it is scored. Null and empty texts have no spans;
+    repeated rows give repeated rows, an empty table none.
     """
     found = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    found = found.withColumn("base", base_spans(F.col("_text"))).withColumn("_runs", _spans(F.col("_text"), RUN, 3, 0, 16))
-    free = F.filter(
-        "_runs", lambda r: ~F.exists(F.col("base"), lambda s: (s["start"] < r["end"]) & (r["start"] < s["end"]))
-    )
+    found = found.withColumn("base", base_spans(F.col("_text"))).withColumn("_runs", _spans(F.col("_text"), RUN, 3, 0, LEAST))
+    overlaps = lambda r: F.filter("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
+    free = F.flatten(F.transform("_runs", lambda r: F.when(F.size(overlaps(r)) == 0, F.array(r)).otherwise(_rest(r, overlaps(r)))))
     random = F.filter(free, lambda r: markov_score(r["value"], model) >= threshold)
     return found.select("doc_id", "base", F.array_sort(F.concat("base", random)).alias("spans"))
 
