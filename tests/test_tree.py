@@ -110,6 +110,30 @@ def test_instance_id_suggestions(spark):
     assert got == {1: "md1", 2: "md123", 3: "x", 4: "md"}
 
 
+def test_many_instance_ids_are_kept_as_numbers(spark, monkeypatch):
+    """Names grow with the numbers before them; none is written, and stems that meet are told apart."""
+    written = []
+    cut = naming.cut_lineage
+    monkeypatch.setattr(naming, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    asked = [(i % 2 and "p" or "q", i, ("a", "a1", "a12", "b9", "a12345678910")[i * 7 % 5]) for i in range(400)]
+    used = {("p", "a1"), ("p", "a123"), ("q", "a12"), ("q", "b9123456")}
+    suffix = lambda n: "".join(map(str, range(1, n + 1)))
+    taken, expected = set(used), []
+    for project, seq, wanted in asked:
+        n = 0
+        while (project, wanted + suffix(n)) in taken:
+            n += 1
+        taken.add((project, wanted + suffix(n)))
+        expected.append((project, seq, wanted + suffix(n)))
+    got = naming.unique_instance_ids(
+        spark.createDataFrame(asked, "project_id string, seq long, wanted_id string"),
+        spark.createDataFrame(sorted(used), "project_id string, instance_id string"),
+    )
+    assert sorted((r.project_id, r.seq, r.instance_id) for r in got.collect()) == sorted(expected)
+    longest = [df.agg(*[F.coalesce(F.max(F.length(c)), F.lit(0)) for c, kind in df.dtypes if kind == "string"]).first() for df in written]
+    assert max(max(row) for row in longest) <= 64 < max(len(name) for _, _, name in expected)
+
+
 def test_wanted_nodes_are_found_in_either_order(spark):
     nodes = nodes_of(spark, [([0], "a"), ([0, 0], "t"), ([1], "t"), ([2], "b")])
     wanted = spark.createDataFrame([("p", "i", "t"), ("p", "i", "none")], "project_id string, instance_id string, topic string")
