@@ -114,3 +114,16 @@ def test_a_configuration_in_blocks_is_read_as_it_was_written(spark):
     assert rows(json_config.projects(json_blocks.tops(values)), *folders.columns) == rows(folders, *folders.columns)
     assert json_blocks.violations(values).count() == 0
     assert json_blocks.readability(values).where("not readable").count() == 0
+
+
+def test_trees_are_walked_once_for_all_tables(spark, monkeypatch):
+    walked = []
+    walk = json_blocks.tree.from_parents
+    monkeypatch.setattr(json_blocks.tree, "from_parents", lambda edges: walked.append(1) or walk(edges))
+    text = '{"instances":[{"id":"i","name":"n","toc-elements":[{"topic":"a","children":[{"topic":"b"}]}]}]}'
+    head, rest = text.split('"toc', 1)
+    values = json_blocks.values(spark.createDataFrame([("p", 0, head), ("p", 1, f'"toc{rest}')], "project_id string, block int, content string"))
+    assert [(r.node_path, r.topic) for r in json_blocks.nodes(values, []).orderBy("node_path").collect()] == [([0], "a"), ([0, 0], "b")]
+    assert [(r.ordinal, r.id, r.name) for r in json_blocks.instances(values).collect()] == [(0, "i", "n")]
+    assert json_blocks.readability(values).first().readable and json_blocks.violations(values).count() == 0
+    assert len(walked) == 1
