@@ -1,8 +1,8 @@
 """Registered queries: corpora of files, written from the given tables and read back.
 
 Twenty documents make a project; even projects have a JSON configuration, odd ones a
-module file with one tree file. Spark names the files it writes, so trees and modules
-are written after the names of what they mention are known.
+module file with one tree file. Trees and modules name the files that are found in the
+folders, so they are written after these.
 """
 
 from __future__ import annotations
@@ -14,67 +14,70 @@ from pyspark.sql import functions as F
 
 from leafwork.catalog import inputs as I
 from leafwork.plans.open_projects import open_projects
-from leafwork.session import scratch_folder
+from leafwork.session import cut_lineage, scratch_folder, small_files
+from leafwork.sinks.named_files import write_files
 from leafwork.sources import files, json_config, xml_config
 
 _PROJECT = "concat('p', doc_id div 20)"
-_JSON = "doc_id div 20 % 2 = 0"
 
 
 def _write(rows: DataFrame, folder: str, *parts: str) -> None:
-    """One file for each row, in a folder for each of ``parts``."""
-    rows.select(*parts, "content").repartition(*parts).write.partitionBy(*parts).mode("append").text(folder)
+    """One file for each row, at the path that ``parts`` make, columns or texts."""
+    # A project without a name has the folder that Spark gives it.
+    steps = [F.coalesce(F.col(p), F.lit("__HIVE_DEFAULT_PARTITION__")) if p in rows.columns else F.lit(p) for p in parts]
+    write_files(rows.select(F.concat(F.lit("project="), F.concat_ws("/", *steps)).alias("path"), "content"), folder)
 
 
 def _written(spark: SparkSession, sf_dir: str) -> str:
-    """The folder of a corpus: ``project=…/docs=md/file=…/`` for topics, ``project=…/`` for
+    """The folder of a corpus: ``project=…/docs=md/`` for topics, ``project=…/`` for
     configurations, ``project=…/tree=t/`` for tree files. Every fourth topic is in no tree."""
     folder = f"{scratch_folder(spark)}/corpus-{uuid.uuid4().hex}"
-    docs = I.documents(spark, sf_dir).selectExpr("doc_id", f"{_PROJECT} as project", "'md' as docs", f"{I.TOPIC} as file", f"{I.CONTENT} as content", f"{_JSON} as is_json")
-    _write(docs, folder, "project", "docs", "file")
-    topics = files.list_files(spark, f"{folder}/*/docs=md/*/*").select(
+    docs = I.documents(spark, sf_dir).selectExpr(f"{_PROJECT} as project", f"{I.TOPIC} as file", f"{I.CONTENT} as content")
+    _write(docs, folder, "project", "docs=md", "file")
+    topics = files.list_files(spark, f"{folder}/project=*/docs=md").select(
         F.regexp_extract("path", r"/project=([^/]*)/", 1).alias("project"),
         F.regexp_extract("path", r"/docs=md/(.*)\z", 1).alias("topic"),
-        F.regexp_extract("path", r"doc-([0-9]+)[.]md/", 1).cast("long").alias("doc_id"),
+        F.regexp_extract("path", r"doc-([0-9]+)[.]md\z", 1).cast("long").alias("doc_id"),
     ).where("doc_id % 4 != 3")
-    listed = topics.groupBy("project").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "topic"))), lambda t: t["topic"]).alias("topics"))
+    listed = cut_lineage(topics.groupBy("project").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "topic"))), lambda t: t["topic"]).alias("topics")))
     even = F.expr("substr(project, 2) % 2 = 0")
     nodes = F.transform("topics", lambda t: F.struct(t.alias("topic")))
     config = F.struct(
         F.struct(F.lit("docs=md").alias("dir")).alias("topics"),
         F.array(F.struct(F.col("project").alias("id"), F.lit("n").alias("name"), nodes.alias("toc-elements"))).alias("instances"),
     )
-    _write(listed.where(even).select("project", F.to_json(config).alias("content")), folder, "project")
+    _write(listed.where(even).select("project", F.to_json(config).alias("content")), folder, "project", "config.txt")
     elements = F.array_join(F.transform("topics", lambda t: F.concat(F.lit('<toc-element topic="'), t, F.lit('"/>'))), "")
     profile = F.concat(F.lit('<instance-profile id="'), "project", F.lit('">'), elements, F.lit("</instance-profile>"))
-    _write(listed.where(~even).select("project", F.lit("t").alias("tree"), profile.alias("content")), folder, "project", "tree")
-    src = files.list_files(spark, f"{folder}/*/tree=t/*").select(
+    _write(listed.where(~even).select("project", profile.alias("content")), folder, "project", "tree=t", "tree.txt")
+    src = files.list_files(spark, f"{folder}/project=*/tree=t").select(
         F.regexp_extract("path", r"/project=([^/]*)/", 1).alias("project"), F.regexp_extract("path", r"/(tree=t/.*)\z", 1).alias("src")
     )
     module = F.concat(F.lit('<ihp version="2.0"><topics dir="docs=md"/><instance src="'), "src", F.lit('"/></ihp>'))
-    _write(src.select("project", module.alias("content")), folder, "project")
+    _write(src.select("project", module.alias("content")), folder, "project", "module.txt")
     return folder
 
 
 def _configs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """JSON and module configurations: both lie in the project's folder here."""
-    every = files.read_json_configs(spark, f"{folder}/project=*/*.txt")
+    every = cut_lineage(files.read_json_configs(spark, f"{folder}/project=*/*.txt"))
     return every.where("content like '{%'"), every.where("content like '<%'")
 
 
 def files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A corpus written as files, read back and opened: every node with its title."""
-    folder = _written(spark, sf_dir)
-    json_side, xml_side = _configs(spark, folder)
-    trees = files.read_tree_files(spark, f"{folder}/project=*/tree=t/*")
-    folders = json_config.projects(json_side).unionByName(xml_config.projects(xml_side))
-    topics = files.read_topics(spark, f"{folder}/project=*/docs=md/*/*", folders)
-    opened = open_projects(json_side.select("project_id", "content"), xml_side.select("project_id", "content"), trees, topics)
-    return opened.nodes.select(
-        F.regexp_extract("project_id", r"project=([^/]*)\z", 1).alias("project_id"), "instance_id", "dialect",
-        F.col("node_path")[0].alias("ordinal"), F.regexp_extract("topic", r"file=([^/]*)/", 1).alias("file"),
-        F.regexp_replace("title", r"\A<.*>\z", "-").alias("title"),
-    )
+    with small_files(spark):
+        folder = _written(spark, sf_dir)
+        json_side, xml_side = _configs(spark, folder)
+        trees = cut_lineage(files.read_tree_files(spark, f"{folder}/project=*/tree=t"))
+        folders = json_config.projects(json_side).unionByName(xml_config.projects(xml_side))
+        topics = files.read_topics(spark, f"{folder}/project=*/docs=md", folders)
+        opened = open_projects(json_side.select("project_id", "content"), xml_side.select("project_id", "content"), trees, topics)
+        return cut_lineage(opened.nodes.select(
+            F.regexp_extract("project_id", r"project=([^/]*)\z", 1).alias("project_id"), "instance_id", "dialect",
+            F.col("node_path")[0].alias("ordinal"), F.col("topic").alias("file"),
+            F.regexp_replace("title", r"\A<.*>\z", "-").alias("title"),
+        ))
 
 
 FILES_ROUNDTRIP = f"""
@@ -88,14 +91,14 @@ from documents where doc_id % 4 <> 3
 
 def pruned_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of the topics that the JSON projects' trees name; other files are not opened."""
-    folder = _written(spark, sf_dir)
-    json_side, _ = _configs(spark, folder)
-    named = json_config.nodes(json_side).select("project_id", F.col("topic").alias("file"))
-    titles = files.read_titles(spark, f"{folder}/project=*/docs=md/*/*", json_config.projects(json_side), named)
-    return titles.select(
-        F.regexp_extract("project_id", r"project=([^/]*)\z", 1).alias("project_id"),
-        F.regexp_extract("file", r"file=([^/]*)/", 1).alias("file"), "title",
-    )
+    with small_files(spark):
+        folder = _written(spark, sf_dir)
+        json_side, _ = _configs(spark, folder)
+        named = json_config.nodes(json_side).select("project_id", F.col("topic").alias("file"))
+        titles = files.read_titles(spark, f"{folder}/project=*/docs=md", json_config.projects(json_side), named)
+        return cut_lineage(titles.select(
+            F.regexp_extract("project_id", r"project=([^/]*)\z", 1).alias("project_id"), "file", "title",
+        ))
 
 
 PRUNED_TITLES = f"""

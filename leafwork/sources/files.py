@@ -32,10 +32,11 @@ def read_files(spark: SparkSession, glob: str | list[str]) -> DataFrame:
 
 
 def list_files(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, address) of every file, without reading any."""
+    """(path, address) of every file, without reading any: a few tasks for each core do."""
     address = F.col("path")
     plain = F.regexp_replace(address, r"\A[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
-    return spark.read.format("binaryFile").load(glob).select(plain.alias("path"), address.alias("address"))
+    found = spark.read.format("binaryFile").load(glob).select(plain.alias("path"), address.alias("address"))
+    return found.coalesce(4 * spark.sparkContext.defaultParallelism)
 
 
 def read_listed(spark: SparkSession, files: DataFrame, batch: int = 50_000) -> DataFrame:
@@ -109,5 +110,6 @@ def read_topics(spark: SparkSession, glob: str, projects: DataFrame) -> DataFram
 
     For what writes contents; titles alone are read by :func:`read_titles`.
     """
-    files = read_files(spark, glob)
-    return _owners(files.select("path"), projects).join(files, "path").select("project_id", "file", "content")
+    # Owners are found from a listing: files are opened once, for what they hold.
+    owned = _owners(list_files(spark, glob).select("path"), projects)
+    return owned.join(read_files(spark, glob), "path").select("project_id", "file", "content")

@@ -3,10 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from leafwork.catalog import corpora
 from leafwork.operators import lookup, validate
 from leafwork.plans.open_projects import Opened, open_projects
 from leafwork.session import cut_lineage
-from leafwork.sinks import documents, topics as topic_sinks
+from leafwork.sinks import documents, named_files, topics as topic_sinks
 from leafwork.sources import files, json_config, xml_config
 
 TREE = """<?xml version="1.0" encoding="UTF-8"?>
@@ -292,3 +293,37 @@ def test_topic_files(spark):
     assert {r.seq: r.created for r in topic_sinks.create_results(asked, topics).collect()} == {1: False, 2: True, 3: False}
     renames = spark.createDataFrame([("p", "a.md", "b.md", 1), ("p", "b.md", "c.md", 2)], "project_id string, file string, new_file string, seq long")
     assert {(r.file, r.content) for r in topic_sinks.rename_files(topics, renames).collect()} == {("a.md", "A"), ("c.md", "B")}
+
+
+def test_files_get_names_of_their_own(spark, tmp_path):
+    rows = [("p/a b+%.md", "# A\nü"), ("p/empty.md", ""), ("q/none.md", None), ("p/twice.md", "one"), ("p/twice.md", "two")]
+    target = f"file:{tmp_path}/cor pus"
+    named_files.write_files(spark.createDataFrame(rows, "path string, content string").repartition(3), target)
+    found = {str(f.relative_to(tmp_path / "cor pus")): f.read_bytes().decode() for f in (tmp_path / "cor pus").rglob("*") if f.is_file()}
+    assert sorted(found.pop("p/twice.md").split("\n")) == ["", "one", "two"]
+    assert found == {"p/a b+%.md": "# A\nü\n", "p/empty.md": "\n", "q/none.md": "\n"}
+    named_files.write_files(spark.createDataFrame([], "path string, content string"), target)
+    assert not [f for f in (tmp_path / "cor pus").iterdir() if f.name.startswith(".")]
+
+
+def test_a_corpus_has_one_plain_file_for_each_topic(spark, tmp_path, monkeypatch):
+    rows = [(i, f"Text {i}") for i in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpora, "scratch_folder", lambda _: f"file:{tmp_path}/scratch")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    assert corpora.files_roundtrip(spark, str(tmp_path)).count() == 75
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    paths = ["/".join(f.parts[-3:]) for f in (tmp_path / "scratch").rglob("*.md")]
+    assert sorted(paths) == sorted(f"project=p{i // 20}/docs=md/doc-{i}.md" for i, _ in rows)
+    # No checksum, folder or marker of its own for a file.
+    everything = [f for f in (tmp_path / "scratch").rglob("*") if f.is_file()]
+    assert len(everything) == 100 + 3 + 2 * 2
+
+
+def test_topics_are_opened_once(spark, tmp_path):
+    put(tmp_path / "p/topics/a.md", "# A")
+    folders = spark.createDataFrame([(f"{tmp_path}/p", None)], "project_id string, topics_dir string")
+    topics = files.read_topics(spark, f"{tmp_path}/p/topics/*.md", folders)
+    assert [(r.file, r.content) for r in topics.collect()] == [("a.md", "# A")]
+    plan = topics._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "text" in line.split("Relation")[1] for line in plan.splitlines()) == 1
