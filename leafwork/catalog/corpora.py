@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork.catalog import inputs as I
+from leafwork.functions import text as X
 from leafwork.plans.open_projects import open_projects
 from leafwork.session import cut_lineage, scratch_folder, small_files
 from leafwork.sinks.named_files import write_files
@@ -72,7 +73,10 @@ def files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         trees = cut_lineage(files.read_tree_files(spark, f"{folder}/project=*/tree=t"))
         folders = json_config.projects(json_side).unionByName(xml_config.projects(xml_side))
         topics = files.read_topics(spark, f"{folder}/project=*/docs=md", folders)
-        opened = open_projects(json_side.select("project_id", "content"), xml_side.select("project_id", "content"), trees, topics)
+        titles = cut_lineage(topics.select("project_id", "file", X.heading(F.col("content")).alias("title")))
+        # The driver lets go of the files' addresses.
+        del topics
+        opened = open_projects(json_side.select("project_id", "content"), xml_side.select("project_id", "content"), trees, titles)
         return cut_lineage(opened.nodes.select(
             F.regexp_extract("project_id", r"project=([^/]*)\z", 1).alias("project_id"), "instance_id", "dialect",
             F.col("node_path")[0].alias("ordinal"), F.col("topic").alias("file"),

@@ -97,8 +97,10 @@ def read_titles(spark: SparkSession, glob: str, projects: DataFrame, named: Data
     folders are listed first, and files that no tree names are not opened.
     """
     if named is not None:
-        owned = _owners(list_files(spark, glob), projects).join(named, ["project_id", "file"], "left_semi")
-        chosen = cut_lineage(owned.select("project_id", "file", "path", "address"))
+        # No name is kept for the listing: the driver holds its files only until it is cut.
+        chosen = cut_lineage(
+            _owners(list_files(spark, glob), projects).join(named, ["project_id", "file"], "left_semi").select("project_id", "file", "path", "address")
+        )
         titled = read_listed(spark, chosen.select("address").distinct()).select("path", X.heading(F.col("content")).alias("title"))
         return chosen.join(titled, "path").select("project_id", "file", "title")
     titled = read_files(spark, glob).select("path", X.heading(F.col("content")).alias("title"))
@@ -110,6 +112,7 @@ def read_topics(spark: SparkSession, glob: str, projects: DataFrame) -> DataFram
 
     For what writes contents; titles alone are read by :func:`read_titles`.
     """
-    # Owners are found from a listing: files are opened once, for what they hold.
-    owned = _owners(list_files(spark, glob).select("path"), projects)
+    # Owners are found from a listing, which the driver need not hold while files are read;
+    # files are opened once, for what they hold.
+    owned = cut_lineage(_owners(list_files(spark, glob).select("path"), projects))
     return owned.join(read_files(spark, glob), "path").select("project_id", "file", "content")
