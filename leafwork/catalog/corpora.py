@@ -8,6 +8,7 @@ folders, so they are written after these.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from leafwork.sinks.named_files import write_files
 from leafwork.sources import files, json_config, xml_config
 
 _PROJECT = "concat('p', doc_id div 20)"
+_AT_ONCE = 50_000  # topics, about, whose addresses the driver holds at a time
 
 
 def _write(rows: DataFrame, folder: str, *parts: str) -> None:
@@ -29,18 +31,34 @@ def _write(rows: DataFrame, folder: str, *parts: str) -> None:
     write_files(rows.select(F.concat(F.lit("project="), F.concat_ws("/", *steps)).alias("path"), "content"), folder)
 
 
-def _written(spark: SparkSession, sf_dir: str) -> str:
-    """The folder of a corpus: ``project=…/docs=md/`` for topics, ``project=…/`` for
+def _globs(docs: DataFrame, folder: str) -> list[str]:
+    """Globs that have each project's topics folder once: by how the projects' names end."""
+    n, k = docs.count(), 0
+    while _AT_ONCE * 10**k < n:
+        k += 1
+    if not k:
+        return [f"{folder}/project=*/docs=md"]
+    ends = docs.selectExpr(f"coalesce(right(project, {k}), '__') as e").distinct().collect()
+    return sorted(f"{folder}/project=*{r['e']}/docs=md" for r in ends)
+
+
+def _written(spark: SparkSession, sf_dir: str) -> tuple[str, list[str]]:
+    """The folder of a corpus, and globs of its topics: ``project=…/docs=md/`` for topics, ``project=…/`` for
     configurations, ``project=…/tree=t/`` for tree files. Every fourth topic is in no tree."""
     folder = f"{scratch_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = I.documents(spark, sf_dir).selectExpr(f"{_PROJECT} as project", f"{I.TOPIC} as file", f"{I.CONTENT} as content")
     _write(docs, folder, "project", "docs=md", "file")
-    topics = files.list_files(spark, f"{folder}/project=*/docs=md").select(
-        F.regexp_extract("path", r"/project=([^/]*)/", 1).alias("project"),
-        F.regexp_extract("path", r"/docs=md/(.*)\z", 1).alias("topic"),
-        F.regexp_extract("path", r"doc-([0-9]+)[.]md\z", 1).cast("long").alias("doc_id"),
-    ).where("doc_id % 4 != 3")
-    listed = cut_lineage(topics.groupBy("project").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "topic"))), lambda t: t["topic"]).alias("topics")))
+    globs = _globs(docs, folder)
+
+    def listing(glob: str) -> DataFrame:
+        topics = files.list_files(spark, glob).select(
+            F.regexp_extract("path", r"/project=([^/]*)/", 1).alias("project"),
+            F.regexp_extract("path", r"/docs=md/(.*)\z", 1).alias("topic"),
+            F.regexp_extract("path", r"doc-([0-9]+)[.]md\z", 1).cast("long").alias("doc_id"),
+        ).where("doc_id % 4 != 3")
+        return topics.groupBy("project").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "topic"))), lambda t: t["topic"]).alias("topics"))
+
+    listed = reduce(DataFrame.unionByName, [cut_lineage(listing(glob)) for glob in globs])
     even = F.expr("substr(project, 2) % 2 = 0")
     nodes = F.transform("topics", lambda t: F.struct(t.alias("topic")))
     config = F.struct(
@@ -56,7 +74,7 @@ def _written(spark: SparkSession, sf_dir: str) -> str:
     )
     module = F.concat(F.lit('<ihp version="2.0"><topics dir="docs=md"/><instance src="'), "src", F.lit('"/></ihp>'))
     _write(src.select("project", module.alias("content")), folder, "project", "module.txt")
-    return folder
+    return folder, globs
 
 
 def _configs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -68,14 +86,12 @@ def _configs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 def files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A corpus written as files, read back and opened: every node with its title."""
     with small_files(spark):
-        folder = _written(spark, sf_dir)
+        folder, globs = _written(spark, sf_dir)
         json_side, xml_side = _configs(spark, folder)
         trees = cut_lineage(files.read_tree_files(spark, f"{folder}/project=*/tree=t"))
-        folders = json_config.projects(json_side).unionByName(xml_config.projects(xml_side))
-        topics = files.read_topics(spark, f"{folder}/project=*/docs=md", folders)
-        titles = cut_lineage(topics.select("project_id", "file", X.heading(F.col("content")).alias("title")))
-        # The driver lets go of the files' addresses.
-        del topics
+        folders = cut_lineage(json_config.projects(json_side).unionByName(xml_config.projects(xml_side)))
+        title = X.heading(F.col("content")).alias("title")
+        titles = reduce(DataFrame.unionByName, [cut_lineage(files.read_topics(spark, glob, folders).select("project_id", "file", title)) for glob in globs])
         opened = open_projects(json_side.select("project_id", "content"), xml_side.select("project_id", "content"), trees, titles)
         return cut_lineage(opened.nodes.select(
             F.regexp_extract("project_id", r"project=([^/]*)\z", 1).alias("project_id"), "instance_id", "dialect",
@@ -96,13 +112,12 @@ from documents where doc_id % 4 <> 3
 def pruned_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of the topics that the JSON projects' trees name; other files are not opened."""
     with small_files(spark):
-        folder = _written(spark, sf_dir)
+        folder, globs = _written(spark, sf_dir)
         json_side, _ = _configs(spark, folder)
-        named = json_config.nodes(json_side).select("project_id", F.col("topic").alias("file"))
-        titles = files.read_titles(spark, f"{folder}/project=*/docs=md", json_config.projects(json_side), named)
-        return cut_lineage(titles.select(
-            F.regexp_extract("project_id", r"project=([^/]*)\z", 1).alias("project_id"), "file", "title",
-        ))
+        named = cut_lineage(json_config.nodes(json_side).select("project_id", F.col("topic").alias("file")))
+        folders = cut_lineage(json_config.projects(json_side))
+        titles = reduce(DataFrame.unionByName, [cut_lineage(files.read_titles(spark, glob, folders, named)) for glob in globs])
+        return titles.select(F.regexp_extract("project_id", r"project=([^/]*)\z", 1).alias("project_id"), "file", "title")
 
 
 PRUNED_TITLES = f"""

@@ -327,3 +327,15 @@ def test_topics_are_opened_once(spark, tmp_path):
     assert [(r.file, r.content) for r in topics.collect()] == [("a.md", "# A")]
     plan = topics._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Relation" in line and "text" in line.split("Relation")[1] for line in plan.splitlines()) == 1
+
+
+def test_a_large_corpus_is_listed_in_parts(spark, tmp_path, monkeypatch):
+    rows = [(i, f"Text {i}") for i in range(240)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpora, "_AT_ONCE", 20)
+    docs = spark.createDataFrame([(f"p{i // 20}",) for i, _ in rows], "project string")
+    assert corpora._globs(docs, "f") == sorted([f"f/project=*p{i}/docs=md" for i in range(10)] + [f"f/project=*{i}/docs=md" for i in (10, 11)])
+    monkeypatch.setattr(corpora, "_AT_ONCE", 200)
+    found = corpora.pruned_titles(spark, str(tmp_path)).collect()
+    want = {(f"p{i // 20}", f"doc-{i}.md") for i, _ in rows if i % 4 != 3 and i // 20 % 2 == 0}
+    assert len(found) == len(want) and {(r.project_id, r.file) for r in found} == want
