@@ -18,14 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _store(folder: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a folder, and the folder's path there."""
-    local = re.match(r"file:/*(/.*)", folder)
-    if local or folder.startswith("/"):
-        return fs.LocalFileSystem(), local[1] if local else folder
-    return fs.FileSystem.from_uri(folder)
-
-
 def write_files(rows: DataFrame, folder: str) -> None:
     """Write ``rows`` (path, content) as files at ``path`` below ``folder``.
 
@@ -35,10 +27,18 @@ def write_files(rows: DataFrame, folder: str) -> None:
     run again or twice. ``folder`` is one that pyarrow reaches from every executor: local,
     HDFS or an object store.
     """
+
+    def store_of(folder: str) -> tuple[fs.FileSystem, str]:
+        # Within, as tasks then need not import this module.
+        local = re.match(r"file:/*(/.*)", folder)
+        if local or folder.startswith("/"):
+            return fs.LocalFileSystem(), local[1] if local else folder
+        return fs.FileSystem.from_uri(folder)
+
     staged = f".staged-{uuid.uuid4().hex}"
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _store(folder)
+        store, root = store_of(folder)
         home, n = f"{staged}/{uuid.uuid4().hex}", 0
         store.create_dir(f"{root}/{home}", recursive=True)
         for batch in batches:
@@ -52,7 +52,7 @@ def write_files(rows: DataFrame, folder: str) -> None:
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(parts, pa.string())], names=["path", "part"])
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _store(folder)
+        store, root = store_of(folder)
         pairs = (pair for batch in batches for pair in zip(batch.column("path").to_pylist(), batch.column("part").to_pylist(), strict=True))
         made, n = None, 0
         for path, same in groupby(pairs, key=itemgetter(0)):
@@ -80,6 +80,6 @@ def write_files(rows: DataFrame, folder: str) -> None:
 
     parts = rows.select("path", F.col("content").cast("binary")).mapInArrow(stage, "path string, part string")
     parts.repartition("path").sortWithinPartitions("path").mapInArrow(name, "n long").agg(F.sum("n")).collect()
-    store, root = _store(folder)
+    store, root = store_of(folder)
     if store.get_file_info(f"{root}/{staged}").type == fs.FileType.Directory:
         store.delete_dir(f"{root}/{staged}")
