@@ -21,7 +21,7 @@ from leafwork.sinks.named_files import write_files
 from leafwork.sources import files, json_config, xml_config
 
 _PROJECT = "concat('p', doc_id div 20)"
-_AT_ONCE = 50_000  # topics, about, whose addresses the driver holds at a time
+_AT_ONCE = 50_000  # topics, about, whose addresses the driver holds at a time where Spark lists them
 
 
 def _write(rows: DataFrame, folder: str, *parts: str) -> None:
@@ -48,7 +48,8 @@ def _written(spark: SparkSession, sf_dir: str) -> tuple[str, list[str]]:
     folder = f"{scratch_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = I.documents(spark, sf_dir).selectExpr(f"{_PROJECT} as project", f"{I.TOPIC} as file", f"{I.CONTENT} as content")
     _write(docs, folder, "project", "docs=md", "file")
-    globs = _globs(docs, folder)
+    whole = f"{folder}/project=*/docs=md"
+    globs = [whole] if files.in_tasks(spark, whole) else _globs(docs, folder)
 
     def listing(glob: str) -> DataFrame:
         topics = files.list_files(spark, glob).select(

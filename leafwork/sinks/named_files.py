@@ -79,7 +79,10 @@ def write_files(rows: DataFrame, folder: str) -> None:
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
     parts = rows.select("path", F.col("content").cast("binary")).mapInArrow(stage, "path string, part string")
-    parts.repartition("path").sortWithinPartitions("path").mapInArrow(name, "n long").agg(F.sum("n")).collect()
+    # Names are small, and would be coalesced into few tasks.
+    spark = rows.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts.repartition(tasks, "path").sortWithinPartitions("path").mapInArrow(name, "n long").agg(F.sum("n")).collect()
     store, root = store_of(folder)
     if store.get_file_info(f"{root}/{staged}").type == fs.FileType.Directory:
         store.delete_dir(f"{root}/{staged}")

@@ -1,5 +1,7 @@
 """Projects on disk: reading, detection, validation, writing and reading back."""
 
+import gzip
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -339,3 +341,28 @@ def test_a_large_corpus_is_listed_in_parts(spark, tmp_path, monkeypatch):
     found = corpora.pruned_titles(spark, str(tmp_path)).collect()
     want = {(f"p{i // 20}", f"doc-{i}.md") for i, _ in rows if i % 4 != 3 and i // 20 % 2 == 0}
     assert len(found) == len(want) and {(r.project_id, r.file) for r in found} == want
+
+
+def test_many_files_are_listed_and_opened_in_tasks(spark, tmp_path, monkeypatch):
+    for n, name in enumerate(["p/t/a b+%25.md", "p/t/_no.md", "p/t/.no.md", "p/t/_yes=1.md", "q/t/ü.md", "q/t/sub/deep.md", ".r/t/x.md", "_s/t/y.txt", "q/u/z.md", "a.md"]):
+        put(tmp_path / name, f"# {n}\n")
+    put(tmp_path / "p/t/empty.md", "")
+    (tmp_path / "q/t/latin.md").write_bytes(b"# \xe9\r\n")
+    (tmp_path / "q/t/gone.md").symlink_to(tmp_path / "nowhere")
+    told = lambda df: sorted(map(tuple, df.select("path", F.col("content").cast("binary")).collect()))
+    assert not any(files.in_tasks(spark, f"{tmp_path}/{glob}") for glob in ("p/t", "*/../t", "[pq]/*", "{p,q}/*", "*/?.md"))
+    assert not files.in_tasks(spark, "viewfs://store/*/t")
+    monkeypatch.setattr(files, "_FEW", 0)
+    for glob in ("*/t", "*/t/*.md", "*/*/*", "*", "q/*/z.md"):
+        scanned, got = files._scanned(spark, f"{tmp_path}/{glob}"), files.read_files(spark, f"file:{tmp_path}/{glob}")
+        assert told(got) == told(scanned) and not got.inputFiles()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.read_files(spark, f"{tmp_path}/*/absent")
+    # A topic of two projects is read for both; a packed one is left to Spark.
+    folders = spark.createDataFrame([(f"{tmp_path}/q", "t"), (f"{tmp_path}", "q/t"), (f"{tmp_path}/p", "t")], "project_id string, topics_dir string")
+    topics = files.read_topics(spark, f"{tmp_path}/*/t/*.md", folders)
+    assert not topics.inputFiles()
+    assert sorted((r.file, r.content) for r in topics.collect() if "ü" in r.file) == [("ü.md", "# 4\n"), ("ü.md", "# 4\n")]
+    (tmp_path / "p/t/z.md.gz").write_bytes(gzip.compress(b"# packed"))
+    assert ("# packed",) in [(r.content,) for r in files.read_files(spark, f"{tmp_path}/p/t/*").collect()]
+    assert sum(r.content == "# packed" for r in files.read_topics(spark, f"{tmp_path}/*/t/*", folders).collect()) == 1
