@@ -249,7 +249,11 @@ def read_titles(spark: SparkSession, glob: str, projects: DataFrame, named: Data
         chosen = cut_lineage(
             _owners(list_files(spark, glob), projects).join(named, ["project_id", "file"], "left_semi").select("project_id", "file", "path", "address")
         )
-        titled = read_listed(spark, chosen.select("address").distinct()).select("path", X.heading(F.col("content")).alias("title"))
+        title = X.heading(F.col("content")).alias("title")
+        opened = _opened(chosen)
+        if opened is not None:
+            return opened.select("project_id", "file", title)
+        titled = read_listed(spark, chosen.select("address").distinct()).select("path", title)
         return chosen.join(titled, "path").select("project_id", "file", "title")
     titled = read_files(spark, glob).select("path", X.heading(F.col("content")).alias("title"))
     return _owners(titled, projects).select("project_id", "file", "title")

@@ -366,3 +366,14 @@ def test_many_files_are_listed_and_opened_in_tasks(spark, tmp_path, monkeypatch)
     (tmp_path / "p/t/z.md.gz").write_bytes(gzip.compress(b"# packed"))
     assert ("# packed",) in [(r.content,) for r in files.read_files(spark, f"{tmp_path}/p/t/*").collect()]
     assert sum(r.content == "# packed" for r in files.read_topics(spark, f"{tmp_path}/*/t/*", folders).collect()) == 1
+
+
+def test_titles_of_many_named_files_are_read_in_tasks(spark, tmp_path, monkeypatch):
+    for name in ("a.md", "sub/b.md", "c.md"):
+        put(tmp_path / "p/t" / name, f"# {name}")
+    folders = spark.createDataFrame([(f"{tmp_path}/p", "t")], "project_id string, topics_dir string")
+    named = spark.createDataFrame([(f"{tmp_path}/p", name) for name in ("a.md", "sub/b.md", "none.md")], "project_id string, file string")
+    monkeypatch.setattr(files, "_FEW", 0)
+    titles = [files.read_titles(spark, f"{tmp_path}/p/*{end}", folders, named) for end in ("/*.md", "/sub/*.md")]
+    assert [[(r.file, r.title) for r in found.collect()] for found in titles] == [[("a.md", "a.md")], [("sub/b.md", "sub/b.md")]]
+    assert not any(found.inputFiles() for found in titles)
